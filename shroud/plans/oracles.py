@@ -9,7 +9,7 @@ from __future__ import annotations
 from ..functions import scalars as S
 from ..functions.dialect import DUCKDB as Q
 from ..functions.dialect import re2
-from ..operators import detect
+from ..operators import detect, learn, metadata
 from ..operators.network import RANGES
 from ..operators.structured import KINDS
 from ..sources import files
@@ -192,7 +192,33 @@ def _rates(level: str) -> str:
 _REPORT = f"""WITH v AS ({_V}), n AS (SELECT label AS name FROM v UNION SELECT prediction FROM v), c AS (SELECT name AS label, (SELECT count(*) FROM v WHERE v.label = name) AS support, (SELECT count(*) FROM v WHERE v.prediction = name) AS said, (SELECT count(*) FROM v WHERE v.prediction = name AND v.label = name) AS tp FROM n),
 r AS (SELECT label, support, CASE WHEN said = 0 THEN 0.0 ELSE tp / said END AS p, CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS r FROM c)"""
 
+_META = """SELECT s_suppkey * 100 + k AS doc_id, text FROM (SELECT s_suppkey, unnest(range(12)) AS k, unnest([concat('Authorization: Basic ', md5(s_name)), concat('x-api-key: ', md5(s_name), ', ok'), concat('clone https://bot', s_suppkey, ':pw', s_suppkey, 'x@git.acme.org/r'),
+concat('open \\\\files', s_suppkey, '\\team$\\a now'), concat('CN=svc', s_suppkey, ',OU=apps,DC=acme'), concat('MSSQLSvc/db', s_suppkey, '.acme.org:1433'), concat('arn:aws:iam::', 100000000000 + s_suppkey, ':role/r', s_suppkey),
+concat('aws account id: ', 100000000000 + s_suppkey), concat('see s3://bucket-', s_suppkey, '/k and gs://gb-', s_suppkey, '/k'), concat('k8s namespace=prod-', s_suppkey), concat('host n', s_suppkey, '.eu.internal up'), concat('ipv6=2001:db8::', s_suppkey)]) AS text FROM supplier)"""
+
+
+def _metadata(docs: str, select: str) -> str:
+    one = lambda k: f"SELECT doc_id, '{k.id}' AS detector, '{k.type}' AS type, '{k.category}' AS category, raw, CAST(start AS INTEGER) AS start, CAST(\"end\" AS INTEGER) AS \"end\", {k.score} AS score FROM ({_spans('t', k.regex, k.flags, (k.group,) if k.group else ())})"
+    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM ({docs})), f AS ({' UNION ALL '.join(map(one, metadata.KINDS))}) {select}"
+
+
+def _numeric() -> str:
+    sql = f"SELECT doc_id, text FROM ({VIEWS['v_secret_lines']})"
+    for step in learn.numeric_steps(Q):
+        sql = f"SELECT *, {', '.join(f'{v} AS {k}' for k, v in step.items())} FROM ({sql})"
+    return f"SELECT doc_id, {', '.join(learn.NUMERIC)} FROM ({sql})"
+
+
 ORACLES: dict[str, str] = {
+    "c25_c40_metadata": _metadata(_META, "SELECT * FROM f"),
+    "c25_c40_documents": _metadata("SELECT doc_id, text FROM documents UNION ALL SELECT page_id, html FROM pages", "SELECT detector, type, count(*) AS n, count(DISTINCT raw) AS n_raw FROM f GROUP BY ALL"),
+    "l05_numeric_features": _numeric(),
+    "e12_e13_vocabulary": f"WITH w AS (SELECT concat(' ', w, ' ') AS w FROM (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM ({VIEWS['v_secret_lines']})) WHERE w <> ''), g AS (SELECT substr(w, i, n) AS gram FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (VALUES (3), (4), (5)) x(n) WHERE len(w) >= n)) SELECT gram, count(*) AS n FROM g GROUP BY 1 ORDER BY n DESC, gram LIMIT 2048",
+    "l10_l11_upgrades": f"""WITH r AS (SELECT o_orderkey AS doc_id, CAST(o_orderkey % 100 AS INTEGER) AS score, ['SECRET', 'NOT_SECRET', 'UNSURE'][o_custkey % 3 + 1] AS risk, (o_orderkey % 21) / 20 AS c FROM orders), s AS (SELECT *, {S.severity("score")} AS severity FROM r)
+SELECT doc_id, 'upgrade' AS flow, CASE WHEN severity = 'medium' AND risk = 'SECRET' AND c >= 0.85 THEN greatest(score, 80) ELSE score END AS score, CASE WHEN severity = 'medium' AND risk = 'SECRET' AND c >= 0.85 THEN 'high' ELSE severity END AS severity, CASE WHEN severity = 'medium' AND risk = 'SECRET' AND c >= 0.85 THEN 'pattern,ai-assist' WHEN severity = 'medium' AND risk = 'SECRET' AND c >= 0.6 THEN 'pattern,ai-assist-warning' ELSE 'pattern' END AS method FROM s
+UNION ALL SELECT doc_id, 'gate', score, CASE WHEN risk = 'SECRET' THEN 'high' ELSE 'medium' END, '' FROM r WHERE (risk = 'SECRET' AND c >= 0.8) OR (risk = 'UNSURE' AND score >= 60)""",
+    "j01_chunked_spans": f"WITH d AS (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL), m AS ({_spans('t', detect.EMAIL, 'i')}) SELECT doc_id AS stream_id, CAST(start AS INTEGER) AS start, CAST(\"end\" AS INTEGER) AS \"end\", raw FROM m",
+    "j03_stream_status": "SELECT doc_id AS stream_id, len(text) AS size, least(len(text), 4096) AS largest, CASE WHEN len(text) > 52428800 THEN 'blocked' ELSE 'ok' END AS status FROM documents WHERE text IS NOT NULL",
     "a01_not_blank": "SELECT lang, count(*) AS n_docs, CAST(sum(len(text)) AS BIGINT) AS n_chars FROM documents WHERE regexp_matches(coalesce(text, ''), '[^\\s\\x0B\\x{00a0}]') GROUP BY lang",
     "c06_c24_candidates": judged() + " SELECT doc_id, source, name, type, category, raw, start, \"end\", score, severity, array_to_string(method, ',') AS method, coalesce(why, '') AS why FROM judged",
     "c06_c24_documents": judged(("pattern", "registry", "email"), "SELECT doc_id, text FROM documents") + " SELECT source, name, type, count(*) AS n, CAST(sum(score) AS BIGINT) AS score, count(DISTINCT doc_id) AS n_docs FROM judged WHERE why IS NULL GROUP BY ALL",

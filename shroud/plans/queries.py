@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.dialect import SPARK as Q
-from ..operators import audit, detect, evaluate, network, policy, spans, structured, vault, verify
+from ..operators import audit, detect, evaluate, learn, metadata, network, policy, spans, structured, vault, verify
 from ..sources import files
+from ..streaming import chunks
 from . import transform
 from .views import table, view
 
@@ -453,3 +454,71 @@ def g08_error_samples(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def e17_class_weights(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.balanced_weights(view(spark, sf, "v_eval"))
+
+
+# ---- metadata detectors, learning, chunks
+
+
+def _metadata_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with headers, logins and cloud names, one a supplier and kind."""
+    lines = (
+        "concat('Authorization: Basic ', md5(s_name))", "concat('x-api-key: ', md5(s_name), ', ok')", "concat('clone https://bot', s_suppkey, ':pw', s_suppkey, 'x@git.acme.org/r')",
+        "concat('open \\\\\\\\files', s_suppkey, '\\\\team$\\\\a now')", "concat('CN=svc', s_suppkey, ',OU=apps,DC=acme')", "concat('MSSQLSvc/db', s_suppkey, '.acme.org:1433')", "concat('arn:aws:iam::', 100000000000 + s_suppkey, ':role/r', s_suppkey)",
+        "concat('aws account id: ', 100000000000 + s_suppkey)", "concat('see s3://bucket-', s_suppkey, '/k and gs://gb-', s_suppkey, '/k')", "concat('k8s namespace=prod-', s_suppkey)", "concat('host n', s_suppkey, '.eu.internal up')", "concat('ipv6=2001:db8::', s_suppkey)",
+    )
+    each = table(spark, sf, "supplier").select("s_suppkey", F.posexplode(F.array(*map(F.expr, lines))).alias("k", "text"))
+    return each.select((F.col("s_suppkey") * 100 + F.col("k")).alias("doc_id"), "text")
+
+
+@query
+def c25_c40_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    return metadata.scan(_metadata_lines(spark, sf))
+
+
+@query
+def c25_c40_documents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text").union(table(spark, sf, "pages").select("page_id", "html"))
+    return metadata.scan(docs).groupBy("detector", "type").agg(F.count("*").alias("n"), F.countDistinct("raw").alias("n_raw"))
+
+
+@query
+def l05_numeric_features(spark: SparkSession, sf: str) -> DataFrame:
+    return learn.numeric(view(spark, sf, "v_secret_lines").select("doc_id", "text")).select("doc_id", *learn.NUMERIC)
+
+
+@query
+def e12_e13_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    return learn.vocabulary(view(spark, sf, "v_secret_lines"))
+
+
+@query
+def l10_l11_upgrades(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings with given verdicts, upgraded; and leftover candidates gated."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 100).cast("int").alias("score"), F.expr("element_at(array('SECRET', 'NOT_SECRET', 'UNSURE'), cast(o_custkey % 3 + 1 as int))").alias("risk"), ((F.col("o_orderkey") % 21) / 20).alias("confidence"))
+    found = learn.upgraded(rows.withColumn("severity", F.expr(S.severity("score"))).withColumn("method", F.array(F.lit("pattern"))))
+    a = found.select("doc_id", F.lit("upgrade").alias("flow"), "score", "severity", F.array_join("method", ",").alias("method"))
+    b = learn.gated(rows.drop("severity"), "enterprise").select("doc_id", F.lit("gate").alias("flow"), "score", "severity", F.lit("").alias("method"))
+    return a.unionByName(b)
+
+
+@query
+def l07_l09_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Trained on lines whose label follows from their kind, applied to the held-out lines; counts by label and verdict."""
+    lines = view(spark, sf, "v_secret_lines").select("doc_id", "text", F.expr("CASE WHEN doc_id % 12 IN (7, 8, 11) THEN 'NOT_SECRET' WHEN doc_id % 12 = 9 THEN 'UNSURE' ELSE 'SECRET' END").alias("label"))
+    train, test = learn.split(lines)
+    return learn.predict(learn.train(train), test).groupBy("label", "risk").agg(F.count("*").alias("n"))
+
+
+@query
+def j01_chunked_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """E-mail addresses of documents that come in chunks of 512 characters: the same as in whole texts."""
+    docs = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("stream_id"), "text")
+    parts = chunks.with_overlap(chunks.chunked(docs, 512), 256)
+    found = parts.select("*", F.explode(spans.matches("text", detect.EMAIL, "i")).alias("m")).select("stream_id", "at", "own", "text_at", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.raw").alias("raw"))
+    return chunks.owned(found).select("stream_id", "start", "end", "raw")
+
+
+@query
+def j03_stream_status(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("stream_id"), "text")
+    return chunks.stream_status(chunks.chunked(docs, 4096))
