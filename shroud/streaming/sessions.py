@@ -39,7 +39,7 @@ def numbered(findings: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
 
 def latest_text(edits: DataFrame, quiet: str = "1 second") -> DataFrame:
     """The last text of each composer once nothing came for a while: a session window closed by the watermark."""
-    return edits.withWatermark("ts", quiet).groupBy(F.session_window("ts", quiet), "session_id").agg(F.max_by("text", "ts").alias("text")).select("session_id", "text")
+    return edits.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", quiet).groupBy(F.session_window("ts", quiet), "session_id").agg(F.max_by("text", "ts").alias("text")).select("session_id", "text")
 
 
 def redacting(redact: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
