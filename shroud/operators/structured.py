@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spans import lines
+from .spans import lines, matches
 
 # Label and value tests in order.
 GUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
@@ -76,3 +76,37 @@ def classified(rows: DataFrame) -> DataFrame:
     """Rows whose label and value fit a kind; the first that fits."""
     kind = F.coalesce(*(F.when(F.col("label").rlike(a) & F.col("value").rlike(b), F.lit(k)) for k, a, b in KINDS))
     return rows.withColumn("type", kind).where("type is not null").withColumn("score", F.lit(99))
+
+
+def piped(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Label and value of pipe tables; lines that part the header from the rows are skipped."""
+    return delimited(docs, "|", keep).where(~F.col("value").rlike(r"\A:?-{2,}:?\z"))
+
+
+def json_objects(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Label and value of flat JSON objects in text: the first of type, key or name, and value."""
+    field = lambda names: F.regexp_extract("m.raw", rf'(?i)"(?:{names})"\s*:\s*"((?:[^"\\]|\\.)*)"', 1)
+    rows = docs.select(*keep, F.explode(matches("text", r"\{[^{}]*\}")).alias("m"))
+    rows = rows.select(*keep, F.col("m.start").alias("start"), label(field("type|key|name")).alias("label"), field("value").alias("value"))
+    return rows.where("label <> '' and value <> ''")
+
+
+def html_rows(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Label and value of HTML table rows; a row with a name-like and a value cell heads the rows below it."""
+    rows = docs.select(*keep, F.posexplode(matches("text", r"<tr\b[^>]*>[\s\S]*?<\/tr>", "i")).alias("row_no", "m")).select(*keep, "row_no", "m.raw")
+    plain = F.transform(F.regexp_extract_all("raw", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: F.trim(unescaped(F.regexp_replace(c, "<[^>]*>", ""))))
+    rows = rows.withColumn("cells", plain).withColumn("names", F.transform("cells", label))
+    named = F.exists("names", lambda n: n == "value") & F.exists("names", lambda n: n.isin("type", "name", "key"))
+    before = Window.partitionBy(*keep).orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("header", F.when(named, F.col("names"))).withColumn("head", F.last("header", ignorenulls=True).over(before)).where("head is not null and header is null")
+    at = lambda n: F.nullif(F.array_position("head", n), F.lit(0))
+    value = F.try_element_at("cells", F.array_position("head", "value").cast("int"))
+    name = F.try_element_at("cells", F.coalesce(at("type"), at("name"), at("key")).cast("int"))
+    return rows.select(*keep, "row_no", label(name).alias("label"), value.alias("value")).where("value <> '' and label <> ''")
+
+
+def unescaped(x: Column) -> Column:
+    """The five named entities; the ampersand last, so nothing is decoded twice."""
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x

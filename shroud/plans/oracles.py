@@ -210,6 +210,12 @@ def _numeric() -> str:
 
 
 ORACLES: dict[str, str] = {
+    "a11_pipe_tables": "SELECT s_suppkey AS doc_id, 'aws account' AS label, CAST(s_suppkey + 100000000000 AS VARCHAR) AS value, 57 AS start FROM supplier UNION ALL SELECT s_suppkey, 'e mail', s_name, 87 FROM supplier",
+    "a12_json_objects": "SELECT s_suppkey AS doc_id, 4 AS start, 'tenant id' AS label, md5(s_name) AS value FROM supplier UNION ALL SELECT s_suppkey, 92, 'owner', s_name FROM supplier",
+    "a09_html_rows": "SELECT s_suppkey AS doc_id, 1 AS row_no, 'tenant co' AS label, concat(s_name, ' <x>') AS value FROM supplier",
+    "d11_h03_merged_findings": judged(("pattern", "registry", "assignment", "email")) + """, s AS (SELECT *, CASE WHEN source IN ('registry', 'email') THEN 0 ELSE 1 END AS scan FROM judged WHERE why IS NULL)
+SELECT doc_id, start, "end", raw, min(scan) AS scan, max(score) FILTER (scan = m) AS score FROM (SELECT *, min(scan) OVER (PARTITION BY doc_id, start, "end", raw) AS m FROM s) GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY doc_id, start, \"end\", raw"),
+    "d14_site_status": f"WITH {_URLS}, o AS (SELECT request_id, CASE WHEN scheme <> '' THEN concat(scheme, '://', host, CASE WHEN port <> '' THEN ':' || port ELSE '' END) ELSE '' END AS origin FROM u), f AS (SELECT origin, min(request_id) AS first FROM o WHERE origin <> '' GROUP BY 1) SELECT request_id, o.origin, CASE WHEN first % 3 = 0 THEN 'builtin' WHEN first % 2 = 0 THEN 'user' ELSE 'none' END AS status FROM o LEFT JOIN f ON f.origin = o.origin",
     "c25_c40_metadata": _metadata(_META, "SELECT * FROM f"),
     "c25_c40_documents": _metadata("SELECT doc_id, text FROM documents UNION ALL SELECT page_id, html FROM pages", "SELECT detector, type, count(*) AS n, count(DISTINCT raw) AS n_raw FROM f GROUP BY ALL"),
     "l05_numeric_features": _numeric(),

@@ -522,3 +522,44 @@ def j01_chunked_spans(spark: SparkSession, sf: str) -> DataFrame:
 def j03_stream_status(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("stream_id"), "text")
     return chunks.stream_status(chunks.chunked(docs, 4096))
+
+
+# ---- more structured text, joins of findings, sites
+
+
+@query
+def a11_pipe_tables(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.concat(F.lit("| Type | Value | Notes |\n|---|:---:|---|\n| AWS account | "), F.col("s_suppkey") + 100000000000, F.lit(" | x |\n| e-mail | "), "s_name", F.lit(" | |"))
+    return structured.piped(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("doc_id"), text.alias("text"))).select("doc_id", "label", "value", "start")
+
+
+@query
+def a12_json_objects(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.concat(F.lit('log {"Type": "tenant_id", "Value": "'), F.md5("s_name"), F.lit('"} and {"other": 1} and {"value":"'), "s_name", F.lit('","name":"Owner"}'))
+    return structured.json_objects(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("doc_id"), text.alias("text")))
+
+
+@query
+def a09_html_rows(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.concat(F.lit("<table><TR><th>Name</th><th>Value</th></TR>\n<tr><td><b>Tenant&amp;Co</b></td><td>"), "s_name", F.lit(" &lt;x&gt;</td></tr><tr><td>empty</td><td> </td></tr></table>"))
+    return structured.html_rows(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("doc_id"), text.alias("text")))
+
+
+@query
+def d11_h03_merged_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of two scans, one for each (document, start, end, raw), the first scan's where both have it."""
+    docs = view(spark, sf, "v_secret_lines")
+    scans = [detect.judged(docs, CHECKED_RULES, d).where("why is null").select("doc_id", "start", "end", "raw", F.lit(k).alias("scan"), "score") for k, d in enumerate((("registry", "email"), ("pattern", "registry", "assignment")))]
+    both = scans[0].unionByName(scans[1])
+    return both.groupBy("doc_id", "start", "end", "raw").agg(F.min("scan").alias("scan"), F.max(F.struct(-F.col("scan"), "score"))["score"].alias("score"))
+
+
+@query
+def d14_site_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Origin of each request, whether a built-in or else a user rule protects it."""
+    p = policy.url_parts()
+    asked = view(spark, sf, "v_requests").select("request_id", p["origin"].alias("origin"))
+    known = asked.where("origin <> ''").groupBy("origin").agg(F.min("request_id").alias("first"))
+    builtin = known.where("first % 3 = 0").select("origin", F.lit("builtin").alias("b"))
+    user = known.where("first % 2 = 0").select("origin", F.lit("user").alias("u"))
+    return asked.join(builtin, "origin", "left").join(user, "origin", "left").select("request_id", "origin", F.coalesce("b", "u", F.lit("none")).alias("status"))
