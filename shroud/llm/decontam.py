@@ -1,6 +1,6 @@
 """Benchmark decontamination by FM-indexes over shards of the training texts.
 
-A shard is a chunk of a few megabytes of whole documents inside a task. Its words are coded by the
+A shard is a chunk of about a megabyte of whole documents inside a task. Its words are coded by the
 vocabulary of the benchmark; any other word is a break, and a run of coded words shorter than the shortest
 window can't hold one, so only the longer runs enter the index. The index of a shard is the Burrows-Wheeler
 transform of those runs in a wavelet matrix with rank counts, plus every eighth suffix position. All windows
@@ -207,7 +207,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, names: tuple[str, str, str] = ("
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             windows = sent.value
             for batch in batches:
-                for lo, hi, buf, offsets in chunks(batch.column(at), 4_000_000):
+                for lo, hi, buf, offsets in chunks(batch.column(at)):
                     w = Words(LOWER[buf], offsets, ALNUM)
                     spans: dict[int, list] = {}
                     items: dict[int, set] = {}

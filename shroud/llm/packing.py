@@ -54,7 +54,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, np.ndarray] = {}
+        self.known: dict[int, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -84,10 +84,10 @@ class Encoder:
             at = first[new]
             found = self.encode([data[s:e].decode("utf-8", "replace") for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)])
             for i, ids in zip(new, found, strict=True):
-                self.known[keys[i]] = np.array(ids, np.uint32)
+                self.known[keys[i]] = np.array(ids, "<u4").tobytes()
         ids = [self.known[k] for k in keys]
-        size = np.array([len(x) for x in ids], np.int64)
-        flat, begin = np.concatenate(ids), np.concatenate([[0], np.cumsum(size)])
+        size = np.array([len(x) for x in ids], np.int64) // 4
+        flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(size)])
         n = size[which]
         out = np.concatenate([[0], np.cumsum(n)])
         take = np.arange(out[-1]) + np.repeat(begin[which] - out[:-1], n)

@@ -15,6 +15,7 @@ repeated ids, empty tables and other columns do no harm: one result for each row
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,12 +61,11 @@ def indicators(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def ratios(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.ndarray:
     """Log ratios of the rates of the indicators in the two classes."""
-    rate = []
-    for label in (1, 0):
-        own = [r for r, v in zip(rows, y, strict=True) if v == label]
-        p = smooth + np.bincount(np.concatenate(own), minlength=BUCKETS)
-        rate.append(p / (len(own) + 2 * smooth))
-    return np.log(rate[0] / rate[1])
+    counts = np.full((2, BUCKETS), smooth)
+    for r, label in zip(rows, y, strict=True):
+        counts[label, r] += 1  # the buckets of a row are distinct
+    rates = counts / (np.array([[(y == 0).sum()], [(y == 1).sum()]]) + 2 * smooth)
+    return np.log(rates[1] / rates[0])
 
 
 def dual_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: float = 0.02, epochs: int = 8, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: str = "pmod(crc32(cast(do
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(found, pa.binary())], names=["doc_id", "y", "buckets"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, buckets binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, len(r.buckets), bytes(r.buckets)))
+    rows.sort(key=lambda r: (r.doc_id, len(r.buckets), zlib.crc32(r.buckets)))
     x, y = [np.frombuffer(r.buckets, "<i4") for r in rows], np.array([r.y for r in rows], np.int64)
     if not 0 < y.sum() < len(y):
         return Model(None, 0.0, 1.0, 0.0, float(y.mean()) if len(y) else 0.5)

@@ -1,6 +1,6 @@
 """Words and word windows of whole texts, on numpy arrays inside a task.
 
-An Arrow text column is walked in chunks of a few megabytes (a longer text makes a chunk of its own).
+An Arrow text column is walked in chunks of a megabyte, which bounds a worker's memory (a longer text makes a chunk of its own).
 Words come as byte ranges of the chunk plus a 64-bit hash, so no Python string is made for each word.
 """
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_CHUNK = 2_000_000
+_CHUNK = 1_000_000
 _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 
 #: Bytes that part words: blank, tab to carriage return.
@@ -37,7 +37,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     if len(_powers[0]) < n:
-        size = 1 << max(16, n - 1).bit_length() if n > 1 << 16 else 1 << 16
+        size = (n + (1 << 20) - 1 >> 20) << 20 if n > 1 << 20 else 1 << 20  # one chunk's worth, more only for a longer text
         for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, b, _U)
             steps[0] = 1
