@@ -93,7 +93,7 @@ def scan(docs: DataFrame, repo_col: str = "source", owner: Column | None = None,
     owner = F.substring_index(F.col(repo_col), "/", 1) if owner is None else owner
     rows = cut(candidates(docs, repo_col, owner, text_col), "secrets")
     each = rows.where(F.size("found") > 0).select("row", "doc_id", "repo", "owner", F.explode("found").alias("s")).select("row", "doc_id", "repo", "owner", "s.*")
-    owned = each.join(ownership(each), "hash").withColumn("live", F.col("random") & (F.col("n_owners") <= few_owners))
+    owned = each.join(cut(ownership(each), "owners"), "hash").withColumn("live", F.col("random") & (F.col("n_owners") <= few_owners))
     some = owned.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live", (F.col("n_owners") > few_owners).alias("copied")))).alias("found"))
     shape = some.schema["found"].dataType.simpleString()
     none = rows.where(F.size("found") == 0).select("row", "doc_id", F.expr(f"cast(array() as {shape})").alias("found"))

@@ -7,7 +7,7 @@ A window is ``n`` consecutive words of a text; each word covered by a window who
    are counted over the corpus (pre-aggregated); windows under a phrase that occurs once can't recur. Those left are hashed in full and
    counted in the same way: what occurs twice is a recurring window, and runs of them are recurring passages.
    Equal texts are one text from the start; if there are several, all of their windows recur.
-2. Compile. Texts that hold recurring passages are dealt into shards of a few megabytes. A shard's passages, as word sequences, make one
+2. Compile. Texts that hold recurring passages are dealt into shards of about a megabyte. A shard's passages, as word sequences, make one
    Aho-Corasick automaton, so its size follows the shard, not the corpus.
 3. Stream. Every text of the shard runs through the automaton, which locates every occurrence by the words themselves.
 
@@ -150,14 +150,15 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, i
     keys = rows.where(F.col("n_words") >= window).groupBy("text_key").agg(F.count("*").alias("copies"), F.first("phrases").alias("phrases"))
     keys = cut(keys.select(F.monotonically_increasing_id().alias("node"), "*"), "texts")
     phrases = keys.select("node", F.explode("phrases").alias("p")).select("node", "p.*")
-    often = phrases.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    # counts are written before they are joined: then both sides are plain tables, and a hot hash's rows can be split
+    often = cut(phrases.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "phrases")
     runs = phrases.join(often, "hash").groupBy("node").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
     runs = cut(runs.join(keys.select("node", "text_key", "copies"), "node"), "runs")
     # one text of each key; copies meet before the shuffle
     texts = docs.where("text is not null").groupBy(F.md5("text").alias("text_key")).agg(F.first("text").alias("text"))
     texts = cut(runs.join(texts, "text_key").select("node", "copies", "text", "runs"), "candidates")
     hashes = window_hashes(texts, window)
-    often = hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    often = cut(hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "windows")
     starts = hashes.join(often, "hash").groupBy("node").agg(F.collect_list("first").alias("starts"))
     found = located(texts.where("copies = 1").select("node", "text").join(starts, "node"), window)
     found = cut(keys.select("node", "text_key", "copies").join(found, "node", "left").where("copies > 1 or n_removed > 0").drop("node"), "found")
