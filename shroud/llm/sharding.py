@@ -2,14 +2,14 @@
 
 Nodes are rows, edges link rows that should stay together. Every node starts in a shard by hash. In a round, each
 node sees how many neighbours each shard holds (a join of edges and labels, counted before the shuffle), and wants to
-go where most are. How many may move from one shard to another is a quota: wishes in opposite directions cancel, and
+go where most are; one half of the nodes, by a hash, has its turn in each round, so that ends of an edge don't swap for ever. How many may move from one shard to another is a quota: wishes in opposite directions cancel, and
 nodes without neighbours give up their place to those that gain. The quotas come from a matrix of shards by shards,
 the only thing that the driver sees. Which wishes are granted is decided by a hash, so the sizes stay even without any sort.
-At last rows are put in one order by (label, group, row), by a range-partitioned sort with running
+Shards may grow to (1 + slack) times the mean meanwhile. At last rows are put in one order by (label, group, row), by a range-partitioned sort with running
 counts, and cut at exactly even places: counts differ by one at most, and a group is cut only at a border.
 
-Edges of equal texts: a star around the least row of each group; a group larger than a small part of a shard is
-first split by hash into stars whose centres are linked, so that the parts of a group that must be cut stay whole.
+Edges of equal texts: a star around the least row of each group; a group larger than a shard is first split by hash into
+stars that fit one, since it has to be cut anyway.
 
 Null texts belong to no group and weigh one byte. Null and repeated ids are rows like others; an empty table gives an
 empty result.
@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 from .base import cut
 
 SHARDS = 16
-ROUNDS = 3
+ROUNDS = 4
+SLACK = 1.0
 _GRAIN = 1_000_000
 
 
@@ -55,7 +56,7 @@ def quotas(wishes: np.ndarray, idle: np.ndarray, sizes: np.ndarray, capacity: fl
     return granted, freed
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = 0.02) -> DataFrame:
+def propagate(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
     """node, label. ``nodes``: node long, start int or absent; ``edges``: src, dst, once for each pair."""
     both = cut(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst"), "edges")
     linked = both.select(F.col("src").alias("node")).distinct().withColumn("linked", F.lit(True))
@@ -63,7 +64,8 @@ def propagate(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds:
     for r in range(rounds):
         votes = both.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("vote")), "dst").groupBy("src", "vote").count()
         want = votes.groupBy(F.col("src").alias("node")).agg(F.max(F.struct("count", F.lit(-1) * F.col("vote"))).alias("top"), F.map_from_entries(F.collect_list(F.struct("vote", "count"))).alias("votes"))
-        state = labels.join(want, "node", "left").select("node", "linked", "label", F.when(F.col("top.count") > F.coalesce(F.element_at("votes", F.col("label")), F.lit(0)), -F.col("top.col2")).cast("int").alias("want"))
+        turn = F.pmod(F.xxhash64("node", F.lit("turn")), F.lit(2)) == r % 2
+        state = labels.join(want, "node", "left").select("node", "linked", "label", F.when(turn & (F.col("top.count") > F.coalesce(F.element_at("votes", F.col("label")), F.lit(0))), -F.col("top.col2")).cast("int").alias("want"))
         state = cut(state, "wishes")
         wishes, idle, sizes = np.zeros((shards, shards)), np.zeros(shards), np.zeros(shards)
         for row in state.groupBy("label", "want", "linked").count().collect():
@@ -73,7 +75,9 @@ def propagate(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds:
             elif not row["linked"]:
                 idle[row["label"]] += row["count"]
         if not wishes.any():
-            break
+            if r:
+                break
+            continue
         granted, freed = quotas(wishes, idle, sizes, sizes.sum() / shards * (1 + slack))
         share = lambda a, b: [[float(x) for x in r] for r in np.divide(a, b, out=np.zeros_like(a), where=b > 0)]
         take = F.array(*(F.array(*map(F.lit, row)) for row in share(granted, wishes)))
@@ -126,14 +130,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     rows = docs.select(F.monotonically_increasing_id().alias("node"), F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5("text").alias("digest"))
     rows = cut(rows, "rows")
     n = rows.count()
-    part = max(1, n // (shards * 8))  # a star of this size still fits anywhere
-    groups = rows.where("digest is not null").groupBy("digest").agg(F.count("*").alias("group_size")).where("group_size > 1")
+    part = max(1, n // shards)
+    groups = cut(rows.where("digest is not null").groupBy("digest").agg(F.count("*").alias("group_size")).where("group_size > 1"), "groups")
     members = rows.select("node", "digest").join(groups, "digest").withColumn("star", F.pmod(F.xxhash64("node"), F.ceil(F.col("group_size") / part)))
     members = cut(members, "members")
     stars = members.groupBy("digest", "star").agg(F.min("node").alias("centre"))
-    hubs = stars.groupBy("digest").agg(F.min("centre").alias("hub"))
-    edges = members.join(stars, ["digest", "star"]).select(F.col("node").alias("src"), F.col("centre").alias("dst"))
-    edges = edges.union(stars.join(hubs, "digest").select(F.col("centre").alias("src"), F.col("hub").alias("dst"))).where("src <> dst")
+    edges = members.join(cut(stars, "stars"), ["digest", "star"]).select(F.col("node").alias("src"), F.col("centre").alias("dst")).where("src <> dst")
     labels = propagate(rows, edges, shards, rounds)
     out = rows.join(labels, "node").join(members.select("node", "star", "group_size"), "node", "left").withColumn("place", F.when(F.col("star").isNotNull(), F.concat("digest", F.lit("-"), F.col("star"))))
     out = even_cut(out, ["label", "place", "node"], shards)
