@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.dialect import SPARK as Q
 from ..functions.dialect import Sql
+from ..sources.scratch import spread
 from .rules import FAIL_CLOSED, KNOWN_SECRET, PATTERNS, REGISTRY, Rule
 from .spans import best_per_span, matches_sql, resolve_overlaps
 
@@ -66,7 +67,7 @@ def candidates(docs: DataFrame, rules: Iterable[Rule] = RULES, detectors: Iterab
         parts.append(_gated("contains(_t, '@')", candidate_sql("_t", matches_sql("_t", EMAIL, "i"), "email", -1)))
     if "entropy" in wanted:
         parts.append(candidate_sql("_t", matches_sql("_t", ENTROPY_TOKEN), "entropy", -1))
-    rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).where(F.length(F.trim("_t")) > 0).withColumn("_low", F.lower("_t"))
+    rows = spread(docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).where(F.length(F.trim("_t")) > 0)).withColumn("_low", F.lower("_t"))
     # a column for each few rules keeps generated code small
     arrays = {f"_a{at}": F.expr("concat(" + ", ".join(parts[at : at + 9]) + ")") for at in range(0, len(parts), 9)}
     return rows.withColumns(arrays).select(*keep, F.inline(F.concat(*arrays)))
