@@ -23,4 +23,5 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows of fewer files than there are cores, dealt to all cores before expensive expressions. Tables of many files stay
     as they are: no shuffle at scale."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    files = len(df._jdf.inputFiles())  # only their number leaves the JVM
+    return df.repartition(cores) if 0 < files < cores else df
