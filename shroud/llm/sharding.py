@@ -2,7 +2,9 @@
 
 Nodes are rows, edges link rows that should stay together. Every node starts in a shard by hash. In a round, each
 node sees how many neighbours each shard holds (a join of edges and labels, counted before the shuffle), and wants to
-go where most are; one half of the nodes, by a hash, has its turn in each round, so that ends of an edge don't swap for ever. How many may move from one shard to another is a quota: wishes in opposite directions cancel, and
+go where most are. Each node has its turn in one of two rounds, drawn anew for every two, and of two neighbours that wish for each other's shard
+in the same round only one moves, so that ends of an edge don't swap for ever. Rounds go on until both rounds of a draw grant nothing, so
+every node had its turn (``ROUNDS`` only bounds what never settles). How many may move from one shard to another is a quota: wishes in opposite directions cancel, and
 nodes without neighbours give up their place to those that gain. The quotas come from a matrix of shards by shards,
 the only thing that the driver sees. Which wishes are granted is decided by a hash, so the sizes stay even without any sort.
 Shards may grow to (1 + slack) times the mean meanwhile. At last rows are put in one order by (label, group, row), by a range-partitioned sort with running
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 from .base import cut
 
 SHARDS = 16
-ROUNDS = 4
+ROUNDS = 64
 SLACK = 1.0
 _GRAIN = 1_000_000
 
@@ -56,17 +58,28 @@ def quotas(wishes: np.ndarray, idle: np.ndarray, sizes: np.ndarray, capacity: fl
     return granted, freed
 
 
+def yielded(state: DataFrame, both: DataFrame, r: int) -> DataFrame:
+    """``state`` without the wishes of nodes that a neighbour with a higher draw would swap shards with."""
+    moving = lambda x: state.where("want is not null").select(F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("want").alias(f"w{x}"))
+    draw = lambda x: F.struct(F.xxhash64(x, F.lit("yield"), F.lit(r)), F.col(x))
+    swaps = both.join(moving("src"), "src").join(moving("dst"), "dst").where("wsrc = ldst and wdst = lsrc")
+    waits = swaps.where(draw("src") < draw("dst")).select(F.col("src").alias("node")).distinct().withColumn("waits", F.lit(True))
+    out = state.join(waits, "node", "left").select("node", "linked", "label", F.when(F.col("waits").isNull(), F.col("want")).alias("want"))
+    return cut(out, "granted")
+
+
 def propagate(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
     """node, label. ``nodes``: node long, start int or absent; ``edges``: src, dst, once for each pair."""
     both = cut(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst"), "edges")
     linked = both.select(F.col("src").alias("node")).distinct().withColumn("linked", F.lit(True))
     labels = cut(nodes.select("node").join(linked, "node", "left").select("node", F.coalesce("linked", F.lit(False)).alias("linked"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("label")), "labels")
+    quiet = 0
     for r in range(rounds):
         votes = both.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("vote")), "dst").groupBy("src", "vote").count()
         want = votes.groupBy(F.col("src").alias("node")).agg(F.max(F.struct("count", F.lit(-1) * F.col("vote"))).alias("top"), F.map_from_entries(F.collect_list(F.struct("vote", "count"))).alias("votes"))
-        turn = F.pmod(F.xxhash64("node", F.lit("turn")), F.lit(2)) == r % 2
+        turn = F.pmod(F.xxhash64("node", F.lit("turn"), F.lit(r // 2)), F.lit(2)) == r % 2
         state = labels.join(want, "node", "left").select("node", "linked", "label", F.when(turn & (F.col("top.count") > F.coalesce(F.element_at("votes", F.col("label")), F.lit(0))), -F.col("top.col2")).cast("int").alias("want"))
-        state = cut(state, "wishes")
+        state = yielded(cut(state, "wishes"), both, r)
         wishes, idle, sizes = np.zeros((shards, shards)), np.zeros(shards), np.zeros(shards)
         for row in state.groupBy("label", "want", "linked").count().collect():
             sizes[row["label"]] += row["count"]
@@ -74,11 +87,12 @@ def propagate(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds:
                 wishes[row["label"], row["want"]] += row["count"]
             elif not row["linked"]:
                 idle[row["label"]] += row["count"]
-        if not wishes.any():
-            if r:
+        granted, freed = quotas(wishes, idle, sizes, sizes.sum() / shards * (1 + slack))
+        if not granted.any():
+            quiet += 1
+            if quiet > 1 and r % 2:
                 break
             continue
-        granted, freed = quotas(wishes, idle, sizes, sizes.sum() / shards * (1 + slack))
         share = lambda a, b: [[float(x) for x in r] for r in np.divide(a, b, out=np.zeros_like(a), where=b > 0)]
         take = F.array(*(F.array(*map(F.lit, row)) for row in share(granted, wishes)))
         bounds = np.cumsum(np.array(share(freed, np.repeat(idle[:, None], shards, 1))), axis=1)
@@ -87,7 +101,10 @@ def propagate(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds:
         moved = F.when(F.col("want").isNotNull() & (draw < F.element_at(F.element_at(take, F.col("label") + 1), F.col("want") + 1)), F.col("want"))
         to = F.size(F.filter(F.element_at(leave, F.col("label") + 1), lambda x: x <= F.col("draw")))
         moved = F.coalesce(moved, F.when(~F.col("linked") & (to < shards), to), F.col("label"))
-        labels = cut(state.withColumn("draw", draw).select("node", "linked", moved.cast("int").alias("label")), "labels")
+        labels = cut(state.withColumn("draw", draw).select("node", "linked", moved.cast("int").alias("label"), (moved != F.col("label")).alias("moved")), "labels")
+        quiet = quiet + 1 if labels.where("moved and linked").isEmpty() else 0
+        if quiet > 1 and r % 2:
+            break
     return labels.select("node", "label")
 
 

@@ -336,6 +336,23 @@ def test_sharding_keeps_groups(spark):
     assert all(r["size"] == len(texts[r["doc_id"]].encode()) + 1 and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in out)
 
 
+@pytest.mark.parametrize("copies", [2, 7])
+def test_sharding_cuts_groups_only_at_borders(spark, copies):
+    texts = [f"g{k}" for k in range(300) for _ in range(copies)] + [f"t{k}" for k in range(200)]
+    random.Random(copies).shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    places = {}
+    for r in check_shards(sharding.shard_documents(df), len(texts)):
+        places.setdefault(texts[r["doc_id"]], []).append((r["shard"], r["slot"]))
+    each = len(texts) // 16
+    parted = [sorted(v) for v in places.values() if len({s for s, _ in v}) > 1]
+    assert len(parted) <= 15
+    for v in parted:  # a run over the end of one shard and the start of the next
+        first = [t for s, t in v if s == v[0][0]]
+        after = [t for s, t in v if s == v[0][0] + 1]
+        assert len(first) + len(after) == copies and min(first) >= each - copies and after == list(range(len(after)))
+
+
 def test_sharding_odd_rows(odd):
     out = check_shards(sharding.shard_documents(odd), len(ODD))
     assert sorted(r["size"] for r in out if r["doc_id"] in (1, 2)) == [1, 1]
