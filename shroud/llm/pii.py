@@ -4,7 +4,8 @@ Found: e-mail addresses, IPv4 addresses, payment card numbers of 13 to 19 digits
 security numbers, IBANs and calendar dates. Each is validated (what isn't valid stays as it is), then read as a number of the set of
 all values of its own format, and moved in that set by a keyed Feistel permutation with cycle walking. So a pseudonym
 has the layout and the validity (check digits, real dates, octets) of its value, equal values get equal pseudonyms in
-every document, and who has the key can turn them back (``reverse=True``).
+every document (but where digits beside a card would make a longer or an earlier run valid, the walk goes on to a pseudonym for which they
+don't; a rejected run that reaches into a second value isn't followed, so that rare text may not turn back), and who has the key can turn them back (``reverse=True``).
 
 Whole texts are rewritten in tasks, without a shuffle. Null texts stay null, empty ones empty; ids, repeated rows
 and other columns are kept; an empty table gives an empty result.
@@ -36,6 +37,9 @@ _FIND = re.compile(
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w+])(?<!\d[.-])\d(?:[ -]?\d){12,18}(?!\w)(?!-\d))"
 )
+#: Length of an IBAN by country; elsewhere every length that ends at a blank is tried.
+IBAN_LENGTH = {c: n for n, cs in {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC"}.items() for c in cs.split()}
+_TOKEN = re.compile(r"[ -]?[^ -]+")
 _DIGITS = re.compile(r"\d")
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -158,12 +162,39 @@ class Cipher:
     def text(self, text: str) -> tuple[str, Counter]:
         counts: Counter = Counter()
 
-        def one(m: re.Match) -> str:
-            new = getattr(self, m.lastgroup)(m[0])
-            counts[m.lastgroup] += new is not None
-            return m[0] if new is None else new
-
-        return _FIND.sub(one, text), counts
+        out, done, at = [], 0, 0
+        tried: list[tuple[str, int, int]] = []  # spans that are not valid as read, so that reversal must reject them too
+
+        def clash(new: str, a: int, b: int) -> bool:
+            return len(new) == b - a and any(getattr(self, k)((text[i:a] + new + text[b:j])[: j - i]) is not None for k, i, j in tried if j > a)
+
+        while m := _FIND.search(text, at):
+            kind = m.lastgroup
+            for end in self.ends(kind, m[0]):
+                a, b = m.start(), m.start() + end
+                if (new := getattr(self, kind)(text[a:b])) is not None:
+                    while clash(new, a, b):  # one more step of the walk
+                        new = getattr(self, kind)(new)
+                    tried.clear()
+                    counts[kind] += 1
+                    out += [text[done:a], new]
+                    done = at = b
+                    break
+                tried.append((kind, a, b))
+            else:
+                at = m.start() + _TOKEN.match(m[0]).end()
+        return "".join([*out, text[done:]]), counts
+
+    @staticmethod
+    def ends(kind: str, s: str) -> list[int]:
+        """Where a value may end inside a match: cards and IBANs at the borders of groups, longest first."""
+        if kind not in ("card", "iban"):
+            return [len(s)]
+        ends = sorted({len(s), *(m.start() for m in re.finditer("[ -]", s))}, reverse=True)
+        if kind == "card":
+            return [e for e in ends if 13 <= len(_DIGITS.findall(s[:e])) <= 19]
+        n = IBAN_LENGTH.get(s[:2])
+        return [e for e in ends if n in (None, len(s[:e].replace(" ", "")))]
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", reverse: bool = False) -> DataFrame:

@@ -295,6 +295,26 @@ def test_pii_round_trip():
     assert pii.luhn(parts[2]) == 0 and pii.luhn(parts[3].replace(" ", "")) == 0
 
 
+@pytest.mark.parametrize(
+    ("value", "text"),
+    [
+        ("DE89370400440532013000", "{} BIC COBADEFFXXX"),
+        ("DE89 3704 0044 0532 0130 00", "pay {} 2024 NOW"),
+        ("4111 1111 1111 1111", "{} 123"),
+        ("4111 1111 1111 1111", "{} 12/27"),
+        ("4111 1111 1111 1111", "no 123 {}."),
+        ("4111111111111111", "{} 5500005555555559"),
+    ],
+)
+def test_pii_beside_other_words(value, text):
+    hidden, counts = pii.Cipher(b"k").text(text.format(value))
+    assert value not in hidden and counts["iban"] + counts["card"] == 1 + ("5500" in text)
+    for k in range(40):  # a longer run is valid by chance for a tenth of all pseudonyms
+        key = b"%d" % k
+        assert pii.Cipher(key, reverse=True).text(pii.Cipher(key).text(text.format(value))[0])[0] == text.format(value)
+    assert all(w in hidden for w in text.replace("5500005555555559", "").split() if "{" not in w)
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000, 1025])
 def test_feistel_is_a_permutation(size):
     out = [pii.feistel(k, size, b"key", "t") for k in range(size)]
