@@ -10,7 +10,7 @@ located windows of a document are merged into removal spans.
 Nothing is shuffled. The benchmark is read in blocks of at most ``BLOCK_BYTES`` (its size is measured first);
 each block is one more pass over the rows as they stream by, so its size isn't bounded by memory.
 
-A null text has no words. Null ids are kept as they are, repeated rows each get their result, an empty
+A null text has no words. Benchmark rows without an id count for spans and hits, but not in the list of items. Null ids are kept as they are, repeated rows each get their result, an empty
 benchmark hits nothing, an empty table gives an empty result. Other columns are not touched.
 """
 
@@ -44,7 +44,7 @@ class Windows:
             for d in range(len(w.of) - 1):
                 own = codes[w.of[d] : w.of[d + 1]].tolist()
                 for k in range(max(1, len(own) - n + 1) if own else 0):
-                    rows.setdefault(tuple(own[k : k + n]), set()).add(items[lo + d][0])
+                    rows.setdefault(tuple(own[k : k + n]), set()).update(i for i in items[lo + d][:1] if i is not None)
         self.rows = list(rows)
         self.items = [sorted(x) for x in rows.values()]
         self.length = np.array([len(x) for x in self.rows], np.int64)
@@ -194,7 +194,7 @@ _SPANS = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 def hits(docs: DataFrame, benchmark: DataFrame, names: tuple[str, str, str] = ("n_words", "spans", "items"), text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with three more columns: the number of words, the merged word ranges that windows cover, and the ids of the
     items that occur, as sorted strings."""
-    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null and item is not null")
+    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null")
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     at = docs.columns.index(text_col)

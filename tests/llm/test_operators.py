@@ -108,6 +108,13 @@ def test_contamination_odd_rows(spark, odd):
     assert decontam.contamination(odd.limit(0), bench).count() == 0
 
 
+def test_contamination_null_item(spark):
+    bench = spark.createDataFrame([(None, "one two"), (1, "three")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "one two"), (2, "one two three")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_hit"], r["n_items"], r["contaminated"]) for r in rows(decontam.contamination(df, bench)))
+    assert got == [(1, 2, 0, True), (2, 3, 1, True)]
+
+
 # ---- substring dedup
 
 
