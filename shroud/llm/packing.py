@@ -6,7 +6,7 @@ Tokens. A text is parted at white space into segments (a run without white space
 it, or a run of white space). The tokenizer never joins bytes of two segments, so each distinct segment is
 encoded once a task and its ids are looked up; texts with white space outside ASCII are encoded whole.
 
-Packing. Pieces are dealt by hash to buckets of about ``bucket`` pieces, and a task packs a bucket on its
+Packing. Pieces are dealt by a hash of the row to buckets of about ``bucket`` pieces, and a task packs a bucket on its
 own: no shuffle but that of (doc, piece, length), no part of the work grows with the input. A bucket loses
 one partly filled sequence at most. In a bucket, sequences are built one after the other: fill with the longest
 pieces that still fit; then take out the smallest and see whether two unpacked pieces fill the wider gap
@@ -24,19 +24,21 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .base import cut
+from .base import cut, fresh
 from .text import SPACES, chunks, mix, powers
 
 CAPACITY = 2048
 BUCKET = 16_384
 #: White space outside ASCII, as the tokenizer's pattern has it.
 _WIDE = re.compile("[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_CACHE_MOST = 400_000
+_CACHE_MOST = 1_500_000
+_TOGETHER = 512
+_BLANKS = b" \t\n\v\f\r"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -47,14 +49,19 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Ids of whole texts. The segments' ids are kept, up to a bound, for the life of the worker."""
+    """Ids of whole texts. The segments' ids are kept, up to a bound, for the life of the worker: sorted hashes, and
+    for each where its ids begin in one flat array."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token: one letter of the vocabulary is one byte
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
+        self.forget()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -62,9 +69,55 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
+    def forget(self) -> None:
+        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def together(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of segments and the number of each one's. Segments go through the tokenizer some hundreds at a time, parted by line
+        feeds, which no token shares with a segment; the widths of the tokens tell where each segment ends."""
+        words = [k for k, p in enumerate(parts) if p[-1] > 0x20 or p.strip(_BLANKS)]
+        texts, lengths = [], []
+        for at in range(0, len(words), _TOGETHER):
+            own = [parts[k] for k in words[at : at + _TOGETHER]]
+            texts.append(b"\n".join(own).decode("utf-8", "replace"))
+            lengths.append(np.array([len(p) for p in own], np.int64))
+        found: list = [None] * len(parts)
+        for at, (text, size, ids) in enumerate(zip(texts, lengths, self.encode(texts), strict=True)):
+            ids = np.array(ids, np.uint32)
+            ends = np.cumsum(self.width[ids])
+            want = np.cumsum(size + 1) - 1  # where each segment ends
+            last = np.searchsorted(ends, want)
+            if not _WIDE.search(text) and ends[-1] == want[-1] and (ends[last] == want).all() and (ends[last[:-1] + 1] == want[:-1] + 1).all():
+                first = np.concatenate([[0], last[:-1] + 2])
+                for k, a, b in zip(words[at * _TOGETHER : (at + 1) * _TOGETHER], first.tolist(), (last + 1).tolist(), strict=True):
+                    found[k] = ids[a:b]
+        alone = [k for k, x in enumerate(found) if x is None]
+        for k, ids in zip(alone, self.encode([parts[k].decode("utf-8", "replace") for k in alone]), strict=True):
+            found[k] = np.array(ids, np.uint32)
+        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+
+    def learn(self, keys: np.ndarray, parts: list[bytes]) -> None:
+        """Keep the ids of new segments; ``keys`` are sorted."""
+        ids, size = self.together(parts)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(self.used + 2 * len(ids), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.begin = np.insert(self.begin, at, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, at, size)
+        self.used += len(ids)
+
+    def known(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        there = at < len(self.keys)
+        there[there] = self.keys[at[there]] == keys[there]
+        return there
+
     def chunk(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts and where each text's begin."""
         start, end, of = segments(buf, offsets)
@@ -75,23 +128,18 @@ class Encoder:
         np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
         hashes = mix((sums[end] - sums[start]) * down[start])
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > _CACHE_MOST:
-            self.known.clear()
-        keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
-            data = buf.tobytes()
-            at = first[new]
-            found = self.encode([data[s:e].decode("utf-8", "replace") for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)])
-            for i, ids in zip(new, found, strict=True):
-                self.known[keys[i]] = np.array(ids, "<u4").tobytes()
-        ids = [self.known[k] for k in keys]
-        size = np.array([len(x) for x in ids], np.int64) // 4
-        flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(size)])
+        if len(self.keys) > _CACHE_MOST:
+            self.forget()
+        new = np.flatnonzero(~self.known(distinct))
+        if len(new):
+            data, at = buf.tobytes(), first[new]
+            self.learn(distinct[new], [data[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+        at = np.searchsorted(self.keys, distinct)
+        size, begin = self.size[at], self.begin[at]
         n = size[which]
         out = np.concatenate([[0], np.cumsum(n)])
         take = np.arange(out[-1]) + np.repeat(begin[which] - out[:-1], n)
-        return flat[take], out[of]
+        return self.flat[take], out[of]
 
 
 def segments(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,17 +256,19 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket: int = BUCKET) -> DataFrame:
-    """``pieces`` with sequence_id and offset; every sequence is gapless and holds at most ``capacity``."""
-    pieces = cut(pieces, "pieces")
-    buckets = max(1, -(-pieces.count() // bucket))
+    """``pieces`` with sequence_id and offset; every sequence is gapless and holds at most ``capacity``. Rows are dealt to buckets by a row
+    number, so equal and null ids spread like any others, and values stay in Arrow, so ids beside a null keep all their digits."""
+    row, which = fresh(pieces, "row", "bucket")
     names = pieces.columns
+    pieces = cut(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    buckets = max(1, -(-pieces.count() // bucket))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
-        order, seq, at = best_two_fit(pdf["length"].to_numpy(np.int64), capacity)
-        out = pdf[names].iloc[order].assign(sequence_id=seq * buckets + int(pdf["_bucket"].iat[0]), offset=at)
-        return out
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(row)
+        order, seq, at = best_two_fit(table.column("length").to_numpy().astype(np.int64), capacity)
+        own = table.column(which)[0].as_py()
+        return table.select(names).take(pa.array(order)).append_column("sequence_id", pa.array(seq * buckets + own)).append_column("offset", pa.array(at))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    return dealt.groupBy("_bucket").applyInPandas(run, schema)
+    schema = T.StructType([*(f for f in pieces.schema.fields if f.name != row), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    dealt = pieces.withColumn(which, F.pmod(F.xxhash64(row), F.lit(buckets)))
+    return dealt.groupBy(which).applyInArrow(run, schema)

@@ -252,6 +252,28 @@ def test_packing_odd_rows(odd):
     assert sum(r["doc_id"] is None for r in out) == 2 and sum(r["doc_id"] == 3 for r in out) == 2 * -(-6001 // 2048)
 
 
+def test_packing_keeps_long_ids_beside_null_ones(spark):
+    ids = [2**53 + 1, 2**53 + 3, None, None, -(2**63), 2**63 - 1]
+    df = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    out = rows(packing.pack(packing.tokenise(df)))
+    assert sorted((r["doc_id"] for r in out), key=str) == sorted(ids, key=str)
+
+
+def test_packing_spreads_equal_rows(spark):
+    df = spark.range(600).selectExpr("cast(null as long) as doc_id", "'same text' as text")
+    out = packing.pack(packing.tokenise(df), bucket=50)
+    assert out.count() == 600 and out.selectExpr("pmod(sequence_id, 12) as b").groupBy("b").count().selectExpr("max(count)").first()[0] < 150
+
+
+def test_segments_encoded_together(spark):
+    encoder = packing.Encoder.of(packing.tokenizer_path())
+    parts = [b" word", b"word", b"\n", b"  ", b" a\xc2\xa0", b"<|endoftext|>", b" x<|endoftext|>y", b"\xff\xfe", " 日本".encode(), b"\x1c", b" \x85"]
+    encoder.forget()
+    flat, size = encoder.together(parts)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(size)[:-1])] == encoder.encode([p.decode("utf-8", "replace") for p in parts])
+    encoder.forget()
+
+
 def test_best_two_fit_is_tight():
     rng = np.random.default_rng(1)
     for lengths in (rng.integers(1, 2049, 2000), rng.integers(300, 900, 3000), np.full(50, 2048), np.array([1]), np.zeros(0, np.int64)):
