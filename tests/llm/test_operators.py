@@ -206,6 +206,44 @@ def test_topk(spark):
     assert len(got[40]) == 14 and topk.search(df.limit(0), df).count() == 0 and topk.search(df, df.limit(0)).count() == 0
 
 
+def test_topk_large_weights(spark):
+    vectors = [(20, [4e7, 1.0]), (1, [4e7, 0.0]), (2, [-4e7, 0.0]), (3, [3e7, 5.0]), (4, [1e18, -6.25e25]), (40, [0.0, 0.0]), (60, [1.0, 1.0])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in vectors if i != 4], "vec_id long, embedding array<double>, score string")
+    got = {(r.query_id, r.vec_id): r.score for r in topk.search(df.where("vec_id % 20 = 0"), df, k=9).collect()}
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in vectors if i != 4}
+    assert got == {(q, i): sum(a * b for a, b in zip(whole[q], whole[i])) for q in (20, 40, 60) for i in whole if i != q}
+    assert got[20, 1] == 6553600000000000000
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert topk.search(df.where("vec_id = 20"), df, k=4).where("vec_id = 4").count() == 0  # its score is far too low to count
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(df.where("vec_id = 20"), df, k=9).collect()
+
+
+def test_topk_comes_from_scattered_postings(monkeypatch):
+    rng = np.random.default_rng(9)
+    dense = rng.integers(-9, 9, (50, 8)).astype(float)
+    for share in (0.2, 1.0):
+        x = dense * (rng.random(dense.shape) < share)
+        terms, rows = np.nonzero(x.T)
+        of = np.searchsorted(terms, np.arange(9))
+        row = {"ids": np.arange(50, dtype="<i8").tobytes(), "terms": np.arange(8, dtype="<i4").tobytes(), "of": of.astype("<i8").tobytes(), "rows": rows.astype("<i4").tobytes(), "weights": x[rows, terms].astype("<f8").tobytes()}
+        p = topk.Postings(row)
+        assert (topk.scores(p, p, 10, 40) == x[10:40] @ x.T).all()
+        monkeypatch.setattr(topk.Postings, "list", lambda self, k: (self.rows[:0], self.weights[:0]))
+        assert not topk.scores(p, p, 10, 40).any()  # without lists no score
+        monkeypatch.undo()
+
+
+def test_topk_long_vectors_and_grid(spark):
+    df = spark.createDataFrame([(k, [0.0] * 20000 + [float(k)]) for k in range(0, 60, 5)], "vec_id long, embedding array<double>")
+    got = topk.search(df.where("vec_id % 20 = 0"), df, k=1, block=3, query_block=2).collect()
+    assert {(r.query_id, r.vec_id) for r in got} == {(0, 5), (20, 55), (40, 55)}
+    for c, q in ((1, 1), (100_000, 20_000), (7, 1), (1, 50)):
+        across, down = topk.grid(c, q, 8)
+        assert across <= c and down <= q and c * q / (across * down) <= 1.5 * topk.PAIRS
+        assert c * down + q * across <= c * q or c * q < 200
+
+
 # ---- packing
 
 
