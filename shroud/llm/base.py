@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_BUCKETS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only where it is unset (local tests) one of our own."""
+    """The folder that ``spark.checkpoint.dir`` names; an error where it is unset, since a folder of one machine would lose rows."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or os.path.join(tempfile.gettempdir(), "checkpoints")
+    if not found:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables are written there")
+    return found
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -28,6 +31,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def likely(df: DataFrame, key: str, asked: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` falls in a bucket that a key of ``asked`` falls in: before a join that keeps the asked rows, so that the others
+    aren't shuffled. The broadcast has one number for each bucket, ``_BUCKETS`` at most; with far more keys than buckets all rows pass."""
+    name = fresh(df, "bucket")[0]
+    bucket = F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).alias(name)
+    return df.withColumn(name, bucket).join(F.broadcast(asked.select(bucket).distinct()), name, "left_semi").drop(name)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores in front where ``df`` has a column of that name."""
     taken = {c.lower() for c in df.columns}

@@ -5,13 +5,16 @@ A window is ``n`` consecutive words of a text; each word covered by a window who
 1. Confirm. A task hashes the words of whole texts. Each window is represented by its least ``GRAM``-word
    phrase (equal windows pick the same one), so one phrase in about fourteen words stands for all windows. Phrases
    are counted over the corpus (pre-aggregated); windows under a phrase that occurs once can't recur. Those left are hashed in full and
-   counted in the same way: what occurs twice is a recurring window, and runs of them are recurring passages.
-   Equal texts are one text from the start; if there are several, all of their windows recur.
-2. Compile. Texts that hold recurring passages are dealt into shards of about a megabyte. A shard's passages, as word sequences, make one
-   Aho-Corasick automaton, so its size follows the shard, not the corpus.
-3. Stream. Every text of the shard runs through the automaton, which locates every occurrence by the words themselves.
-
-Texts without candidate passages are done after step 1. Null texts have no words; null and repeated ids keep their rows; an empty table gives an empty result.
+   counted in the same way, with their first and their last place. A window that is there twice may recur: each of its places is told another one, and runs of
+   windows that are told running places of one text are a passage. Its words are read *there*. Equal texts are one text from the start; if there are several, all of
+   their windows recur.
+2. Compile. Texts are dealt by hash into shards of about ``SHARD_BYTES``. The passages that a shard may hold, each once, make one
+   Aho-Corasick automaton over the words themselves, so its size follows the shard, not the corpus.
+3. Stream. Every text of the shard runs through the automaton, which locates every occurrence, word for word. A match counts unless it is the very place that
+   the passage was read from. So hashes only propose: where words differ, nothing is found.
+
+Texts without a phrase that occurs twice can hold no passage and are done after step 1. Null texts have no words; null and repeated ids keep their rows; an empty table
+gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut
+from .base import cut, likely
 from .text import SPACES, Words, chunks
 
 WINDOW = 35
 GRAM = 8
+SHARD_BYTES = 1_000_000
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -76,7 +80,7 @@ def profiles(docs: DataFrame, n: int, gram: int) -> DataFrame:
 
 
 def window_hashes(texts: DataFrame, n: int) -> DataFrame:
-    """hash, text, first: of the windows that ``runs`` (first, count) of a text names."""
+    """hash, node, first, single: of the windows that ``runs`` (first, count) of a text names; single: the text is there once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,50 +101,86 @@ def window_hashes(texts: DataFrame, n: int) -> DataFrame:
                 total = np.concatenate([[0], np.cumsum(size)])
                 take = np.arange(total[-1]) + np.repeat(a - total[:-1], size)
                 doc = np.repeat(doc, size)
-                yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), batch.column(0).take(pa.array(lo + doc)), pa.array((at[take] - w.of[doc]).astype(np.int32))], names=["hash", "node", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), batch.column(0).take(pa.array(lo + doc)), pa.array((at[take] - w.of[doc]).astype(np.int32)), batch.column(3).take(pa.array(lo + doc))], names=["hash", "node", "first", "single"])
 
-    return texts.select("node", "text", "runs").mapInArrow(run, "hash long, node long, first int")
+    return texts.select("node", "text", "runs", (F.col("copies") == 1).alias("single")).mapInArrow(run, "hash long, node long, first int, single boolean")
 
 
-def _ranges(starts: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Word ranges of maximal passages: runs of windows one word apart."""
-    starts = np.unique(starts)
-    breaks = np.flatnonzero(np.diff(starts) != 1) + 1
-    return [(int(p[0]), int(p[-1]) + n) for p in np.split(starts, breaks) if len(p)]
+def told_places(hashes: DataFrame) -> DataFrame:
+    """node, first, src, src_first: for each recurring window of a text that is there once, another place of it."""
+    place = F.struct("node", "first")
+    often = hashes.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi")).where("n > 1")
+    # counts are written before they are joined: then both sides are plain tables, and a hot hash's rows can be split
+    often = cut(often.select("hash", "lo", "hi"), "windows")
+    other = F.when(place == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
+    return hashes.where("single").join(often, "hash").select("node", "first", other.alias("o")).select("node", "first", F.col("o.node").alias("src"), F.col("o.first").alias("src_first"))
 
 
-def located(texts: DataFrame, n: int) -> DataFrame:
-    """node, n_removed, kept_sha256, spans: by an automaton of the passages of each shard. ``texts``: node, text, starts."""
+def runs_of(places: DataFrame) -> DataFrame:
+    """node, src, src_first, size: runs of windows that are told running places. A text's rows lie together, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
+        for b in batches:
+            if not len(b):
+                continue
+            node, first, src, at = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            go = (node[1:] == node[:-1]) & (first[1:] == first[:-1] + 1) & (src[1:] == src[:-1]) & (at[1:] == at[:-1] + 1)
+            new = np.flatnonzero(np.concatenate([[True], ~go]))
+            size = np.diff(np.append(new, len(node)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array(src[new]), pa.array(at[new]), pa.array(size.astype(np.int32))], names=["node", "src", "src_first", "size"])
+
+    return places.repartition("node").sortWithinPartitions("node", "first").mapInArrow(run, "node long, src long, src_first int, size int")
 
+
+def passages(runs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """src, src_first, size, words: the words of each distinct run, read from its source."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offsets in chunks(batch.column(1)):
-                w = Words(buf, offsets, SPACES)
-                codes = np.unique(w.hash, return_inverse=True)[1] + 1
-                own = [tuple(codes[w.of[d] : w.of[d + 1]].tolist()) for d in range(hi - lo)]
-                passages = {own[d][a:b] for d, s in enumerate(batch.column(2).slice(lo, hi - lo)) for a, b in _ranges(np.asarray(s.as_py(), np.int64), n)}
-                automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-                for p in passages:
-                    automaton.add_word(p, len(p))
-                automaton.make_automaton()
-                data = buf.tobytes()
-                removed, sha, spans = [], [], []
-                for d, words in enumerate(own):
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    for end, length in automaton.iter(words):
-                        edge[end + 1 - length] += 1
-                        edge[end + 1] -= 1
-                    gone = np.cumsum(edge[:-1]) > 0
-                    s, e = w.start[w.of[d] : w.of[d + 1]][~gone].tolist(), w.end[w.of[d] : w.of[d + 1]][~gone].tolist()
-                    sha.append(hashlib.sha256(b" ".join([data[a:b] for a, b in zip(s, e, strict=True)])).hexdigest())
-                    removed.append(int(gone.sum()))
-                    turn = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                    spans.append([{"first": int(a), "end": int(b)} for a, b in zip(turn[::2], turn[1::2], strict=True)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(removed, pa.int64()), pa.array(sha), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))], names=["node", "n_removed", "kept_sha256", "spans"])
-
-    return texts.select("node", "text", "starts").mapInArrow(run, "node long, n_removed long, kept_sha256 string, spans array<struct<first: int, end: int>>")
+            for src, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words = text.encode().split()
+                rows = [(src, r["src_first"], r["size"], b" ".join(words[r["src_first"] : r["src_first"] + r["size"] + n - 1])) for r in asked]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["src", "src_first", "size", "words"])
+
+    asked = runs.groupBy("src").agg(F.collect_set(F.struct("src_first", "size")).alias("asked"))
+    return asked.join(texts.select(F.col("node").alias("src"), "text"), "src").select("src", "text", "asked").mapInArrow(read, "src long, src_first int, size int, words binary")
+
+
+def located(texts: DataFrame, routed: DataFrame) -> DataFrame:
+    """node, n_removed, kept_sha256, spans, by one automaton for each shard. ``texts``: shard, node, text; ``routed``: shard, src, src_first, words."""
+    span = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
+    shape = pa.schema([("node", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", span)])
+
+    def run(own: pa.Table, known: pa.Table) -> pa.Table:
+        import ahocorasick
+
+        codes: dict[bytes, int] = {}
+        code = lambda words: tuple([codes.setdefault(w, len(codes) + 1) for w in words])
+        sources: dict[tuple, list[tuple[int, int]]] = {}
+        for src, first, words in zip(*(known.column(c).to_pylist() for c in ("src", "src_first", "words")), strict=True):
+            sources.setdefault(code(words.split()), []).append((src, first))
+        if not sources:
+            return shape.empty_table()
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for p, places in sources.items():
+            automaton.add_word(p, (len(p), places[0] if len(places) == 1 else None))  # words read from two places are always from another one
+        automaton.make_automaton()
+        out = []
+        for node, text in zip(own.column("node").to_pylist(), own.column("text").to_pylist(), strict=True):
+            words = text.encode().split()
+            edge = np.zeros(len(words) + 1, np.int64)
+            for end, (length, source) in automaton.iter(code(words)):
+                at = end + 1 - length
+                if source != (node, at):
+                    edge[at] += 1
+                    edge[end + 1] -= 1
+            gone = np.cumsum(edge[:-1]) > 0
+            turn = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+            kept = hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])).hexdigest()
+            out.append({"node": node, "n_removed": int(gone.sum()), "kept_sha256": kept, "spans": [{"first": int(a), "end": int(b)} for a, b in zip(turn[::2], turn[1::2], strict=True)]})
+        return pa.Table.from_pylist(out, shape)
+
+    return texts.groupBy("shard").cogroup(routed.groupBy("shard")).applyInArrow(run, "node long, n_removed long, kept_sha256 string, spans array<struct<first: int, end: int>>")
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,13 +194,17 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, i
     often = cut(phrases.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "phrases")
     runs = phrases.join(often, "hash").groupBy("node").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
     runs = cut(runs.join(keys.select("node", "text_key", "copies"), "node"), "runs")
-    # one text of each key; copies meet before the shuffle
-    texts = docs.where("text is not null").groupBy(F.md5("text").alias("text_key")).agg(F.first("text").alias("text"))
+    # one text of each key; copies meet before the shuffle, and texts that nobody asks for stay where they are
+    texts = likely(docs.where("text is not null").withColumn("text_key", F.md5("text")), "text_key", runs).groupBy("text_key").agg(F.first("text").alias("text"))
     texts = cut(runs.join(texts, "text_key").select("node", "copies", "text", "runs"), "candidates")
-    hashes = window_hashes(texts, window)
-    often = cut(hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "windows")
-    starts = hashes.join(often, "hash").groupBy("node").agg(F.collect_list("first").alias("starts"))
-    found = located(texts.where("copies = 1").select("node", "text").join(starts, "node"), window)
+    pieces = runs_of(told_places(cut(window_hashes(texts, window), "hashes")))
+    total = texts.where("copies = 1").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shard = F.pmod(F.xxhash64("node"), F.lit(max(1, -(-total // SHARD_BYTES))))
+    pieces = cut(pieces.withColumn("shard", shard), "routes")
+    read = cut(passages(pieces, texts, window), "passages")
+    routed = pieces.select("shard", "src", "src_first", "size").distinct().join(read, ["src", "src_first", "size"]).select("shard", "src", "src_first", "words")
+    some = texts.where("copies = 1").join(pieces.select("node").distinct(), "node", "left_semi").select(shard.alias("shard"), "node", "text")
+    found = located(some, routed)
     found = cut(keys.select("node", "text_key", "copies").join(found, "node", "left").where("copies > 1 or n_removed > 0").drop("node"), "found")
     whole = F.col("copies") > 1
     out = rows.select("doc_id", "text_key", "n_words", "whole_sha256").join(found, "text_key", "left")

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shroud.llm import decontam, licenses, packing, pii, quality, secrets, sharding, substring, topk
 from shroud.llm.text import ALNUM, LOWER, SPACES, Words, chunks
@@ -150,6 +151,23 @@ def test_repeated_passages(spark, seed):
     assert got == dict(enumerate(brute_passages(texts, 12)))
 
 
+def test_passages_are_located_by_words(spark):
+    texts = spark.createDataFrame([(0, 1, "a b c d e x a b c d e"), (0, 2, "p q r"), (0, 3, "x a b c d f")], "shard long, node long, text string")
+    routed = spark.createDataFrame([(0, 9, 4, b"b c d"), (0, 2, 0, b"p q"), (0, 9, 0, b"other words"), (0, 3, 1, b"a b c d")], "shard long, src long, src_first int, words binary")
+    got = {r["node"]: [(s["first"], s["end"]) for s in r["spans"]] for r in rows(substring.located(texts, routed))}
+    assert got == {1: [(0, 4), (6, 10)], 2: [], 3: [(2, 5)]}  # a passage doesn't count at the place that it was read from
+
+
+def test_equal_hashes_of_other_words_remove_nothing(spark, monkeypatch):
+    texts = [" ".join(f"{a}{k}" for k in range(40)) for a in "abc"] + ["x " + " ".join(f"a{k}" for k in range(40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    same = lambda hashes: hashes.withColumn("hash", F.col("first") * 0)
+    real = substring.window_hashes
+    monkeypatch.setattr(substring, "window_hashes", lambda t, n: same(real(t, n)))
+    got = {r["doc_id"]: r["n_removed"] for r in rows(substring.repeated_passages(df, window=12, gram=4))}
+    assert got[1] == got[2] == 0
+
+
 def test_repeated_passages_odd_rows(odd):
     got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in rows(substring.repeated_passages(odd)))
     assert got == [("1", 0, 0), ("2", 0, 0), ("3", 6000, 6000), ("3", 6000, 6000), ("4", 0, 0), ("5", 1, 0), ("6", 4, 0), ("None", 0, 0), ("None", 4, 0)]
