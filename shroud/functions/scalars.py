@@ -65,10 +65,12 @@ def bounded(x: str) -> str:
 def context_score(s: Sql, window: str) -> str:
     """Words in the lower-case window, within -36 and 24."""
     quote = lambda w: "".join("\\" + c if c in r".*+?^${}()|[]\/" else c for c in w)
-    plus = [f"CASE WHEN {s.test(window, chr(92) + 'b' + quote(w) + chr(92) + 'b')} THEN 6 ELSE 0 END" for w in KEYWORDS]
-    minus = [f"CASE WHEN {s.test(window, chr(92) + 'b' + quote(w) + chr(92) + 'b')} THEN -14 ELSE 0 END" for w in NEGATIVE_WORDS]
-    both = f"CASE WHEN {s.test(window, r'\bauthorization\b')} AND {s.test(window, r'\bbearer\b')} THEN 8 ELSE 0 END"
-    some = f"CASE WHEN {s.test(window, r'\b(?:env|environment|credential|secret|token|password)\b')} THEN 5 ELSE 0 END"
+    # a word is searched for as it is before its boundaries are tested: most windows hold few of them
+    held = lambda w: f"contains({window}, {s.text(w)}) AND {s.test(window, chr(92) + 'b' + quote(w) + chr(92) + 'b')}"
+    plus = [f"CASE WHEN {held(w)} THEN 6 ELSE 0 END" for w in KEYWORDS]
+    minus = [f"CASE WHEN {held(w)} THEN -14 ELSE 0 END" for w in NEGATIVE_WORDS]
+    both = f"CASE WHEN {held('authorization')} AND {held('bearer')} THEN 8 ELSE 0 END"
+    some = f"CASE WHEN {' OR '.join(f'({held(w)})' for w in ('env', 'environment', 'credential', 'secret', 'token', 'password'))} THEN 5 ELSE 0 END"
     return f"least(24, greatest(-36, {' + '.join([*plus, *minus, both, some])}))"
 
 

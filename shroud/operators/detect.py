@@ -17,7 +17,7 @@ from ..functions.dialect import SPARK as Q
 from ..functions.dialect import Sql
 from ..sources.scratch import spread
 from .rules import FAIL_CLOSED, KNOWN_SECRET, PATTERNS, REGISTRY, Rule
-from .spans import best_per_span, matches_sql, resolve_overlaps
+from .spans import best_per_span, chunks_sql, line_after_sql, line_before_sql, matches_sql, resolve_overlaps
 
 CANDIDATE = "array<struct<source:string,rule:int,order:int,start:int,end:int,raw:string,key:string,matched:string,before:string,after:string>>"
 ASSIGNMENT = (
@@ -39,8 +39,7 @@ def any_marker(low: str, markers: Iterable[str]) -> str:
 
 def candidate_sql(text: str, found: str, source: str, rule: int, key: str = "''") -> str:
     """Matches with their rule and their surroundings on the line."""
-    before = f"substring_index(substr({text}, 1, m.start), '\\n', -1)"
-    after = f"regexp_replace(substring_index(substr({text}, m.end + 1), '\\n', 1), r'\\r\\z', '')"
+    before, after = line_before_sql(text, "_chunks", "m.start"), line_after_sql(text, "_chunks", "m.end")
     return f"transform({found}, (m, i) -> named_struct('source', '{source}', 'rule', {rule}, 'order', i, 'start', m.start, 'end', m.end, 'raw', m.raw, 'key', {key}, 'matched', m.matched, 'before', {before}, 'after', {after}))"
 
 
@@ -67,7 +66,7 @@ def candidates(docs: DataFrame, rules: Iterable[Rule] = RULES, detectors: Iterab
         parts.append(_gated("contains(_t, '@')", candidate_sql("_t", matches_sql("_t", EMAIL, "i"), "email", -1)))
     if "entropy" in wanted:
         parts.append(candidate_sql("_t", matches_sql("_t", ENTROPY_TOKEN), "entropy", -1))
-    rows = spread(docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).where(F.length(F.trim("_t")) > 0)).withColumn("_low", F.lower("_t"))
+    rows = spread(docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).where(F.length(F.trim("_t")) > 0)).withColumns({"_low": F.lower("_t"), "_chunks": F.expr(chunks_sql("_t"))})
     # a column for each few rules keeps generated code small
     arrays = {f"_a{at}": F.expr("concat(" + ", ".join(parts[at : at + 9]) + ")") for at in range(0, len(parts), 9)}
     return rows.withColumns(arrays).select(*keep, F.inline(F.concat(*arrays)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spans import lines, matches
+from ..functions.arrays import running
+from .spans import let, lines, matches
 
 # Label and value tests in order.
 GUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
@@ -28,24 +29,18 @@ def label(x: Column) -> Column:
 
 def line_rows(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row a line with its number and offsets."""
-    return docs.select(*keep, F.posexplode(lines(F.col("text"))).alias("line_no", "l")).select(*keep, "line_no", "l.line", "l.start", "l.end")
+    return docs.select(*keep, F.posexplode(lines("text")).alias("line_no", "l")).select(*keep, "line_no", "l.line", "l.start", "l.end")
 
 
 def cells(line: str, delimiter: str) -> Column:
     """Cells of a line with offsets in it; quotes may hold the delimiter, doubled quotes stand for one."""
     d = {"\t": r"\t", "|": r"\|"}.get(delimiter, delimiter)
-    tokens = F.regexp_extract_all(F.concat(F.col(line), F.lit(delimiter)), F.lit(rf'(?:"(?:[^"]|"")*"|[^{d}])*{d}'), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<value:string,start:int>>)").alias("out"))
-
-    def add(acc: Column, t: Column) -> Column:
-        raw = F.substr(t, F.lit(1), F.length(t) - 1)
-        quoted = F.trim(raw).rlike('^".*"$')
-        lead = F.length(raw) - F.length(F.ltrim(raw)) + F.when(quoted, 1).otherwise(0)
-        value = F.when(quoted, F.replace(F.regexp_replace(F.trim(raw), '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(F.trim(raw))
-        one = F.struct(value.alias("value"), (acc["at"] + lead).cast("int").alias("start"))
-        return F.struct((acc["at"] + F.length(t)).cast("int").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    return F.aggregate(tokens, zero, add, lambda acc: acc["out"])
+    tokens = f"regexp_extract_all(concat({line}, '{delimiter}'), r'(?:\"(?:[^\"]|\"\")*\"|[^{d}])*{d}', 0)"
+    raw = "left(t, length(t) - 1)"
+    quoted = f"regexp_like(trim({raw}), '^\".*\"$')"
+    value = f"CASE WHEN {quoted} THEN replace(regexp_replace(trim({raw}), '^\"|\"$', ''), '\"\"', '\"') ELSE trim({raw}) END"
+    start = f"cast(at[i] + length({raw}) - length(ltrim({raw})) + CASE WHEN {quoted} THEN 1 ELSE 0 END as int)"
+    return F.expr(let(tokens, "ts", let("transform(ts, t -> cast(length(t) as bigint))", "n", let(running("n"), "at", f"transform(ts, (t, i) -> named_struct('value', {value}, 'start', {start}))"))))
 
 
 def delimited(docs: DataFrame, delimiter: str = ",", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

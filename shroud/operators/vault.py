@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import running
 from ..functions.dialect import java
 from ..functions.scalars import CLEAN_TOKEN, TOKEN, fnv1a
-from .spans import matches_sql, replace_spans
+from .spans import let, matches_sql, replace_spans
 
 ALIAS_OFFSET = 1_000_000
 
@@ -85,7 +86,8 @@ def reuse(docs: DataFrame, vault: DataFrame, session: str = "session_id", least:
     """
     known = vault.where(F.length("raw") >= least).select(session, "raw", "placeholder")
     met = docs.select(*keep, session, "text").join(known, session).where(F.contains("text", F.col("raw")))
-    places = F.expr("aggregate(slice(split(text, concat(r'\\Q', raw, r'\\E'), -1), 1, size(split(text, concat(r'\\Q', raw, r'\\E'), -1)) - 1), named_struct('at', 0, 'out', cast(array() as array<int>)), (a, g) -> named_struct('at', a.at + length(g) + length(raw), 'out', concat(a.out, array(a.at + length(g)))), a -> a.out)")
+    parts = let(r"split(text, concat(r'\Q', raw, r'\E'), -1)", "xs", let("transform(xs, x -> cast(length(x) + length(raw) as bigint))", "n", let(running("n"), "at", "transform(slice(xs, 1, size(xs) - 1), (x, i) -> cast(at[i] + length(x) as int))")))
+    places = F.expr(parts)
     each = met.select(*keep, session, "raw", "placeholder", F.explode(places).alias("start")).withColumn("end", F.col("start") + F.length("raw"))
     longer = each.select(*(F.col(c).alias(f"_{c}") for c in keep), F.col("start").alias("_start"), F.col("end").alias("_end"))
     same = " AND ".join(f"{c} = _{c}" for c in keep)
