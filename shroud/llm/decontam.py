@@ -7,8 +7,9 @@ transform of those runs in a wavelet matrix with rank counts, plus every eighth
 are searched backwards at once, one word a step; the ranges left are walked to sampled positions, and the
 located windows of a document are merged into removal spans.
 
-Nothing is shuffled. The benchmark is read in blocks of at most ``BLOCK_BYTES`` (its size is measured first);
-each block is one more pass over the rows as they stream by, so its size isn't bounded by memory.
+No document is shuffled. The benchmark is cut in pieces of at most ``PIECE`` bytes and dealt by hash to blocks of about ``BLOCK_BYTES`` (its size is measured
+first). A block's texts are broadcast, which that bounds; workers make its windows. Each block is one more pass over the rows as they stream by, so
+the benchmark isn't bounded by memory.
 
 A null text has no words. Benchmark rows without an id count for spans and hits, but not in the list of items. Null ids are kept as they are, repeated rows each get their result, an empty
 benchmark hits nothing, an empty table gives an empty result. Other columns are not touched.
@@ -16,6 +17,7 @@ benchmark hits nothing, an empty table gives an empty result. Other columns are
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,34 +25,72 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import fresh
+from .base import cut, fresh
 from .text import ALNUM, LOWER, Words, chunks
 
 WINDOW = 13
 SAMPLE = 8
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 4_000_000
+PIECE = 65_536
 
 
 class Windows:
-    """Distinct windows of benchmark items as rows of word codes (1..), and the items that hold each."""
-
-    def __init__(self, items: list[tuple[str, str]], n: int):
-        texts = pa.array([t for _, t in items], pa.string())
-        rows: dict[tuple, set[str]] = {}
-        parts = [(lo, Words(LOWER[buf], off, ALNUM)) for lo, _, buf, off in chunks(texts)]
-        self.vocabulary = np.unique(np.concatenate([w.hash for _, w in parts])) if parts else np.zeros(0, np.uint64)
+    """Distinct windows of benchmark pieces as rows of word codes (1..), and the items that hold each. Made in a worker, by array work on the pieces' words."""
+
+    def __init__(self, items: list[tuple[str | None, str]], n: int):
+        self.vocabulary, self.codes, self.length = np.zeros(0, np.uint64), np.zeros((0, n), np.int64), np.zeros(0, np.int64)
+        self.items: list[list[str]] = []
+        parts = [(lo, Words(LOWER[buf], off, ALNUM)) for lo, _, buf, off in chunks(pa.array([t for _, t in items], pa.string()))]
+        if not parts:
+            return
+        self.vocabulary = np.unique(np.concatenate([w.hash for _, w in parts]))
+        rows, owners = [], []
         for lo, w in parts:
-            codes = np.searchsorted(self.vocabulary, w.hash) + 1
-            for d in range(len(w.of) - 1):
-                own = codes[w.of[d] : w.of[d + 1]].tolist()
-                for k in range(max(1, len(own) - n + 1) if own else 0):
-                    rows.setdefault(tuple(own[k : k + n]), set()).update(i for i in items[lo + d][:1] if i is not None)
-        self.rows = list(rows)
-        self.items = [sorted(x) for x in rows.values()]
-        self.length = np.array([len(x) for x in self.rows], np.int64)
-        self.codes = np.zeros((len(self.rows), n), np.int64)
-        for k, x in enumerate(self.rows):
-            self.codes[k, n - len(x) :] = x  # right-aligned: the search runs backwards
+            codes, size = np.searchsorted(self.vocabulary, w.hash) + 1, np.diff(w.of)
+            count = np.where(size > 0, np.maximum(1, size - n + 1), 0)  # windows of each piece
+            owner = np.repeat(np.arange(len(size)), count)
+            begin = w.of[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            long = np.minimum(size[owner], n)
+            place = begin[:, None] + np.arange(n) - (n - long)[:, None]  # right-aligned: the search runs backwards
+            rows.append(np.where(place >= begin[:, None], np.append(codes, 0)[np.clip(place, 0, len(codes))], 0))
+            owners.append(owner + lo)
+        self.codes, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.length = (self.codes > 0).sum(axis=1)
+        held = np.unique(np.stack([which.reshape(-1), np.concatenate(owners)], axis=1), axis=0)
+        of = np.searchsorted(held[:, 0], np.arange(len(self.codes) + 1))
+        names = [i for i, _ in items]
+        self.items = [sorted({names[k] for k in held[a:b, 1].tolist() if names[k] is not None}) for a, b in zip(of[:-1].tolist(), of[1:].tolist(), strict=True)]
+
+
+def pieces(benchmark: DataFrame, n: int, size: int) -> DataFrame:
+    """item, text: texts of more than ``size`` bytes cut between words into overlapping pieces that hold the same windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, buf, offsets in chunks(batch.column(1), 1):  # a text at a time
+                item, data = batch.column(0)[lo].as_py(), buf.tobytes()
+                w = Words(LOWER[buf], offsets, ALNUM) if len(buf) > size else None
+                texts = [data.decode("utf-8", "replace")]
+                if w is not None and len(w.start) > n:
+                    texts, at = [], 0
+                    while at < len(w.start):
+                        end = min(max(int(np.searchsorted(w.end, w.start[at] + size)), at + n), len(w.start))
+                        texts.append(data[w.start[at] : w.end[end - 1]].decode("utf-8", "replace"))
+                        at = len(w.start) if end == len(w.start) else end - n + 1
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(texts), pa.string()), pa.array(texts, pa.string())], names=["item", "text"])
+
+    return benchmark.mapInArrow(run, "item string, text string")
+
+
+_made: dict[str, Windows] = {}
+
+
+def windows_of(key: str, items: list[tuple[str | None, str]], n: int) -> Windows:
+    """The windows of a block of the benchmark, made once in each worker; the last one is kept."""
+    if key not in _made:
+        _made.clear()
+        _made[key] = Windows(items, n)
+    return _made[key]
 
 
 class FMIndex:
@@ -138,7 +178,7 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
 
 def shard_hits(w: Words, windows: Windows) -> Iterator[tuple[int, int, int, int]]:
     """(text, first word, end word, window) of every occurrence in a chunk."""
-    if not len(w.hash) or not len(windows.rows):
+    if not len(w.hash) or not len(windows.codes):
         return
     voc = windows.vocabulary
     at = np.minimum(np.searchsorted(voc, w.hash), len(voc) - 1)
@@ -195,17 +235,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, names: tuple[str, str, str] = ("
     """``docs`` with three more columns: the number of words, the merged word ranges that windows cover, and the ids of the
     items that occur, as sorted strings."""
     bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null")
+    bench = cut(pieces(bench, window, min(PIECE, block_bytes)), "benchmark")
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     at = docs.columns.index(text_col)
     out = docs.select("*", F.lit(0).cast("long").alias(names[0]), F.expr("cast(array() as array<struct<first: int, end: int>>)").alias(names[1]), F.expr("cast(array() as array<string>)").alias(names[2]))
     sc = docs.sparkSession.sparkContext
     for block in range(blocks):
-        part = bench.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else bench
-        sent = sc.broadcast(Windows([(r[0], r[1]) for r in part.collect()], window))
+        part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else bench
+        sent = sc.broadcast((uuid.uuid4().hex, [(r[0], r[1]) for r in part.collect()]))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            windows = sent.value
+            windows = windows_of(*sent.value, window)
             for batch in batches:
                 for lo, hi, buf, offsets in chunks(batch.column(at)):
                     w = Words(LOWER[buf], offsets, ALNUM)

@@ -3,7 +3,7 @@
 Found: e-mail addresses, IPv4 addresses, payment card numbers of 13 to 19 digits, telephone numbers, social
 security numbers, IBANs and calendar dates. Each is validated (what isn't valid stays as it is), then read as a number of the set of
 all values of its own format, and moved in that set by a keyed Feistel permutation with cycle walking. So a pseudonym
-has the layout and the validity (check digits, real dates, octets) of its value, equal values get equal pseudonyms in
+has the layout and the validity (check digits, real dates, octets) of its value, dates are linked over layouts, equal values get equal pseudonyms in
 every document (but where digits beside a card would make a longer or an earlier run valid, the walk goes on to a pseudonym for which they
 don't; a rejected run that reaches into a second value isn't followed, so that rare text may not turn back), and who has the key can turn them back (``reverse=True``).
 
@@ -13,6 +13,7 @@ and other columns are kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -42,6 +43,8 @@ IBAN_LENGTH = {c: n for n, cs in {15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19:
 _TOKEN = re.compile(r"[ -]?[^ -]+")
 _DIGITS = re.compile(r"\d")
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+_EARLY = [k for k in range(_FIRST, _LAST + 1) if datetime.date.fromordinal(k).day <= 12]
+_LATE = [k for k in range(_FIRST, _LAST + 1) if datetime.date.fromordinal(k).day > 12]
 
 
 def feistel(value: int, size: int, key: bytes, tweak: str, reverse: bool = False) -> int:
@@ -81,7 +84,7 @@ class Cipher:
     """Pseudonyms of single values; None if a value is not valid, and so is left as it is."""
 
     def __init__(self, key: bytes, reverse: bool = False):
-        self.key, self.reverse = key[:64], reverse
+        self.key, self.reverse = key if len(key) <= 64 else hashlib.blake2b(key).digest(), reverse
 
     def move(self, value: int, size: int, tweak: str, ok: Callable[[int], bool] = lambda _: True) -> int:
         while True:
@@ -141,8 +144,9 @@ class Cipher:
             return None
         if not _FIRST <= at <= _LAST:
             return None
-        late = order == "dmy" and s[2] == "/"  # read as day first only because no month is so large
-        day = datetime.date.fromordinal(_FIRST + self.move(at - _FIRST, _LAST - _FIRST + 1, "date" + order, lambda v: not late or datetime.date.fromordinal(_FIRST + v).day > 12))
+        # days that may be a month's number and later ones are moved among themselves, so every layout is read again as it was, and one date has one pseudonym in all layouts
+        own = _EARLY if d <= 12 else _LATE
+        day = datetime.date.fromordinal(own[self.move(bisect.bisect_left(own, at), len(own), "date" + ("early" if d <= 12 else "late"))])
         parts = {"y": f"{day.year:04d}", "m": f"{day.month:02d}", "d": f"{day.day:02d}"}
         return (s[4] if order == "ymd" else s[2]).join(parts[k] for k in order)
 

@@ -5,9 +5,10 @@ four bytes with every letter folded to its case, and runs of "same word as befor
 indicator is scaled by the log ratio of its rates in the two classes, and a linear hinge-loss model is fitted on
 the scaled indicators by dual coordinate descent. Margins become scores by a logistic curve fitted on the same rows.
 
-The model is fitted on a bounded sample: at most about ``SAMPLE`` labelled rows, taken by a hash of the id
+The model is fitted on a bounded sample: at most about ``SAMPLE`` labelled rows and ``SAMPLE_BYTES`` of text, taken by a hash of the id
 among all rows that may be learned from. The sample's ids are few enough to broadcast (the bound is that
-parameter), so no text is shuffled; scoring is one pass over the table in tasks.
+parameter), so no text is shuffled; the sampled texts are written, measured and, if they are more than the bound, thinned by the hash again. What goes to
+the driver is their buckets, at most about six bytes for each byte of text. Scoring is one pass over the table in tasks.
 
 Null texts count as empty. Without labels of both classes every text scores the rate of label 1, or 0.5. Null or
 repeated ids, empty tables and other columns do no harm: one result for each row.
@@ -24,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import fresh
+from .base import cut, fresh
 from .text import SPACES, Words, chunks, mix, windows
 
 BUCKETS = 1 << 18
 SAMPLE = 20_000
+SAMPLE_BYTES = 64_000_000
 _MASK = np.uint64(BUCKETS - 1)
 #: Letters fold to a or A, bytes above ASCII to a, digits to 0, white space to blank.
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -123,7 +125,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learnable: str = "pmod(crc32(cast(doc_id as string)), 3) <> 1", label_col: str = "quality", sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learnable: str = "pmod(crc32(cast(doc_id as string)), 3) <> 1", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit on labelled rows; ``learnable`` says in SQL, from doc_id, which."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(learnable)
     count = known.count()
@@ -139,7 +141,11 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: str = "pmod(crc32(cast(do
                 found = [bucket[of[i] : of[i + 1]].astype("<i4").tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(found, pa.binary())], names=["doc_id", "y", "buckets"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, buckets binary").collect()
+    some = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("doc_id", "y", "text"), "sample")
+    total = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > sample_bytes:
+        some = some.where(F.pmod(F.xxhash64("doc_id", F.lit("bytes")), F.lit(1_000_000)) < int(1_000_000 * sample_bytes / total))
+    rows = some.mapInArrow(run, "doc_id long, y int, buckets binary").collect()
     rows.sort(key=lambda r: (r.doc_id, len(r.buckets), zlib.crc32(r.buckets)))
     x, y = [np.frombuffer(r.buckets, "<i4") for r in rows], np.array([r.y for r in rows], np.int64)
     if not 0 < y.sum() < len(y):
