@@ -142,21 +142,23 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, ro
 
 def _license_sql() -> str:
     def canonical(x: str) -> str:
-        out = f"regexp_replace(lower({x}), '(?m)^[^[:alnum:]\\n]*(?:copyright|\\(c\\)|©)[^\\n]*\\d{{4}}[^\\n]*$', ' ', 'g')"
-        out = f"regexp_replace({out}, '(?m)^[^[:alnum:]\\n]*all rights reserved\\.?\\s*$', ' ', 'g')"
-        out = f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+        out = x
+        for line in licenses.COPYRIGHT:
+            out = f"regexp_replace({out}, '{line.format(alnum='[:alnum:]')}', ' ', 'g')"
+        out = f"trim(regexp_replace(lower({out}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
         for a, b in licenses.SPELLINGS:
             out = f"regexp_replace({out}, '\\b{a}\\b', '{b}', 'g')"
         return out
 
     rows = ", ".join(f"('{a}', '{t.replace(chr(39), chr(39) * 2)}')" for a, _, t in licenses.KNOWN)
+    long = ", ".join(f"('{a}', '{d}')" for a, _, d in licenses.DIGESTS)
     marked = lambda x: "(" + " OR ".join(f"contains(lower({x}), '{m}')" for m in licenses.MARKERS) + ")"
     return f"""
-WITH k AS (SELECT canonical, min(license) AS license FROM (SELECT license, {canonical("t")} AS canonical FROM (VALUES {rows}) x(license, t)) GROUP BY 1),
+WITH k AS (SELECT digest, min(license) AS license FROM (SELECT license, sha256({canonical("t")}) AS digest FROM (VALUES {rows}) x(license, t) UNION ALL SELECT * FROM (VALUES {long}) y(license, digest)) GROUP BY 1),
 u AS (SELECT doc_id, 'document' AS kind, text AS x FROM documents WHERE {marked("text")}
   UNION ALL SELECT * FROM (SELECT doc_id, 'line', unnest(regexp_split_to_array(text, '\\r?\\n')) AS x FROM documents WHERE contains(text, chr(10))) WHERE {marked("x")}
   UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph', unnest(regexp_split_to_array(text, '\\n(?:[ \\t\\r]*\\n)+')) AS x FROM documents WHERE regexp_matches(text, '\\n[ \\t\\r]*\\n')) WHERE {marked("x")} AND contains(trim(x), chr(10))),
-f AS (SELECT doc_id, kind, license FROM u JOIN k ON k.canonical = {canonical("x")}),
+f AS (SELECT doc_id, kind, license FROM u JOIN k ON k.digest = sha256({canonical("x")})),
 g AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) AS n_units, max(license) FILTER (kind = 'document') AS whole_text FROM f GROUP BY 1)
 SELECT d.doc_id, coalesce(licenses, '') AS licenses, coalesce(n_units, 0) AS n_units, whole_text FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id
 """

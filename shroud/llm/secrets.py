@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import running
+from ..operators.spans import let
 from .base import cut
 
 #: The patterns of the base kinds, in the order that breaks ties.
@@ -30,24 +32,26 @@ FEW_OWNERS = 2
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 
 
-def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
-    """Leftmost matches with offsets: what lies between them, and their lengths, add up to their places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long"))
-    start = F.lit(0).cast("long")
-    empty = F.lit(None).cast(_SPAN)
+def spans(text: str, pattern: str, kind: int, group: int = 0, least: int = 0) -> str:
+    """SQL text of leftmost matches with offsets: running sums over what lies between them and their lengths give their places."""
+    rx = "r'" + pattern.replace("'", r"\x27") + "'"
+    found = f"regexp_extract_all({text}, {rx}, 0)"
+    parts = f"filter(arrays_zip({found}, slice(split({text}, {rx}, -1), 1, greatest(size({found}), 1)), regexp_extract_all({text}, {rx}, {group})), z -> z.`0` IS NOT NULL)"
+    first = "at[i] + length(z.`1`)"
+    made = f"transform(zs, (z, i) -> named_struct('start', {first}, 'kind', {kind}, 'end', {first} + length(z.`0`), 'value', z.`2`))"
+    out = let(parts, "zs", let("transform(zs, z -> cast(length(z.`0`) + length(z.`1`) as bigint))", "n", let(running("n"), "at", made)))
+    return f"filter({out}, s -> length(s.value) >= {least})" if least else out
 
-    def add(acc: Column, m: Column) -> Column:
-        at = acc["at"] + m["gap"]
-        end = at + F.length(m["match"])
-        new = F.array(F.struct(at.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m["value"].alias("value")))
-        return F.struct(end.alias("at"), F.when(F.length(m["value"]) >= least, F.concat(acc["out"], new)).otherwise(acc["out"]).alias("out"))
 
-    zipped = F.arrays_zip(found.alias("match"), value.alias("value"), F.slice(gaps, 1, F.greatest(F.size(found), F.lit(1))).alias("gap"))
-    zipped = F.transform(F.filter(zipped, lambda z: z["match"].isNotNull()), lambda z: F.struct(z["match"].alias("match"), z["value"].alias("value"), z["gap"].alias("gap")))
-    first = F.struct(start.alias("at"), F.coalesce(empty, F.expr(f"cast(array() as {_SPAN})")).alias("out"))
-    return F.aggregate(zipped, first, add, lambda acc: acc["out"])
+def alone(base: str, more: str) -> str:
+    """SQL text of all spans by start, without those of kind 3 that a base span overlaps: what ends before and what starts after is swept once."""
+    far = str(2**62) + "L"
+    ends = "transform(xs, s -> CASE WHEN s.kind < 3 THEN s.end ELSE 0L END)"
+    starts = f"transform(reverse(xs), s -> CASE WHEN s.kind < 3 THEN s.start ELSE {far} END)"
+    kept = "filter(xs, (s, i) -> s.kind < 3 OR (before[i] <= s.start AND after[size(xs) - 1 - i] >= s.end))"
+    before = running("e", lambda a, b: f"greatest({a}, {b})")
+    after = running("r", lambda a, b: f"least({a}, {b})", far)
+    return let(f"array_sort(concat({base}, {more}))", "xs", let(ends, "e", let(before, "before", let(starts, "r", let(after, "after", kept)))))
 
 
 def looks_random(value: Column) -> Column:
@@ -60,17 +64,12 @@ def candidates(docs: DataFrame, repo_col: str, owner: Column, text_col: str) ->
     """One row a document: row, doc_id, repo, owner, found (spans with hash and looks, no values)."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(repo_col), F.lit("")).alias("repo"), F.coalesce(owner, F.lit("")).alias("owner"), t.alias("t"))
-    none = F.expr(f"cast(array() as {_SPAN})")
-    text = F.col("t")
-    gated = [
-        F.when(text.rlike(GATES[0]), spans(text, ASSIGN, 0, group=2, least=8)).otherwise(none),
-        F.when(F.contains(text, F.lit("AKIA")) & text.rlike(GATES[1]), spans(text, ACCESS, 1)).otherwise(none),
-        F.when(text.rlike(GATES[2]), spans(text, HEX, 2)).otherwise(none),
-        F.when(text.rlike(GATES[3]), F.filter(spans(text, OPAQUE, 3), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]"))).otherwise(none),
-    ]
-    base = F.concat(*gated[:3])
-    lone = F.filter(gated[3], lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
-    rows = rows.withColumn("base", base).withColumn("found", F.concat("base", lone))
+    gated = lambda gate, body: f"CASE WHEN {gate} THEN {body} ELSE cast(array() as {_SPAN}) END"
+    has = lambda k: f"regexp_like(t, r'{GATES[k]}')"
+    base = [gated(has(0), spans("t", ASSIGN, 0, group=2, least=8)), gated(f"contains(t, 'AKIA') AND {has(1)}", spans("t", ACCESS, 1)), gated(has(2), spans("t", HEX, 2))]
+    opaque = gated(has(3), f"filter({spans('t', OPAQUE, 3)}, s -> regexp_like(s.value, '[0-9]') AND regexp_like(s.value, '[a-z]') AND regexp_like(s.value, '[A-Z]'))")
+    rows = rows.withColumns({"base": F.expr(f"concat({', '.join(base)})"), "opaque": F.expr(opaque)})
+    rows = rows.withColumn("found", F.expr(f"CASE WHEN size(base) + size(opaque) = 0 THEN cast(array() as {_SPAN}) ELSE {alone('base', 'opaque')} END"))
     hashed = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash"), looks_random(s["value"]).alias("random")))
     return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repo", "owner", F.array_sort(hashed).alias("found"))
 

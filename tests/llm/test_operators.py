@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -187,8 +189,35 @@ def test_secret_offsets_and_owners(spark):
     assert got[7]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def brute_base(text):
+    found = []
+    for kind, pattern, group, least in (("assign", secrets.ASSIGN, 2, 8), ("access", secrets.ACCESS, 0, 0), ("hex", secrets.HEX, 0, 0)):
+        found += [(m.start(), secrets.KINDS.index(kind), m.end(), kind) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    return [f"{k}:{a}:{b}" for a, _, b, k in sorted(found)]
+
+
+def test_secrets_base_spans(spark):
+    rng = random.Random(8)
+    bits = ["password=", "Token: ", "api_key = '", "AKIA", "0123456789abcdef" * 2, "Zx9Kq2Lm8Tr4Vb6NpQ0sW7eR", " ", "\n", "é", "😀", "secret", ":", "=", "abc12345", "AKIA" + "Q7" * 8, '"']
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(300)] + [None, "", "token=abcdefgh " * 400]
+    df = spark.createDataFrame([(k, t, "a") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    for r in rows(secrets.scan(df)):
+        want = brute_base(texts[r["doc_id"]] or "")
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest() and set(want) <= set(r["spans"].split(","))
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(w.startswith(k) for w in want) for k in secrets.KINDS[:3])
+
+
+def test_secrets_many_matches(spark):
+    text = " ".join(hashlib.md5(str(k).encode()).hexdigest() for k in range(100_000))
+    df = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    began = time.time()
+    assert rows(secrets.scan(df))[0]["n_hex"] == 100_000
+    assert time.time() - began < 120
+
+
 def test_secrets_odd_rows(odd):
-    assert secrets.scan(odd).count() == len(ODD) and secrets.scan(odd.limit(0)).count() == 0
+    got = sorted((str(r["doc_id"]), r["n_assign"], r["n_access"], r["n_hex"], r["spans"], r["n_live"]) for r in rows(secrets.scan(odd)))
+    assert got == sorted((str(r[1]), 0, 0, 0, "", 0) for r in ODD) and secrets.scan(odd.limit(0)).count() == 0
 
 
 def test_licenses(spark):
@@ -199,8 +228,34 @@ def test_licenses(spark):
     assert got[0] == ("MIT", "MIT") and got[1][1] == "MIT" and got[2] == ("MIT", None) and got[3] == ("", None) and got[4][1] is None and got[5] == ("", None)
 
 
+def test_license_forms(spark):
+    bsd = next(t for a, f, t in licenses.KNOWN if a == "BSD-3-Clause")
+    texts = {
+        "BSD 3-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n" + bsd: "BSD-3-Clause",
+        "Copyright The X Authors\n\n" + bsd.replace("copyright notice", "\ncopyright notice"): "BSD-3-Clause",
+        "code\n\n" + licenses._gnu_notice("General Public License", "3").replace("http:", "https:") + "\n": None,
+        "SPDX-License-Identifier: LGPL-3.0-or-later": "LGPL-3.0",
+        "# SPDX-License-Identifier: MPL-2.0\nx = 1": None,
+        licenses._UNLICENSE: "Unlicense",
+    }
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["licenses"], r["whole_text"]) for r in rows(licenses.scan(df))}
+    assert [got[k][1] for k in range(len(texts))] == list(texts.values())
+    assert got[4][0] == "MPL-2.0"
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts on this machine")
+def test_whole_licenses(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = [open(f"/usr/share/common-licenses/{n}").read() for n in names]
+    df = spark.createDataFrame([(k, t.upper() if k % 2 else t.replace(". ", " .  ")) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["whole_text"] for r in rows(licenses.scan(df))}
+    assert [got[k] for k in range(0, len(texts), 2)] == list(names.values())[::2]
+
+
 def test_licenses_odd_rows(odd):
-    assert licenses.scan(odd).count() == len(ODD) and licenses.scan(odd.limit(0)).count() == 0
+    got = sorted((str(r["doc_id"]), r["licenses"], r["n_units"], r["whole_text"]) for r in rows(licenses.scan(odd)))
+    assert got == sorted((str(r[1]), "", 0, None) for r in ODD) and licenses.scan(odd.limit(0)).count() == 0
 
 
 # ---- top-k
@@ -400,6 +455,16 @@ def test_pii_beside_other_words(value, text):
     assert all(w in hidden for w in text.replace("5500005555555559", "").split() if "{" not in w)
 
 
+def test_pii_dates_link_over_layouts_and_keys_count_whole():
+    for day, month in ((5, 3), (28, 2), (31, 12), (12, 12)):
+        hidden = pii.Cipher(b"k").text(f"2020-{month:02d}-{day:02d}; {day:02d}.{month:02d}.2020; {month:02d}/{day:02d}/2020")[0]
+        iso, dotted, slashed = hidden.split("; ")
+        y, m, d = iso.split("-")
+        assert dotted == f"{d}.{m}.{y}" and slashed == f"{m}/{d}/{y}" and iso != f"2020-{month:02d}-{day:02d}"
+    long = b"x" * 64
+    assert pii.Cipher(long + b"1").text("2020-03-05")[0] != pii.Cipher(long + b"2").text("2020-03-05")[0]
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000, 1025])
 def test_feistel_is_a_permutation(size):
     out = [pii.feistel(k, size, b"key", "t") for k in range(size)]
