@@ -22,13 +22,38 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends there, and the
-    table survives the loss of any executor."""
+    table survives the loss of any executor. ``discard`` deletes it, ``clear`` all that are left."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _written.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and that nothing reads any more: whatever came from them has to be written by now."""
+    for t in tables:
+        if t.written_to in _written:
+            _delete(t.sparkSession, t.written_to)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that ``cut`` wrote in this process, once no result that reads them is wanted any more."""
+    for path in list(_written):
+        _delete(spark, path)
 
 
 def likely(df: DataFrame, key: str, asked: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, likely
+from .base import cut, discard, likely
 from .text import SPACES, Words, chunks
 
 WINDOW = 35
@@ -197,10 +197,12 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, i
     # one text of each key; copies meet before the shuffle, and texts that nobody asks for stay where they are
     texts = likely(docs.where("text is not null").withColumn("text_key", F.md5("text")), "text_key", runs).groupBy("text_key").agg(F.first("text").alias("text"))
     texts = cut(runs.join(texts, "text_key").select("node", "copies", "text", "runs"), "candidates")
-    pieces = runs_of(told_places(cut(window_hashes(texts, window), "hashes")))
+    hashes = cut(window_hashes(texts, window), "hashes")
+    pieces = runs_of(told_places(hashes))
     total = texts.where("copies = 1").agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shard = F.pmod(F.xxhash64("node"), F.lit(max(1, -(-total // SHARD_BYTES))))
     pieces = cut(pieces.withColumn("shard", shard), "routes")
+    discard(hashes)
     read = cut(passages(pieces, texts, window), "passages")
     routed = pieces.select("shard", "src", "src_first", "size").distinct().join(read, ["src", "src_first", "size"]).select("shard", "src", "src_first", "words")
     some = texts.where("copies = 1").join(pieces.select("node").distinct(), "node", "left_semi").select(shard.alias("shard"), "node", "text")
