@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; an error where it is unset, since a folder of one machine would lose rows."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, one of our own if all runs on this machine (local tests); on a cluster
+    an error, since a folder of one machine would lose rows."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
+    if not found and not re.match(r"local(\[[^,]*\])?$", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables are written there")
-    return found
+    return found or os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
 _written: list[str] = []
