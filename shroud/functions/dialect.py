@@ -8,11 +8,12 @@ so one definition serves ``F.expr`` and the checks.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 #: White space as JavaScript has it.
 BLANKS = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
-_WORD = "[A-Za-z0-9_]"
-_BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+#: Java's own boundary looks beyond ASCII; its word class doesn't.
+_BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
 def _walk(pattern: str, boundary: str, blanks: str, any_char: str, end: str) -> str:
@@ -62,11 +63,13 @@ def _walk(pattern: str, boundary: str, blanks: str, any_char: str, end: str) ->
     return "".join(out)
 
 
+@lru_cache(maxsize=None)
 def java(pattern: str, flags: str = "") -> str:
     out = _walk(pattern, _BOUNDARY, BLANKS, "(?s:.)", r"\z")
     return f"(?i){out}" if "i" in flags else out
 
 
+@lru_cache(maxsize=None)
 def re2(pattern: str, flags: str = "") -> str:
     out = _walk(pattern, r"\b", BLANKS, "(?s:.)", r"\z")
     out = re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", out)

@@ -1,8 +1,9 @@
-"""Detectors: each turns a text column into an array of findings, all on one row.
+"""Detectors: rules as data, each an expression that turns a text into spans.
 
+A text is tested once against every rule (its markers, then one search with a compiled expression); matches with offsets are made only for the rules that hit, by
+one expression that takes the rule as a value. So plans stay small, and a caller's own rules cost no more than the built-in ones.
 ``scan`` unions the detectors, keeps the best finding of each span, resolves overlaps and returns one row a finding.
-Texts are read once; context (line before, line after, the window for the score) is taken while spans are made, so the exploded
-rows are narrow and carry no text.
+Context (line before, line after, the window for the score) is taken while spans are made, so the exploded rows carry no text.
 """
 
 from __future__ import annotations
@@ -14,17 +15,19 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.dialect import SPARK as Q
-from ..functions.dialect import Sql
+from ..functions.dialect import Sql, java
 from ..sources.scratch import spread
 from .rules import FAIL_CLOSED, KNOWN_SECRET, PATTERNS, REGISTRY, Rule
-from .spans import best_per_span, chunks_sql, line_after_sql, line_before_sql, matches_sql, resolve_overlaps
+from .spans import best_per_span, chunks_sql, line_after_sql, line_before_sql, matches_of_sql, resolve_overlaps
 
-CANDIDATE = "array<struct<source:string,rule:int,order:int,start:int,end:int,raw:string,key:string,matched:string,before:string,after:string>>"
+# Expressions of the general detectors and of words that are no tokens.
 ASSIGNMENT = (
     r"((?:[A-Za-z_][A-Za-z0-9_.-]{0,80})?(?:aws[_-]?secret[_-]?access[_-]?key|aws[_-]?session[_-]?token|pass(?:word)?|pwd|secret|token|api[_-]?key|openai(?:[_-]?api)?(?:[_-]?key)?|jwt|access[_-]?key|client[_-]?secret|private[_-]?key|account[_-]?key|cookie|session(?:[_-]?id|[_-]?secret)?|auth(?:orization)?|connection(?:string|_string)?|webhook))"
     r"\s*[:=]\s*"
     r"((?:\"[^\"\n\r]*\")|(?:'[^'\n\r]*')|(?:`[^`\n\r]*`)|(?:[^\s,;\"'`}]+))"
 )
+ASSIGNMENT_STEMS = ("pass", "pwd", "secret", "token", "api", "openai", "jwt", "key", "cookie", "session", "auth", "connection", "webhook")
+PLAIN_WORDS = r"^(?:[A-Za-z]{4,24}|[A-Z][A-Z0-9_]{2,64}|[a-z]+(?:_[a-z]+)+|[a-z]+(?:-[a-z]+)+)$"
 EMAIL = r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 ENTROPY_TOKEN = r"\b[A-Za-z0-9+/_-]{8,}={0,2}\b"
 RULES: tuple[Rule, ...] = REGISTRY + PATTERNS
@@ -37,39 +40,45 @@ def any_marker(low: str, markers: Iterable[str]) -> str:
     return "(" + " OR ".join(f"contains({low}, {Q.text(m)})" for m in markers) + ")"
 
 
-def candidate_sql(text: str, found: str, source: str, rule: int, key: str = "''") -> str:
-    """Matches with their rule and their surroundings on the line."""
-    before, after = line_before_sql(text, "_chunks", "m.start"), line_after_sql(text, "_chunks", "m.end")
-    return f"transform({found}, (m, i) -> named_struct('source', '{source}', 'rule', {rule}, 'order', i, 'start', m.start, 'end', m.end, 'raw', m.raw, 'key', {key}, 'matched', m.matched, 'before', {before}, 'after', {after}))"
+def source_of(rule: Rule) -> str:
+    """Vendor rules carry a severity, pattern rules don't."""
+    return "registry" if rule.severity else "pattern"
 
 
-def _gated(gate: str, found: str) -> str:
-    return f"CASE WHEN {gate} THEN {found} ELSE cast(array() as {CANDIDATE}) END"
-
-
-def rule_sql(text: str, low: str, k: int, rule: Rule, source: str) -> str:
-    return _gated(any_marker(low, rule.markers), candidate_sql(text, matches_sql(text, rule.regex, rule.flags, rule.groups), source, k))
-
-
-def candidates(docs: DataFrame, rules: Iterable[Rule] = RULES, detectors: Iterable[str] = DETECTORS, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row a candidate of the chosen detectors, before suppression and scores."""
-    wanted, names = set(detectors), {r.name for r in rules}
-    parts: list[str] = []
-    for source, own in (("pattern", PATTERNS), ("registry", REGISTRY)):
-        if source in wanted:
-            parts += [rule_sql("_t", "_low", k, r, source) for k, r in enumerate(RULES) if r in own and r.name in names]
+def entries(rules: tuple[Rule, ...], detectors: Iterable[str]) -> list[tuple[str, int, str, tuple[int, ...], str]]:
+    """source, rule, expression, groups and the test on the lower-case text that comes first."""
+    wanted = set(detectors)
+    out = [(source_of(r), k, java(r.regex, r.flags), r.groups, any_marker("_low", r.markers) if r.markers else "true") for k, r in enumerate(rules) if source_of(r) in wanted]
     if "assignment" in wanted:
-        stems = ("pass", "pwd", "secret", "token", "api", "openai", "jwt", "key", "cookie", "session", "auth", "connection", "webhook")
-        key = Q.extract("m.matched", ASSIGNMENT, 1, "i")
-        parts.append(_gated(any_marker("_low", stems), candidate_sql("_t", matches_sql("_t", ASSIGNMENT, "i", (2,)), "assignment", -1, key)))
+        out.append(("assignment", -1, java(ASSIGNMENT, "i"), (2,), any_marker("_low", ASSIGNMENT_STEMS)))
     if "email" in wanted:
-        parts.append(_gated("contains(_t, '@')", candidate_sql("_t", matches_sql("_t", EMAIL, "i"), "email", -1)))
+        out.append(("email", -1, java(EMAIL, "i"), (), "contains(_t, '@')"))
     if "entropy" in wanted:
-        parts.append(candidate_sql("_t", matches_sql("_t", ENTROPY_TOKEN), "entropy", -1))
+        out.append(("entropy", -1, java(ENTROPY_TOKEN), (), "true"))
+    return out
+
+
+def candidates(docs: DataFrame, rules: Iterable[Rule] = RULES, detectors: Iterable[str] = DETECTORS, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), quick: bool = False) -> DataFrame:
+    """One row a candidate of the chosen detectors, before suppression and scores. ``rule``: its place in ``rules``. ``quick`` leaves out words of prose, which
+    the entropy detector would drop later."""
+    table = entries(tuple(rules), detectors)
     rows = spread(docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).where(F.length(F.trim("_t")) > 0)).withColumns({"_low": F.lower("_t"), "_chunks": F.expr(chunks_sql("_t"))})
+    quoted = lambda rx: "r'" + rx.replace("'", r"\x27") + "'"
+    hits = [f"CASE WHEN {gate} AND regexp_like(_t, {quoted(rx)}) THEN {i} END" for i, (_, _, rx, _, gate) in enumerate(table)]
     # a column for each few rules keeps generated code small
-    arrays = {f"_a{at}": F.expr("concat(" + ", ".join(parts[at : at + 9]) + ")") for at in range(0, len(parts), 9)}
-    return rows.withColumns(arrays).select(*keep, F.inline(F.concat(*arrays)))
+    parts = {f"_h{at}": F.expr(f"array_compact(array({', '.join(hits[at : at + 12])}))") for at in range(0, len(hits), 12)}
+    empty = F.expr("cast(array() as array<int>)")
+    rows = rows.withColumns(parts).select(*keep, "_t", "_chunks", F.explode(F.concat(*parts) if parts else empty).alias("_i"))
+    row = lambda s, k, rx, g: f"named_struct('source', '{s}', 'rule', {k}, 'rx', {quoted(rx)}, 'g', cast(array({', '.join(map(str, g))}) as array<int>))"
+    values = F.expr(f"array({', '.join(row(s, k, rx, g) for s, k, rx, g, _ in table)})") if table else F.lit(None).cast("array<struct<source:string,rule:int,rx:string,g:array<int>>>")
+    rows = rows.withColumn("_r", F.element_at(values, F.col("_i") + 1))
+    rows = rows.withColumn("_m", F.expr(matches_of_sql("_t", "_r.rx", "_r.g", max([len(g) for _, _, _, g, _ in table], default=0))))
+    if quick:
+        rows = rows.withColumn("_m", F.expr(f"CASE WHEN _r.source = 'entropy' THEN filter(_m, m -> NOT {Q.test('m.raw', PLAIN_WORDS)}) ELSE _m END"))
+    before, after = line_before_sql("_t", "_chunks", "m.start"), line_after_sql("_t", "_chunks", "m.end")
+    key = f"CASE WHEN _r.source = 'assignment' THEN {Q.extract('m.matched', ASSIGNMENT, 1, 'i')} ELSE '' END"
+    made = f"transform(_m, (m, i) -> named_struct('source', _r.source, 'rule', _r.rule, 'order', i, 'start', m.start, 'end', m.end, 'raw', m.raw, 'key', {key}, 'matched', m.matched, 'before', {before}, 'after', {after}))"
+    return rows.select(*keep, F.inline(F.expr(made)))
 
 
 #: What a rule says, as columns of its candidates.
@@ -86,9 +95,11 @@ RULE_COLUMNS: dict[str, tuple[Callable[[Rule], object], object]] = {
 }
 
 
-def _rule_column(value: Callable[[Rule], object], default: object) -> Column:
-    table = F.array(*(F.lit(value(r)) for r in RULES))
-    return F.when(F.col("rule") >= 0, F.element_at(table, F.greatest(F.col("rule"), F.lit(0)) + 1)).otherwise(F.lit(default))
+def _rule_columns(rules: tuple[Rule, ...]) -> Column:
+    """What its rule says of a candidate, as a struct."""
+    text = lambda v: str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else Q.text(v)
+    row = lambda r: "named_struct(" + ", ".join(f"'{k}', {text(d if r is None else f(r))}" for k, (f, d) in RULE_COLUMNS.items()) + ")"
+    return F.expr(f"element_at(array({', '.join(map(row, (*rules, None)))}), CASE WHEN rule >= 0 THEN rule + 1 ELSE {len(rules) + 1} END)")
 
 
 def _window(radius: int) -> str:
@@ -173,21 +184,25 @@ def suppress_sql(s: Sql, allow: Iterable[str] = ()) -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN '{r}'" for c, r in cases) + " END"
 
 
-def scored(found: DataFrame) -> DataFrame:
+def scored(found: DataFrame, rules: Iterable[Rule] = RULES) -> DataFrame:
     """Candidates with type, category, context score, entropy, score and methods."""
-    out = found.withColumns({k: _rule_column(*v) for k, v in RULE_COLUMNS.items()})
+    out = found.withColumn("_rule", _rule_columns(tuple(rules)))
+    out = out.withColumns({k: F.col(f"_rule.{k}") for k in RULE_COLUMNS})
     for step in score_steps(Q):
         out = out.withColumns({k: F.expr(v) for k, v in step.items()})
     return out.withColumn("seq", F.struct("detector", "rule", "order"))
 
 
-def judged(docs: DataFrame, rules: Iterable[Rule] = RULES, detectors: Iterable[str] = DETECTORS, allow: Iterable[str] = (), keep: tuple[str, ...] = ("doc_id",), **names) -> DataFrame:
+def judged(docs: DataFrame, rules: Iterable[Rule] = RULES, detectors: Iterable[str] = DETECTORS, allow: Iterable[str] = (), keep: tuple[str, ...] = ("doc_id",), quick: bool = False, **names) -> DataFrame:
     """Every candidate with its score and, in ``why``, the reason if it is dropped."""
-    found = scored(candidates(docs, rules, detectors, keep=keep, **names)).withColumn("why", F.expr(suppress_sql(Q, allow)))
-    return found.select(*keep, "seq", "source", "name", "type", "category", "raw", "start", "end", "score", "severity", "method", "why")
+    rules = tuple(rules)
+    found = scored(candidates(docs, rules, detectors, keep=keep, quick=quick, **names), rules).withColumn("why", F.expr(suppress_sql(Q, allow)))
+    columns = ("seq", "source", "name", "type", "category", "raw", "start", "end", "score", "severity", "method", "why")
+    # rows out of an array: a filter on them isn't written into every expression below it
+    return found.select(*keep, F.inline(F.array(F.struct(*columns))))
 
 
 def scan(docs: DataFrame, rules: Iterable[Rule] = RULES, detectors: Iterable[str] = DETECTORS, allow: Iterable[str] = (), keep: tuple[str, ...] = ("doc_id",), **names) -> DataFrame:
     """Findings of the documents: doc_id, type, category, raw, start, end, score, severity, method."""
-    found = judged(docs, rules, detectors, allow, keep, **names).where("why is null").drop("why")
+    found = judged(docs, rules, detectors, allow, keep, quick=True, **names).where("why is null").drop("why")
     return resolve_overlaps(best_per_span(found, keep), keep)

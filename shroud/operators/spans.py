@@ -23,16 +23,25 @@ def matches_sql(text: str, pattern: str, flags: str = "", groups: tuple[int, ...
     """Leftmost non-overlapping matches of a column, as SQL text. ``raw`` is the first non-empty group, ``start`` its first
     place inside the match; ``first`` and ``last`` bound the whole match. Texts without a match cost one search."""
     rx = "r'" + java(pattern, flags).replace("'", r"\x27") + "'"
+    picked = [f"regexp_extract_all({text}, {rx}, {g})" for g in groups]
+    return f"CASE WHEN regexp_like({text}, {rx}) THEN {_located(text, rx, picked)} ELSE cast(array() as {MATCH}) END"
+
+
+def matches_of_sql(text: str, rx: str, groups: str, most: int) -> str:
+    """The same with an expression and its groups (an array of at most ``most``) that are values of the row. The text is known to match."""
+    picked = [f"CASE WHEN size({groups}) > {n} THEN regexp_extract_all({text}, {rx}, {groups}[{n}]) ELSE cast(array() as array<string>) END" for n in range(most)]
+    return _located(text, rx, picked)
+
+
+def _located(text: str, rx: str, picked: list[str]) -> str:
     whole = f"regexp_extract_all({text}, {rx}, 0)"
-    picked = "".join(f", regexp_extract_all({text}, {rx}, {g})" for g in groups)
-    raw = "coalesce(" + "".join(f"nullif(z.`{k + 2}`, ''), " for k in range(len(groups))) + "z.`0`)" if groups else "z.`0`"
+    raw = "coalesce(" + "".join(f"nullif(z.`{k + 2}`, ''), " for k in range(len(picked))) + "z.`0`)" if picked else "z.`0`"
     first = "cast(at[i] as int) + length(z.`1`)"
-    start = f"{first} + instr(z.`0`, {raw}) - 1" if groups else first
+    start = f"{first} + instr(z.`0`, {raw}) - 1" if picked else first
     one = f"named_struct('start', {start}, 'end', {start} + length({raw}), 'raw', {raw}, 'first', {first}, 'last', {first} + length(z.`0`), 'matched', z.`0`)"
-    zipped = f"filter(arrays_zip({whole}, slice(split({text}, {rx}, -1), 1, greatest(size({whole}), 1)){picked}), z -> z.`0` IS NOT NULL)"
+    zipped = f"filter(arrays_zip({whole}, slice(split({text}, {rx}, -1), 1, greatest(size({whole}), 1)){''.join(', ' + p for p in picked)}), z -> z.`0` IS NOT NULL)"
     sizes = "transform(zs, z -> cast(length(z.`0`) + length(z.`1`) as bigint))"
-    found = let(zipped, "zs", let(sizes, "n", let(running("n"), "at", f"transform(zs, (z, i) -> {one})")))
-    return f"CASE WHEN regexp_like({text}, {rx}) THEN {found} ELSE cast(array() as {MATCH}) END"
+    return let(zipped, "zs", let(sizes, "n", let(running("n"), "at", f"transform(zs, (z, i) -> {one})")))
 
 
 def matches(text: str, pattern: str, flags: str = "", groups: tuple[int, ...] = ()) -> Column:
