@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.arrays import running
 from ..functions.dialect import java
 from ..functions.scalars import CLEAN_TOKEN, TOKEN, fnv1a
+from ..sources.scratch import settle
 from .spans import let, matches_sql, replace_spans
 
 ALIAS_OFFSET = 1_000_000
+#: Known values that are tested against a text at once.
+BLOCK = 1000
 
 
 def canonical_token(token: Column) -> Column:
@@ -53,15 +56,24 @@ def fingerprint(session: str, family: str, raw: str) -> Column:
 def number(findings: DataFrame, used: DataFrame | None = None, session: str = "session_id", order: tuple[str, ...] = ("seq", "doc_id", "start")) -> DataFrame:
     """The vault: a token for each new (session, family, raw), numbered by first appearance after the used indexes.
 
-    Values are reduced to one row each before they are numbered, so a session with many repeats shuffles few rows.
+    Values are reduced to one row each before they are numbered, so a session with many repeats shuffles few rows; and a sort by ranges numbers them, so
+    one session with most of the values isn't one task.
     """
     firsts = findings.groupBy(session, "family", "raw").agg(F.min(F.struct(*order)).alias("first"))
-    k = F.row_number().over(Window.partitionBy(session, "family").orderBy("first", "raw"))
+    placed = settle(firsts.repartitionByRange(session, "family", "first", "raw").sortWithinPartitions(session, "family", "first", "raw").withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    # rows of a partition are numbered as they lie; how many of their group lie in earlier partitions is one row for each group and partition
+    placed = placed.withColumn("_part", F.shiftright("_id", 33))
+    parts = placed.groupBy(F.coalesce(session, F.lit("")).alias("_s"), F.col(session).isNull().alias("_null"), F.col("family").alias("_f"), "_part").agg(F.min("_id").alias("_lo"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_s", "_null", "_f").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumnRenamed("_part", "_p")
+    same = F.expr(f"coalesce({session}, '') = _s AND ({session} IS NULL) = _null AND family = _f AND _part = _p")
+    firsts = placed.join(parts, same).withColumn("_k", F.col("_id") - F.col("_lo") + F.col("_before") + 1)
     if used is not None:
-        firsts = firsts.join(used.select(session, "family", "last"), [session, "family"], "left")
+        last = used.select(F.col(session).alias("_us"), F.col("family").alias("_uf"), "last")
+        firsts = firsts.join(last, F.col(session).eqNullSafe(F.col("_us")) & (F.col("family") == F.col("_uf")), "left")
     else:
         firsts = firsts.withColumn("last", F.lit(0).cast("long"))
-    out = firsts.withColumn("index", F.coalesce("last", F.lit(0)) + k)
+    out = firsts.withColumn("index", F.coalesce("last", F.lit(0)) + F.col("_k"))
     return out.select(session, "family", "raw", fingerprint(session, "family", "raw").alias("fingerprint"), F.concat(F.lit("["), "family", F.lit("_"), "index", F.lit("]")).alias("placeholder"), "index")
 
 
@@ -79,16 +91,22 @@ def untrusted(tokens: DataFrame, vault: DataFrame, session: str = "session_id")
     return tokens.join(vault.select(session, F.col("placeholder").alias("token")), [session, "token"], "left_anti")
 
 
-def reuse(docs: DataFrame, vault: DataFrame, session: str = "session_id", least: int = 8, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Literal occurrences of known values in later texts of the session, longest first where they overlap.
-
-    Only values of at least ``least`` characters; shorter ones are left to detectors.
-    """
-    known = vault.where(F.length("raw") >= least).select(session, "raw", "placeholder")
-    met = docs.select(*keep, session, "text").join(known, session).where(F.contains("text", F.col("raw")))
+def occurrences(docs: DataFrame, vault: DataFrame, session: str = "session_id", least: int = 8, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Literal occurrences of known values in the texts of the session, outside tokens. Only values of at least ``least`` characters; shorter ones are left to
+    detectors. A session's values come in blocks of ``BLOCK``, and a text is tested against a whole block as one row: only what it holds becomes rows."""
+    values = vault.where(F.length("raw") >= least).groupBy(F.col(session).alias("_s"), F.floor(F.col("index") / BLOCK).alias("_b")).agg(F.collect_list(F.struct("raw", "placeholder")).alias("_known"))
+    met = docs.select(*keep, session, "text").join(values, F.col(session).eqNullSafe(F.col("_s")))
+    met = met.select(*keep, session, "text", F.explode(F.filter("_known", lambda v: F.contains(F.col("text"), v["raw"]))).alias("v")).select(*keep, session, "text", "v.*")
     parts = let(r"split(text, concat(r'\Q', raw, r'\E'), -1)", "xs", let("transform(xs, x -> cast(length(x) + length(raw) as bigint))", "n", let(running("n"), "at", "transform(slice(xs, 1, size(xs) - 1), (x, i) -> cast(at[i] + length(x) as int))")))
-    places = F.expr(parts)
-    each = met.select(*keep, session, "raw", "placeholder", F.explode(places).alias("start")).withColumn("end", F.col("start") + F.length("raw"))
+    inside = "exists(_tokens, t -> t.start < p + length(raw) AND t.end > p)"
+    met = met.withColumn("_tokens", F.expr(matches_sql("text", TOKEN))).withColumn("_places", F.expr(parts))
+    each = met.select(*keep, session, "raw", "placeholder", F.explode(F.expr(f"filter(_places, p -> NOT {inside})")).alias("start"))
+    return each.withColumn("end", F.col("start") + F.length("raw"))
+
+
+def reuse(docs: DataFrame, vault: DataFrame, session: str = "session_id", least: int = 8, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``occurrences``, the longest where they overlap."""
+    each = occurrences(docs, vault, session, least, keep)
     longer = each.select(*(F.col(c).alias(f"_{c}") for c in keep), F.col("start").alias("_start"), F.col("end").alias("_end"))
     same = " AND ".join(f"{c} = _{c}" for c in keep)
     return each.join(longer, F.expr(f"{same} AND start < _end AND end > _start AND _end - _start > end - start"), "left_anti")

@@ -137,14 +137,26 @@ def _vault(select: str, used: bool = False) -> str:
 _SPLICE = """, sp AS (SELECT doc_id, list({'s': start, 'e': "end", 'p': placeholder} ORDER BY start) AS sp FROM spans GROUP BY 1)
 SELECT {keys}, CASE WHEN sp IS NULL THEN text ELSE concat(array_to_string(list_transform(range(1, len(sp) + 1), lambda i: concat(substr(text, CASE WHEN i = 1 THEN 1 ELSE sp[i - 1].e + 1 END, sp[i].s - CASE WHEN i = 1 THEN 0 ELSE sp[i - 1].e END), sp[i].p)), ''), substr(text, sp[-1].e + 1)) END AS redacted, coalesce(len(sp), 0) AS n_replaced FROM docs LEFT JOIN sp ON sp.doc_id = docs.doc_id"""
 
-_R03 = resolved(
-    "",
-    ("registry", "email"),
-    more=""", s AS (SELECT v.session_id, v.seq, j.doc_id, j.start, j."end", j.raw FROM final j JOIN docs v ON v.doc_id = j.doc_id),
+def _redacted(source: str) -> str:
+    """CTEs from the findings in ``final`` to ``secret_spans``: numbers behind those in sight, known values again, the longest first."""
+    return f""", s AS (SELECT v.session_id, v.seq, j.doc_id, j.start, j."end", j.raw FROM final j JOIN docs v ON v.doc_id = j.doc_id),
+sight AS (SELECT session_id, max(i) FILTER (i < 1000000) AS last FROM (SELECT session_id, CAST(regexp_extract(token, '^\\[PWM_([0-9]+)', 1) AS BIGINT) AS i FROM (SELECT session_id, unnest(regexp_extract_all(text, {_TOKEN})) AS token FROM docs) WHERE token LIKE '[PWM%') GROUP BY 1),
 firsts AS (SELECT session_id, raw, min([seq, doc_id, start]) AS f FROM s GROUP BY 1, 2),
-vault AS (SELECT session_id, raw, concat('[PWM_', row_number() OVER (PARTITION BY session_id ORDER BY f, raw), ']') AS placeholder FROM firsts),
-spans AS (SELECT s.doc_id, s.start, s."end", v.placeholder FROM s JOIN vault v ON v.session_id = s.session_id AND v.raw = s.raw)""" + _SPLICE.replace("{keys}", "docs.doc_id, docs.session_id"),
-)
+vault AS (SELECT f.session_id, raw, concat('[PWM_', coalesce(last, 0) + row_number() OVER (PARTITION BY f.session_id ORDER BY f, raw), ']') AS placeholder FROM firsts f LEFT JOIN sight ON sight.session_id = f.session_id),
+held AS (SELECT d.doc_id, v.raw, v.placeholder, string_split(d.text, v.raw) AS g FROM docs d JOIN vault v ON v.session_id = d.session_id WHERE len(v.raw) >= 8 AND contains(d.text, v.raw)),
+places AS (SELECT *, unnest(range(1, len(g))) AS j FROM held),
+cand AS (SELECT s.doc_id, s.start, s."end", v.placeholder, 0 AS again FROM s JOIN vault v ON v.session_id = s.session_id AND v.raw = s.raw UNION ALL
+  SELECT doc_id, list_sum(list_transform(g[1:j], lambda z: len(z))) + (j - 1) * len(raw), list_sum(list_transform(g[1:j], lambda z: len(z))) + j * len(raw), placeholder, 1 FROM places),
+crank AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "end" - start DESC, again, start) AS rk FROM cand),
+csteps(doc_id, rk, kept) AS (SELECT doc_id, 1::BIGINT, [{{'s': start, 'e': "end", 'k': rk}}] FROM crank WHERE rk = 1
+  UNION ALL SELECT r.doc_id, r.rk, CASE WHEN len(list_filter(c.kept, lambda x: r.start < x.e AND r."end" > x.s)) > 0 THEN c.kept ELSE list_append(c.kept, {{'s': r.start, 'e': r."end", 'k': r.rk}}) END FROM csteps c JOIN crank r ON r.doc_id = c.doc_id AND r.rk = c.rk + 1),
+{source} AS (SELECT r.doc_id, CAST(r.start AS INTEGER) AS start, CAST(r."end" AS INTEGER) AS "end", r.placeholder FROM crank r JOIN (SELECT doc_id, unnest(arg_max(kept, rk)) AS k FROM csteps GROUP BY 1) c ON c.doc_id = r.doc_id AND c.k.k = r.rk)"""
+
+
+_R03 = resolved("", ("registry", "email"), more=_redacted("spans") + _SPLICE.replace("{keys}", "docs.doc_id, docs.session_id"))
+#: Rows without an id, ids of four rows, rows without a session: for the SQL each row has an id and a session of its own.
+_ODD = VIEWS["v_odd_rows"].replace("CASE WHEN seq % 5 = 0 THEN NULL ELSE seq - seq % 4 END AS doc_id", "seq AS doc_id").replace("CASE WHEN seq % 7 = 0 THEN NULL ELSE session_id END AS session_id", "CASE WHEN seq % 7 = 0 THEN '' ELSE session_id END AS session_id")
+_R02 = resolved("", ("registry", "pattern", "email"), _ODD, more=_redacted("spans") + _SPLICE.replace("SELECT {keys}", ", out AS (SELECT docs.session_id, text") + ") SELECT nullif(session_id, '') AS session_id, text, redacted, n_replaced FROM out")
 _R07 = _net(
     f""", docs AS ({VIEWS["v_net_lines"]}), spans AS (SELECT n.doc_id, n.start, n."end", concat('[', m.body, ']') AS placeholder FROM n JOIN names m ON m.session_id = n.session_id AND m.canonical = n.canonical WHERE n.is_public)""" + _SPLICE.replace("{keys}", "docs.doc_id"),
     "is_public", names=True,
@@ -157,10 +169,7 @@ _NET_TEXT = _NET.replace(_NET[: _NET.index("n2 AS")], f"n1 AS (SELECT doc_id, se
 
 
 def _flagship() -> str:
-    body = resolved("", ("pattern", "registry", "email"), _DOCS, more=""", s AS (SELECT v.session_id, v.seq, j.doc_id, j.start, j."end", j.raw FROM final j JOIN docs v ON v.doc_id = j.doc_id),
-firsts AS (SELECT session_id, raw, min([seq, doc_id, start]) AS f FROM s GROUP BY 1, 2),
-vault AS (SELECT session_id, raw, concat('[PWM_', row_number() OVER (PARTITION BY session_id ORDER BY f, raw), ']') AS placeholder FROM firsts),
-secret_spans AS (SELECT s.doc_id, s.start, s."end", v.placeholder FROM s JOIN vault v ON v.session_id = s.session_id AND v.raw = s.raw), """ + _NET_TEXT + _TREE.replace("{where}", "is_public") + _NAMES.replace(", s AS (", ", sn AS (").replace("FROM s WHERE", "FROM sn WHERE").replace("SELECT s.session_id, s.canonical, s.parent, concat(t.body, '_SUB_', s.k) FROM s JOIN", "SELECT sn.session_id, sn.canonical, sn.parent, concat(t.body, '_SUB_', sn.k) FROM sn JOIN").replace("t.session_id = s.session_id AND t.canonical = s.parent", "t.session_id = sn.session_id AND t.canonical = sn.parent") + """,
+    body = resolved("", detect.DETECTORS, _DOCS, more=_redacted("secret_spans") + ", " + _NET_TEXT + _TREE.replace("{where}", "is_public") + _NAMES.replace(", s AS (", ", sn AS (").replace("FROM s WHERE", "FROM sn WHERE").replace("SELECT s.session_id, s.canonical, s.parent, concat(t.body, '_SUB_', s.k) FROM s JOIN", "SELECT sn.session_id, sn.canonical, sn.parent, concat(t.body, '_SUB_', sn.k) FROM sn JOIN").replace("t.session_id = s.session_id AND t.canonical = s.parent", "t.session_id = sn.session_id AND t.canonical = sn.parent") + """,
 spans AS (SELECT * FROM secret_spans UNION ALL SELECT n.doc_id, n.start, n."end", concat('[', m.body, ']') FROM n JOIN names m ON m.session_id = n.session_id AND m.canonical = n.canonical WHERE n.is_public AND NOT EXISTS (SELECT 1 FROM secret_spans x WHERE x.doc_id = n.doc_id AND x.start < n."end" AND x."end" > n.start))""" + _SPLICE.replace("SELECT {keys}", ", out AS (SELECT docs.doc_id, docs.session_id") + ") SELECT doc_id, session_id, len(redacted) AS n_chars, n_replaced, md5(redacted) AS redacted_md5 FROM out")
     return body
 
@@ -254,6 +263,8 @@ w AS (SELECT *, unnest(range(1, len(g))) AS j FROM q), e AS (SELECT doc_id, sess
     "r10_segments": f"WITH a AS (SELECT doc_id, regexp_extract_all(text, {_TOKEN}) AS t, string_split_regex(text, {_TOKEN}) AS g FROM ({VIEWS['v_secret_lines']})), b AS (SELECT doc_id, 2 * i AS o, 'text' AS type, g[i] AS value FROM (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM a) UNION ALL SELECT doc_id, 2 * i + 1, 'secret', t[i] FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM a)) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS INTEGER) AS part, type, value FROM b WHERE value <> ''",
     "flagship_documents": _flagship(),
     "r03_transform": _R03,
+    "r02_redact_odd_rows": _R02,
+    "r08_network_findings": _net("SELECT doc_id, CASE WHEN is_host THEN 'PUBLIC_IP' ELSE 'PUBLIC_SUBNET' END AS type, raw, start, \"end\", 90 AS score, 'high' AS severity FROM n WHERE is_public"),
     "r07_transform_networks": _R07,
     "e01_e02_report": resolved("""SELECT doc_id, sum(n)::BIGINT AS findings, sum(h)::BIGINT AS high, sum(m)::BIGINT AS medium, sum(l)::BIGINT AS low, concat('{', string_agg(concat('"', category, '":', n), ',' ORDER BY category), '}') AS categories FROM (SELECT doc_id, category, count(*) AS n, count(*) FILTER (severity = 'high') AS h, count(*) FILTER (severity = 'medium') AS m, count(*) FILTER (severity = 'low') AS l FROM final GROUP BY ALL) GROUP BY doc_id"""),
     "r18_sanitized": resolved('SELECT doc_id, type, category, start, "end", len(raw) AS length, sha256(raw) AS raw_sha256, score, severity FROM final'),

@@ -235,10 +235,22 @@ def r07_transform_networks(spark: SparkSession, sf: str) -> DataFrame:
     return transform.transform(docs, rules=(), detectors=("email",))[0].select("doc_id", "redacted", "n_replaced")
 
 
+@query
+def r02_redact_odd_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows without an id, ids of several rows, rows without a session."""
+    out, _ = transform.transform(view(spark, sf, "v_odd_rows"), "raw", detectors=("pattern", "registry", "email"), rules=CHECKED_RULES)
+    return out.select("session_id", "text", "redacted", "n_replaced")
+
+
+@query
+def r08_network_findings(spark: SparkSession, sf: str) -> DataFrame:
+    return transform.network_findings(view(spark, sf, "v_net_lines")).select("doc_id", "type", "raw", "start", "end", "score", "severity")
+
+
 @query
 def flagship_documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("session_id"), F.col("doc_id").alias("seq"), F.coalesce("text", F.lit("")).alias("text"))
-    out, _ = transform.transform(docs, rules=CHECKED_RULES, detectors=("pattern", "registry", "email"))
+    out, _ = transform.transform(docs, rules=CHECKED_RULES)
     return out.select("doc_id", "session_id", F.length("redacted").alias("n_chars"), "n_replaced", F.md5("redacted").alias("redacted_md5"))
 
 

@@ -19,6 +19,7 @@ VIEWS: dict[str, str] = {
     "v_eval": "SELECT d.doc_id, d.lang AS category, d.source AS source_type, CASE WHEN l.toxic = 1 THEN 'SECRET' WHEN l.quality = 1 THEN 'NOT_SECRET' ELSE 'UNSURE' END AS label, CASE WHEN d.text LIKE '%@%' OR d.text LIKE '%token%' THEN 'SECRET' WHEN d.n_chars > 2000 THEN 'UNSURE' ELSE 'NOT_SECRET' END AS prediction FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
     "v_boxes": "SELECT l_orderkey AS doc_id, l_linenumber AS box_no, (l_linenumber - 1) * 8 AS box_start, l_linenumber * 8 AS box_end, l_linenumber * 40 AS x, 10 AS y, 38 AS width, 12 AS height, CASE CAST(l_suppkey AS INT) % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence FROM lineitem",
 }
+VIEWS["v_odd_rows"] = f"SELECT CASE WHEN seq % 5 = 0 THEN NULL ELSE seq - seq % 4 END AS doc_id, CASE WHEN seq % 7 = 0 THEN NULL ELSE session_id END AS session_id, seq, text FROM ({VIEWS['v_secret_lines']})"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
