@@ -13,12 +13,22 @@ from ..operators import detect, learn, metadata
 from ..operators.network import RANGES
 from ..operators.structured import KINDS
 from ..sources import files
-from .queries import APPROVED, BLOCKED, CHECKED_RULES, DESTINATIONS
+from .queries import APPROVED, BLOCKED, DESTINATIONS
 from .views import VIEWS
 
 RULES = detect.RULES
 
 
+_FIELD = r"<([A-Za-z0-9_.:-]*(?:api[_-]?key|apikey|password|passwd|pwd|token|secret|client[_-]?secret)[A-Za-z0-9_.:-]*)\b[^>]*>\s*([^<\r\n]{8,256})\s*<\/([A-Za-z0-9_.:-]+)>"
+#: Rules with lookaround or back-references, in plain expressions with a test of what was matched.
+PLAIN = {
+    "R08": (r"""\bhttps?:\/\/[^\s"'`<>?]+\?[^\s"'`<>#]*[?&]sig=([^&#\s"'`<>]+)""", " AND ".join(f"regexp_matches(matched, '\\b{k}=')" for k in ("sv", "se", "sp", "sr"))),
+    "P31": (_FIELD, "lower(regexp_extract(matched, {0}, 1)) = lower(regexp_extract(matched, {0}, 3))"),
+    "P35": (r"""\b(?:my|the|our)?\s*secret\s*(?:is|=|:)\s*(?:"([^"\r\n]{8,})"|'([^'\r\n]{8,})'|`([^`\r\n]{8,})`|([^\s,;]{8,}))""", r"regexp_matches(raw, '[0-9_!@#$%^&*+=:.?/~\\-]')"),
+    "P44": (r"\b(?:Authorization|AUTH_HEADER|BASIC_AUTH|Basic_Auth)\b\s*[:=]\s*Basic\s+([A-Za-z0-9+/]{16,}(?:={1,2})?)(?:$|[\s,;])", "true"),
+}
+
+
 def _rx(pattern: str, flags: str = "") -> str:
     return "'" + re2(pattern, flags).replace("'", r"\x27") + "'"
 
@@ -35,8 +45,9 @@ def _spans(text: str, pattern: str, flags: str = "", groups: tuple[int, ...] = (
     return f"SELECT {keys}, t, j, matched, raw, first + instr(matched, raw) - 1 AS start, first + instr(matched, raw) - 1 + len(raw) AS \"end\" FROM ({one})"
 
 
-def _candidates(detectors: tuple[str, ...], docs: str, rules: tuple = CHECKED_RULES) -> str:
+def _candidates(detectors: tuple[str, ...], docs: str, rules: tuple = RULES) -> str:
     parts = []
+    field = _rx(_FIELD, "i")
     add = lambda source, rule, key, body: parts.append(
         f"SELECT doc_id, '{source}' AS source, {rule} AS rule, CAST(j - 1 AS INTEGER) AS ord, start, \"end\", raw, {key} AS key, string_split(left(t, start), chr(10))[-1] AS before, regexp_replace(string_split(substr(t, \"end\" + 1), chr(10))[1], '\\r\\z', '') AS after FROM ({body})"
     )
@@ -44,7 +55,9 @@ def _candidates(detectors: tuple[str, ...], docs: str, rules: tuple = CHECKED_RU
         source = "registry" if r in detect.REGISTRY else "pattern"
         if r in rules and source in detectors:
             marks = " OR ".join(f"contains(lower(t), {Q.text(m)})" for m in r.markers)
-            add(source, k, "''", _spans("t", r.regex, r.flags, r.groups, where=f"({marks})").replace("t AS t, ", "t, "))
+            regex, test = PLAIN.get(r.id, (r.regex, "true"))
+            found = _spans("t", regex, r.flags, r.groups, where=f"({marks})").replace("t AS t, ", "t, ")
+            add(source, k, "''", f"SELECT * FROM ({found}) WHERE {test.replace('{0}', field)}")
     if "assignment" in detectors:
         add("assignment", -1, Q.extract("matched", detect.ASSIGNMENT, 1, "i"), _spans("t", detect.ASSIGNMENT, "i", (2,)))
     if "email" in detectors:
@@ -262,6 +275,8 @@ again AS (SELECT doc_id, session_id, concat('again: ', text) AS text FROM docs),
 w AS (SELECT *, unnest(range(1, len(g))) AS j FROM q), e AS (SELECT doc_id, session_id, placeholder, list_sum(list_transform(g[1:j], lambda z: len(z))) + (j - 1) * len(raw) AS start, list_sum(list_transform(g[1:j], lambda z: len(z))) + j * len(raw) AS "end" FROM w) SELECT"""),
     "r10_segments": f"WITH a AS (SELECT doc_id, regexp_extract_all(text, {_TOKEN}) AS t, string_split_regex(text, {_TOKEN}) AS g FROM ({VIEWS['v_secret_lines']})), b AS (SELECT doc_id, 2 * i AS o, 'text' AS type, g[i] AS value FROM (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM a) UNION ALL SELECT doc_id, 2 * i + 1, 'secret', t[i] FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM a)) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS INTEGER) AS part, type, value FROM b WHERE value <> ''",
     "flagship_documents": _flagship(),
+    "c06_c07_rule_lines": judged(docs=VIEWS["v_rule_lines"]) + " SELECT doc_id, source, name, type, category, raw, start, \"end\", score, severity, array_to_string(method, ',') AS method, coalesce(why, '') AS why FROM judged",
+    "h01_r02_rule_lines": resolved("", docs=VIEWS["v_rule_lines"], more=_redacted("spans") + _SPLICE.replace("{keys}", "docs.doc_id, docs.session_id")),
     "r03_transform": _R03,
     "r02_redact_odd_rows": _R02,
     "r08_network_findings": _net("SELECT doc_id, CASE WHEN is_host THEN 'PUBLIC_IP' ELSE 'PUBLIC_SUBNET' END AS type, raw, start, \"end\", 90 AS score, 'high' AS severity FROM n WHERE is_public"),

@@ -16,8 +16,6 @@ from . import transform
 from .views import table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: Rules that the checking engine's regular expressions can run: no lookaround, no back-reference.
-CHECKED_RULES = tuple(r for r in detect.RULES if r.id not in ("R08", "P31", "P35", "P44"))
 #: Destination list, block list and approved list of the policy queries.
 DESTINATIONS = ((1, "*://*.example.com/*", "redact"), (2, "http://*/*", "block"), (3, "*://*/1*", "allow"), (4, "https://*/*", "redact"))
 BLOCKED = ((1, "*://*/3*", "block"), (2, "http://*.org/*", "block"))
@@ -45,33 +43,47 @@ def a01_not_blank(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def c06_c24_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Every candidate of all rules with score and reason of suppression."""
-    out = detect.judged(view(spark, sf, "v_secret_lines"), CHECKED_RULES)
+    out = detect.judged(view(spark, sf, "v_secret_lines"))
     return out.select("doc_id", "source", "name", "type", "category", "raw", "start", "end", "score", "severity", F.concat_ws(",", "method").alias("method"), F.coalesce("why", F.lit("")).alias("why"))
 
 
+@query
+def c06_c07_rule_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Every candidate in lines that each rule matches or just misses."""
+    out = detect.judged(view(spark, sf, "v_rule_lines"))
+    return out.select("doc_id", "source", "name", "type", "category", "raw", "start", "end", "score", "severity", F.concat_ws(",", "method").alias("method"), F.coalesce("why", F.lit("")).alias("why"))
+
+
+@query
+def h01_r02_rule_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The same lines redacted by all detectors."""
+    out, _ = transform.transform(view(spark, sf, "v_rule_lines"), "raw")
+    return out.select("doc_id", "session_id", "redacted", "n_replaced")
+
+
 @query
 def c06_c24_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Kept candidates in the documents themselves, counted by rule and type."""
-    out = detect.judged(table(spark, sf, "documents"), CHECKED_RULES, ("pattern", "registry", "email")).where("why is null")
+    out = detect.judged(table(spark, sf, "documents"), ("pattern", "registry", "email")).where("why is null")
     return out.groupBy("source", "name", "type").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 @query
 def e04_f11_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Best finding of each span, then overlaps resolved."""
-    return detect.scan(view(spark, sf, "v_secret_lines"), CHECKED_RULES).select("doc_id", "type", "raw", "start", "end", "score", "severity")
+    return detect.scan(view(spark, sf, "v_secret_lines")).select("doc_id", "type", "raw", "start", "end", "score", "severity")
 
 
 @query
 def b36_suppression_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    out = detect.judged(view(spark, sf, "v_secret_lines"), CHECKED_RULES)
+    out = detect.judged(view(spark, sf, "v_secret_lines"))
     return out.groupBy("source", F.coalesce("why", F.lit("kept")).alias("why")).agg(F.count("*").alias("n"))
 
 
 @query
 def b38_allow_list(spark: SparkSession, sf: str) -> DataFrame:
     """Values on an allow-list are dropped before anything else."""
-    out = detect.judged(view(spark, sf, "v_secret_lines"), CHECKED_RULES, ("assignment",), allow=("Vault1!Horse", "Vault4!Horse"))
+    out = detect.judged(view(spark, sf, "v_secret_lines"), ("assignment",), allow=("Vault1!Horse", "Vault4!Horse"))
     return out.groupBy(F.coalesce("why", F.lit("kept")).alias("why")).agg(F.count("*").alias("n"))
 
 
@@ -176,7 +188,7 @@ def r04_network_modes(spark: SparkSession, sf: str) -> DataFrame:
 
 def _secrets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = view(spark, sf, "v_secret_lines")
-    found = detect.judged(docs, CHECKED_RULES, ("registry",)).where("why is null")
+    found = detect.judged(docs, ("registry",)).where("why is null")
     return docs, found.join(docs.select("doc_id", "session_id", F.col("seq").alias("place")), "doc_id").select("session_id", F.col("place").alias("seq"), "doc_id", "start", "raw", F.lit("PWM").alias("family"))
 
 
@@ -238,7 +250,7 @@ def r07_transform_networks(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def r02_redact_odd_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Rows without an id, ids of several rows, rows without a session."""
-    out, _ = transform.transform(view(spark, sf, "v_odd_rows"), "raw", detectors=("pattern", "registry", "email"), rules=CHECKED_RULES)
+    out, _ = transform.transform(view(spark, sf, "v_odd_rows"), "raw", detectors=("pattern", "registry", "email"))
     return out.select("session_id", "text", "redacted", "n_replaced")
 
 
@@ -250,26 +262,26 @@ def r08_network_findings(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def flagship_documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("session_id"), F.col("doc_id").alias("seq"), F.coalesce("text", F.lit("")).alias("text"))
-    out, _ = transform.transform(docs, rules=CHECKED_RULES)
+    out, _ = transform.transform(docs)
     return out.select("doc_id", "session_id", F.length("redacted").alias("n_chars"), "n_replaced", F.md5("redacted").alias("redacted_md5"))
 
 
 @query
 def e01_e02_report(spark: SparkSession, sf: str) -> DataFrame:
-    out = transform.report(detect.scan(view(spark, sf, "v_secret_lines"), CHECKED_RULES))
+    out = transform.report(detect.scan(view(spark, sf, "v_secret_lines")))
     return out.select("doc_id", "findings", "high", "medium", "low", F.to_json("categories").alias("categories"))
 
 
 @query
 def r18_sanitized(spark: SparkSession, sf: str) -> DataFrame:
-    return transform.sanitized(detect.scan(view(spark, sf, "v_secret_lines"), CHECKED_RULES))
+    return transform.sanitized(detect.scan(view(spark, sf, "v_secret_lines")))
 
 
 @query
 def r19_verification(spark: SparkSession, sf: str) -> DataFrame:
     """Texts written by a sink that loses some of the redaction, held against what was expected."""
     docs = view(spark, sf, "v_secret_lines")
-    found = detect.judged(docs, CHECKED_RULES, ("registry",)).where("why is null")
+    found = detect.judged(docs, ("registry",)).where("why is null")
     sent = docs.select("doc_id", F.concat("text", F.lit("\n[PWM_7]\n\n\n\nend")).alias("redacted"))
     wrote = F.expr("CASE doc_id % 5 WHEN 0 THEN 'gone' WHEN 1 THEN redacted WHEN 2 THEN replace(redacted, chr(10), ' ') WHEN 3 THEN replace(redacted, chr(10), concat(chr(13), chr(10))) ELSE concat('[PWM_7] ', redacted) END")
     return verify.leaks(sent.withColumn("actual", wrote), found)
@@ -561,7 +573,7 @@ def a09_html_rows(spark: SparkSession, sf: str) -> DataFrame:
 def d11_h03_merged_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Findings of two scans, one for each (document, start, end, raw), the first scan's where both have it."""
     docs = view(spark, sf, "v_secret_lines")
-    scans = [detect.judged(docs, CHECKED_RULES, d).where("why is null").select("doc_id", "start", "end", "raw", F.lit(k).alias("scan"), "score") for k, d in enumerate((("registry", "email"), ("pattern", "registry", "assignment")))]
+    scans = [detect.judged(docs, d).where("why is null").select("doc_id", "start", "end", "raw", F.lit(k).alias("scan"), "score") for k, d in enumerate((("registry", "email"), ("pattern", "registry", "assignment")))]
     both = scans[0].unionByName(scans[1])
     return both.groupBy("doc_id", "start", "end", "raw").agg(F.min("scan").alias("scan"), F.max(F.struct(-F.col("scan"), "score"))["score"].alias("score"))
 
