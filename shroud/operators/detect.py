@@ -58,29 +58,37 @@ def entries(rules: tuple[Rule, ...], detectors: Iterable[str]) -> list[tuple[str
     return out
 
 
-def candidates(docs: DataFrame, rules: Iterable[Rule] = RULES, detectors: Iterable[str] = DETECTORS, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), quick: bool = False) -> DataFrame:
-    """One row a candidate of the chosen detectors, before suppression and scores. ``rule``: its place in ``rules``. ``quick`` leaves out words of prose, which
-    the entropy detector would drop later."""
-    table = entries(tuple(rules), detectors)
+def hits(docs: DataFrame, table: list[tuple[str, int, str, tuple[int, ...], str]], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The texts with each entry that finds something in them: _t, _chunks, _r (source, rule, rx, g) and its matches _m."""
     rows = spread(docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).where(F.length(F.trim("_t")) > 0)).withColumns({"_low": F.lower("_t"), "_chunks": F.expr(chunks_sql("_t"))})
     quoted = lambda rx: "r'" + rx.replace("'", r"\x27") + "'"
-    hits = [f"CASE WHEN {gate} AND regexp_like(_t, {quoted(rx)}) THEN {i} END" for i, (_, _, rx, _, gate) in enumerate(table)]
+    tests = [f"CASE WHEN {gate} AND regexp_like(_t, {quoted(rx)}) THEN {i} END" for i, (_, _, rx, _, gate) in enumerate(table)]
     # a column for each few rules keeps generated code small
-    parts = {f"_h{at}": F.expr(f"array_compact(array({', '.join(hits[at : at + 12])}))") for at in range(0, len(hits), 12)}
+    parts = {f"_h{at}": F.expr(f"array_compact(array({', '.join(tests[at : at + 12])}))") for at in range(0, len(tests), 12)}
     empty = F.expr("cast(array() as array<int>)")
     rows = rows.withColumns(parts).select(*keep, "_t", "_chunks", F.explode(F.concat(*parts) if parts else empty).alias("_i"))
     row = lambda s, k, rx, g: f"named_struct('source', '{s}', 'rule', {k}, 'rx', {quoted(rx)}, 'g', cast(array({', '.join(map(str, g))}) as array<int>))"
     values = F.expr(f"array({', '.join(row(s, k, rx, g) for s, k, rx, g, _ in table)})") if table else F.lit(None).cast("array<struct<source:string,rule:int,rx:string,g:array<int>>>")
     rows = rows.withColumn("_r", F.element_at(values, F.col("_i") + 1))
-    rows = rows.withColumn("_m", F.expr(matches_of_sql("_t", "_r.rx", "_r.g", max([len(g) for _, _, _, g, _ in table], default=0))))
-    if quick:
-        rows = rows.withColumn("_m", F.expr(f"CASE WHEN _r.source = 'entropy' THEN filter(_m, m -> NOT {Q.test('m.raw', PLAIN_WORDS)}) ELSE _m END"))
+    return rows.withColumn("_m", F.expr(matches_of_sql("_t", "_r.rx", "_r.g", max([len(g) for _, _, _, g, _ in table], default=0))))
+
+
+def spans_of(rows: DataFrame, keep: tuple[str, ...] = ("doc_id",), key: str = "''") -> DataFrame:
+    """One row a match of ``hits``, with what stands before and after it on its line."""
     before, after = line_before_sql("_t", "_chunks", "m.start"), line_after_sql("_t", "_chunks", "m.end")
-    key = f"CASE WHEN _r.source = 'assignment' THEN {Q.extract('m.matched', ASSIGNMENT, 1, 'i')} ELSE '' END"
     made = f"transform(_m, (m, i) -> named_struct('source', _r.source, 'rule', _r.rule, 'order', i, 'start', m.start, 'end', m.end, 'raw', m.raw, 'key', {key}, 'matched', m.matched, 'before', {before}, 'after', {after}))"
     return rows.select(*keep, F.inline(F.expr(made)))
 
 
+def candidates(docs: DataFrame, rules: Iterable[Rule] = RULES, detectors: Iterable[str] = DETECTORS, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), quick: bool = False) -> DataFrame:
+    """One row a candidate of the chosen detectors, before suppression and scores. ``rule``: its place in ``rules``. ``quick`` leaves out words of prose, which
+    the entropy detector would drop later."""
+    rows = hits(docs, entries(tuple(rules), detectors), text_col, keep)
+    if quick:
+        rows = rows.withColumn("_m", F.expr(f"CASE WHEN _r.source = 'entropy' THEN filter(_m, m -> NOT {Q.test('m.raw', PLAIN_WORDS)}) ELSE _m END"))
+    return spans_of(rows, keep, f"CASE WHEN _r.source = 'assignment' THEN {Q.extract('m.matched', ASSIGNMENT, 1, 'i')} ELSE '' END")
+
+
 #: What a rule says, as columns of its candidates.
 RULE_COLUMNS: dict[str, tuple[Callable[[Rule], object], object]] = {
     "name": (lambda r: r.name, ""),

@@ -112,3 +112,12 @@ def lines_view(templates: list[str], table: str = "orders", key: str = "o_orderk
     """doc_id, session_id, seq, text: a line for each row of the table, templates in turn."""
     cases = " ".join(f"WHEN {k} THEN {line_sql(t)}" for k, t in enumerate(templates))
     return f"SELECT doc_id, session_id, doc_id AS seq, CASE doc_id % {len(templates)} {cases} END AS text FROM (SELECT {key} AS doc_id, CONCAT('s', CAST({group} % 97 AS STRING)) AS session_id, MD5(CAST({key} AS STRING)) AS h, CAST({group} AS STRING) AS n FROM {table})"
+
+
+#: Two lines for each detector of values that are scored: one that is kept, one that isn't.
+SCORED_LINES = [
+    "api_token: Bearer {h16}zQ", "view?token= Bearer abc", "login_email = user{n}@corp-mail.io", "user_name: 12345", '{{"username": "jane.roe{n}"}}', '{{"username": "[PWM_3]"}}', "Harbor{n}!Stone7q", "plain words in a row",
+    "net 10.{n2}.0.0/16 up", "net 11.{n2}.0.0/16 up", "host 192.168.4.{n1} ok", "host 192.0.2.{n1} ok", "file share FS1234567 moved", "part FS1234567 moved", "group AD123-SH456-FILE-L-STFSA1234567R", "group AD123-SH456-FILE-X-STFSA1234567R",
+    "azure rg-prod-weu-app-{n2} created", "the rg-hello-world thing", "vnet-prod-weu-hub-{n2} peering", "db-hello-world", "storage account stweuprodfiles{n1}01", "a strongword", "server srv-app-prod-{n2} in subnet", "the x-y-{n1} value",
+    "owner CORP{bs}jane.roe{n1}", "uses svc-backup in a service", "login by svc-backup-{n1}", "see module.name here", "openstack ecs-prod-eu-de-{n2} flavor", "as-hello-world", "project_id: {h}", "project_id: {h15}", "to b{n1}.obs.eu-de.otc.t-systems.com", "to b{n1}.example.org",
+]

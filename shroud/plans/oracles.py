@@ -9,7 +9,7 @@ from __future__ import annotations
 from ..functions import scalars as S
 from ..functions.dialect import DUCKDB as Q
 from ..functions.dialect import re2
-from ..operators import detect, learn, metadata
+from ..operators import detect, learn, metadata, scored
 from ..operators.network import RANGES
 from ..operators.structured import KINDS
 from ..sources import files
@@ -224,6 +224,21 @@ def _metadata(docs: str, select: str) -> str:
     return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM ({docs})), f AS ({' UNION ALL '.join(map(one, metadata.KINDS))}) {select}"
 
 
+def _scored(docs: str, select: str) -> str:
+    parts = []
+    for k, d in enumerate(scored.DETECTORS):
+        marks = " OR ".join(f"contains(lower(t), {Q.text(m)})" for m in d.markers) or "true"
+        found = _spans("t", d.regex, d.flags, d.groups, where=f"({marks})").replace("t AS t, ", "t, ")
+        parts.append(f"SELECT doc_id, {k} AS rule, raw AS found, start, matched, string_split(left(t, start), chr(10))[-1] AS before, regexp_replace(string_split(substr(t, \"end\" + 1), chr(10))[1], '\\r\\z', '') AS after FROM ({found})")
+    sql = " UNION ALL ".join(parts)
+    for step in scored.steps(Q, scored.DETECTORS):
+        sql = f"SELECT *, {', '.join(f'{v} AS {k}' for k, v in step.items())} FROM ({sql})"
+    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM ({docs})), f AS (SELECT doc_id, detector, type, category, raw, CAST(from_ AS INTEGER) AS start, CAST(to_ AS INTEGER) AS \"end\", score, severity FROM ({sql}) WHERE kept AND points >= least) {select}"
+
+
+_NAMES_OF = f"SELECT *, left(text, len(text) - len(raw)) AS before, '' AS after FROM (SELECT doc_id, text, string_split(text, ' ')[-1] AS raw FROM ({VIEWS['v_scored_lines']}))"
+
+
 def _numeric() -> str:
     sql = f"SELECT doc_id, text FROM ({VIEWS['v_secret_lines']})"
     for step in learn.numeric_steps(Q):
@@ -239,7 +254,20 @@ ORACLES: dict[str, str] = {
 SELECT doc_id, start, "end", raw, min(scan) AS scan, max(score) FILTER (scan = m) AS score FROM (SELECT *, min(scan) OVER (PARTITION BY doc_id, start, "end", raw) AS m FROM s) GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY doc_id, start, \"end\", raw"),
     "d14_site_status": f"WITH {_URLS}, o AS (SELECT request_id, CASE WHEN scheme <> '' THEN concat(scheme, '://', host, CASE WHEN port <> '' THEN ':' || port ELSE '' END) ELSE '' END AS origin FROM u), f AS (SELECT origin, min(request_id) AS first FROM o WHERE origin <> '' GROUP BY 1) SELECT request_id, o.origin, CASE WHEN first % 3 = 0 THEN 'builtin' WHEN first % 2 = 0 THEN 'user' ELSE 'none' END AS status FROM o LEFT JOIN f ON f.origin = o.origin",
     "c25_c40_metadata": _metadata(_META, "SELECT * FROM f"),
-    "c25_c40_documents": _metadata("SELECT doc_id, text FROM documents UNION ALL SELECT page_id, html FROM pages", "SELECT detector, type, count(*) AS n, count(DISTINCT raw) AS n_raw FROM f GROUP BY ALL"),
+    "c25_c40_documents": _metadata(f"SELECT doc_id, text FROM documents UNION ALL SELECT page_id, html FROM pages UNION ALL {_META}", "SELECT detector, type, count(*) AS n, count(DISTINCT raw) AS n_raw FROM f GROUP BY ALL"),
+    "f07_f10_ids_and_places": judged(("registry",)) + """, f AS (SELECT DISTINCT doc_id, start, "end", raw FROM judged WHERE why IS NULL), k AS (SELECT *, 'f_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", raw) AS VARCHAR), 4, '0') AS id FROM f),
+p AS (SELECT *, '[' || upper(id) || ']' AS placeholder FROM k), q AS (SELECT *, CAST(start + coalesce(sum(len(placeholder) - ("end" - start)) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS new_start FROM p) SELECT *, CAST(new_start + len(placeholder) AS INTEGER) AS new_end FROM q""",
+    "d01_d02_d15_interval_joins": judged(("registry", "assignment")) + """, f AS (SELECT doc_id, source, start, "end" FROM judged WHERE why IS NULL), o AS (SELECT * FROM f WHERE source = 'assignment'), r AS (SELECT * FROM f WHERE source = 'registry')
+SELECT 'overlap' AS kind, doc_id, start, "end" FROM o WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = o.doc_id AND r.start < o."end" AND r."end" > o.start) UNION ALL
+SELECT 'longer', doc_id, start, "end" FROM o WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = o.doc_id AND r.start < o."end" AND r."end" > o.start AND r."end" - r.start >= o."end" - o.start) UNION ALL
+SELECT 'inside', doc_id, start, "end" FROM o WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = o.doc_id AND r.start <= o.start AND r."end" >= o."end")""",
+    "g02_natural_order": f"""WITH t AS (SELECT DISTINCT session_id, doc_id % 4 AS f, doc_id % 30 + 1 AS k FROM ({VIEWS['v_secret_lines']})), o AS (SELECT session_id, concat(['[PWM_', '[NET_', '[NET_1_SUB_', '[PUB_HOST_'][f + 1], k, ']') AS token, [0, 1, 1, 2][f + 1] AS g, CASE WHEN f = 2 THEN [1, k] ELSE [k] END AS n FROM t)
+SELECT session_id, token, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY g, n, token) AS rank FROM o) WHERE rank <= 8""",
+    "b53_g09_previews": f"""WITH l AS (SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS line_no, regexp_replace(unnest(l), '\\r$', '') AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)), d AS (SELECT * FROM l WHERE contains(t, '@')), m AS ({_spans('t', detect.EMAIL, 'i', keys='doc_id, line_no')})
+SELECT doc_id, line_no, CAST(start AS INTEGER) AS start, CASE WHEN len(t) <= 180 THEN t ELSE substr(t, CAST(greatest(0, least(start - floor((180 - ("end" - start)) / 2), len(t) - 180)) AS INTEGER) + 1, 180) END AS preview, CAST(least(len(t), 100) AS INTEGER) AS n_short FROM m""",
+    "r11_r15_trust_and_flags": f"WITH {_SEEN}, i AS (SELECT session_id, CAST(regexp_extract(token, '_([0-9]+)', 1) AS BIGINT) AS k FROM seen), c AS (SELECT session_id, max(k) - 2 AS m FROM i GROUP BY 1) SELECT 'trust' AS kind, i.session_id AS key, count(*) FILTER (k BETWEEN 1 AND m) AS n, count(*) AS \"of\" FROM i JOIN c ON c.session_id = i.session_id GROUP BY 2 UNION ALL SELECT 'flags', CAST(c_nationkey AS VARCHAR), count(*) FILTER (c_custkey % 3 <> 0 OR c_custkey % 4 = 0), count(*) FILTER (c_custkey % 3 = 0) FROM customer GROUP BY 2",
+    "c09_c38_scored_lines": _scored(VIEWS["v_scored_lines"], "SELECT * FROM f"),
+    "b40_b52_name_tests": _columns(f"({_NAMES_OF})", parts=scored.token_score(Q, "raw"), prefixed=scored.token_score(Q, "raw", True), infra=scored.infrastructure(Q), provider=scored.provider(Q), person=scored.identity(Q), path=scored.path_like(Q, "raw"), lone=scored.bare_password(Q, "raw"), ipv6=scored.ipv6(Q, "raw"), gap=scored.ipv6(Q, "concat('2001:db8::', length(raw))")),
     "l05_numeric_features": _numeric(),
     "e12_e13_vocabulary": f"WITH w AS (SELECT concat(' ', w, ' ') AS w FROM (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM ({VIEWS['v_secret_lines']})) WHERE w <> ''), g AS (SELECT substr(w, i, n) AS gram FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (VALUES (3), (4), (5)) x(n) WHERE len(w) >= n)) SELECT gram, count(*) AS n FROM g GROUP BY 1 ORDER BY n DESC, gram LIMIT 2048",
     "l10_l11_upgrades": f"""WITH r AS (SELECT o_orderkey AS doc_id, CAST(o_orderkey % 100 AS INTEGER) AS score, ['SECRET', 'NOT_SECRET', 'UNSURE'][o_custkey % 3 + 1] AS risk, (o_orderkey % 21) / 20 AS c FROM orders), s AS (SELECT *, {S.severity("score")} AS severity FROM r)

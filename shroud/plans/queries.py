@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.dialect import SPARK as Q
-from ..operators import audit, detect, evaluate, learn, metadata, network, policy, spans, structured, vault, verify
+from ..operators import audit, detect, evaluate, learn, metadata, network, policy, report, scored, spans, structured, vault, verify
 from ..sources import files
 from ..streaming import chunks
 from . import transform
@@ -153,6 +153,56 @@ def b48_b49_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", F.concat_ws(",", vault.tokens_of("text")).alias("tokens"), vault.canonical_text("text").alias("canonical"))
 
 
+# ---- reports
+
+
+def _found(spark: SparkSession, sf: str) -> DataFrame:
+    return detect.judged(view(spark, sf, "v_secret_lines"), detectors=("registry", "assignment")).where("why is null").select("doc_id", "source", "start", "end", "raw", "score")
+
+
+@query
+def f07_f10_ids_and_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of vendor rules with an id, and where their tokens stand after replacement."""
+    found = _found(spark, sf).where("source = 'registry'").select("doc_id", "start", "end", "raw").distinct()
+    return report.shifted(report.numbered(found).withColumn("placeholder", F.concat(F.lit("["), F.upper("id"), F.lit("]"))))
+
+
+@query
+def d01_d02_d15_interval_joins(spark: SparkSession, sf: str) -> DataFrame:
+    """Assignments that no vendor finding overlaps, that none of their length or more does, and that lie inside none."""
+    found = _found(spark, sf)
+    own, ranges = found.where("source = 'assignment'").drop("source"), found.where("source = 'registry'")
+    kinds = {"overlap": report.outside(own, ranges), "longer": report.outside(own, ranges, longer=True), "inside": report.outside(own, ranges, inside=True)}
+    out = [df.select(F.lit(k).alias("kind"), "doc_id", "start", "end") for k, df in kinds.items()]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query
+def g02_natural_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The first tokens of each session in their natural order."""
+    rows = view(spark, sf, "v_secret_lines").select("session_id", F.expr("concat(CASE doc_id % 4 WHEN 0 THEN '[PWM_' WHEN 1 THEN '[NET_' WHEN 2 THEN '[NET_1_SUB_' ELSE '[PUB_HOST_' END, doc_id % 30 + 1, ']')").alias("token")).distinct()
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("session_id").orderBy(*report.natural("token")))).where("rank <= 8")
+
+
+@query
+def b53_g09_previews(spark: SparkSession, sf: str) -> DataFrame:
+    """A short view around each e-mail address of the documents' lines."""
+    lines = structured.line_rows(table(spark, sf, "documents")).where("contains(line, '@')")
+    found = lines.select("doc_id", "line_no", "line", F.explode(spans.matches("line", detect.EMAIL, "i")).alias("m"))
+    return found.select("doc_id", "line_no", F.col("m.start").alias("start"), report.preview(F.col("line"), F.col("m.start"), F.col("m.end") - F.col("m.start")).alias("preview"), F.length(report.short(F.col("line"), 100)).alias("n_short"))
+
+
+@query
+def r11_r15_trust_and_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens within what their session gave out, and policies that may be paused."""
+    seen = vault.visible_tokens(view(spark, sf, "v_secret_lines"), ("session_id", "doc_id"))
+    counts = seen.groupBy("session_id").agg((F.max("index") - 2).alias("n"))
+    a = report.trusted_by_count(seen, counts).groupBy("session_id").agg(F.count_if("trusted").alias("n"), F.count("*").alias("of")).select(F.lit("trust").alias("kind"), F.col("session_id").alias("key"), "n", "of")
+    rows = table(spark, sf, "customer").select((F.col("c_custkey") % 3 == 0).alias("enterprise"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey") % 4 == 0).alias("allow_pause"), "c_nationkey")
+    b = report.flags(rows).groupBy("c_nationkey").agg(F.count_if("pausable").alias("n"), F.count_if("enforced").alias("of")).select(F.lit("flags").alias("kind"), F.col("c_nationkey").cast("string").alias("key"), "n", "of")
+    return a.union(b)
+
+
 # ---- networks
 
 
@@ -501,10 +551,25 @@ def c25_c40_metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def c25_c40_documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text").union(table(spark, sf, "pages").select("page_id", "html"))
+    docs = table(spark, sf, "documents").select("doc_id", "text").union(table(spark, sf, "pages").select("page_id", "html")).union(_metadata_lines(spark, sf))
     return metadata.scan(docs).groupBy("detector", "type").agg(F.count("*").alias("n"), F.countDistinct("raw").alias("n_raw"))
 
 
+@query
+def c09_c38_scored_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Identities, lone passwords, enterprise and cloud names in lines that each detector keeps or drops."""
+    return scored.scan(view(spark, sf, "v_scored_lines"))
+
+
+@query
+def b40_b52_name_tests(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of names, and the tests of lone passwords, paths and addresses, of the last word of each line."""
+    words = view(spark, sf, "v_scored_lines").select("doc_id", "text", F.expr("element_at(split(text, ' '), -1)").alias("raw"))
+    words = words.withColumn("before", F.expr("left(text, length(text) - length(raw))")).withColumn("after", F.lit(""))
+    tests = {"parts": scored.token_score(Q, "raw"), "prefixed": scored.token_score(Q, "raw", True), "infra": scored.infrastructure(Q), "provider": scored.provider(Q), "person": scored.identity(Q), "path": scored.path_like(Q, "raw"), "lone": scored.bare_password(Q, "raw"), "ipv6": scored.ipv6(Q, "raw"), "gap": scored.ipv6(Q, "concat('2001:db8::', length(raw))")}
+    return words.select("doc_id", *(F.expr(v).alias(k) for k, v in tests.items()))
+
+
 @query
 def l05_numeric_features(spark: SparkSession, sf: str) -> DataFrame:
     return learn.numeric(view(spark, sf, "v_secret_lines").select("doc_id", "text")).select("doc_id", *learn.NUMERIC)

@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .lines import LINES, lines_view
+from .lines import LINES, SCORED_LINES, lines_view
 
 VIEWS: dict[str, str] = {
     "v_secret_lines": "SELECT o_orderkey AS doc_id, CONCAT('s', CAST(o_custkey % 97 AS STRING)) AS session_id, o_orderkey AS seq, CASE o_orderkey % 12 WHEN 0 THEN CONCAT('DB_PASSWORD=Vault', CAST(o_custkey AS STRING), '!Horse') WHEN 1 THEN CONCAT('key AKIA', UPPER(SUBSTR(MD5(CAST(o_custkey AS STRING)), 1, 16)), ' in use') WHEN 2 THEN CONCAT('OPENAI_API_KEY=sk-proj-', MD5(CAST(o_custkey AS STRING))) WHEN 3 THEN CONCAT('push with ghp_', MD5(CAST(o_orderkey AS STRING)), ' now') WHEN 4 THEN CONCAT('Authorization: Bearer ', MD5(CAST(o_custkey AS STRING))) WHEN 5 THEN CONCAT('DATABASE_URL=postgres://app:Pw', CAST(o_custkey AS STRING), 'x!9@db.internal:5432/app') WHEN 6 THEN CONCAT('Cookie: theme=dark; sessionid=', MD5(CAST(o_orderkey AS STRING))) WHEN 7 THEN CONCAT('token_limit=4096 region=eu-central-1 id=', CAST(o_orderkey AS STRING)) WHEN 8 THEN CONCAT('mail user', CAST(o_custkey AS STRING), '@corp-mail.io today') WHEN 9 THEN CONCAT('example: my password is Demo', CAST(o_orderkey AS STRING), '!') WHEN 10 THEN CONCAT('my db password is Forest', CAST(o_custkey AS STRING), '!x') ELSE CONCAT('password=[PWM_', CAST(o_custkey % 9 + 1 AS STRING), ']') END AS text FROM orders",
@@ -22,6 +22,7 @@ VIEWS: dict[str, str] = {
     "v_boxes": "SELECT l_orderkey AS doc_id, l_linenumber AS box_no, (l_linenumber - 1) * 8 AS box_start, l_linenumber * 8 AS box_end, l_linenumber * 40 AS x, 10 AS y, 38 AS width, 12 AS height, CASE CAST(l_suppkey AS INT) % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence FROM lineitem",
 }
 VIEWS["v_rule_lines"] = lines_view(LINES)
+VIEWS["v_scored_lines"] = lines_view(SCORED_LINES)
 VIEWS["v_odd_rows"] = f"SELECT CASE WHEN seq % 5 = 0 THEN NULL ELSE seq - seq % 4 END AS doc_id, CASE WHEN seq % 7 = 0 THEN NULL ELSE session_id END AS session_id, seq, text FROM ({VIEWS['v_secret_lines']})"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
