@@ -105,3 +105,29 @@ def unescaped(x: Column) -> Column:
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(a), F.lit(b))
     return x
+
+
+# Labels and values of credentials that stand on lines of their own.
+PROVIDER_LABEL = r"(?i)(?:api[ _-]?key|apikey|key)[^\r\n]*:[ \t]*$"
+PROVIDER_VALUE = r"(?i)^[ \t]*(sk-(?:proj|live|test|org|svcacct|admin)-[A-Za-z0-9_-]{6,})"
+AWS_LABEL = r"(?i)\bAWS[ \t]+(?:Secret[ \t]+(?:Access[ \t]+)?Key|Access[ \t]+Key(?:[ \t]+ID)?)"
+AWS_KEY = r"^[ \t]*((?:AKIA|ASIA)[A-Z0-9]{16})[ \t]*$"
+AWS_SECRET = r"^[ \t]*([A-Za-z0-9/+=]{40})[ \t]*$"
+EXAMPLES = r"(?i)\b(?:example|sample|dummy|fake|template|mock|placeholder|replace[_ -]?me|changeme)\b"
+
+
+def adjacent(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Credentials whose label, or whose other half, stands on the line before: detector, type, raw, start, end, score."""
+    rows = line_rows(docs, keep).withColumn("before", F.lag("line").over(Window.partitionBy(*keep).orderBy("line_no"))).where("before is not null")
+    label, line = F.col("before"), F.col("line")
+    secret = label.rlike(AWS_LABEL) & label.rlike(r"(?i)\bsecret\b")
+    cases = (
+        ("C12", "API_KEY", 90, label.rlike(PROVIDER_LABEL) & ~label.rlike(EXAMPLES), PROVIDER_VALUE),
+        ("C13", "AWS_SECRET_KEY", 98, secret, AWS_SECRET),
+        ("C13", "AWS_KEY", 94, label.rlike(AWS_LABEL) & ~secret, AWS_KEY),
+        ("C14", "AWS_SECRET_KEY", 97, label.rlike(AWS_KEY), AWS_SECRET),
+    )
+    one = lambda d, t, n, ok, rx: F.when(ok & line.rlike(rx), F.struct(F.lit(d).alias("detector"), F.lit(t).alias("type"), F.regexp_extract(line, rx, 1).alias("raw"), F.lit(n).alias("score")))
+    rows = rows.select(*keep, "line", "start", F.explode(F.array_compact(F.array(*(one(*c) for c in cases)))).alias("f"))
+    at = (F.col("start") + F.expr("instr(line, f.raw)") - 1).cast("int")
+    return rows.select(*keep, "f.detector", "f.type", "f.raw", at.alias("start"), (at + F.length("f.raw")).cast("int").alias("end"), "f.score")

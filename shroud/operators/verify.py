@@ -30,10 +30,17 @@ def has_tokens(expected: Column, actual: Column) -> Column:
     return F.size(F.array_except(distinct_tokens(expected), distinct_tokens(actual))) == 0
 
 
+def in_order(expected: Column, actual: Column) -> Column:
+    """The expected tokens stand in the text in their order, others between them or not."""
+    want, have = (F.regexp_extract_all(x, F.lit(java(TOKEN)), F.lit(0)) for x in (expected, actual))
+    met = F.aggregate(have, F.lit(0), lambda i, t: F.when(F.get(want, i) == t, i + 1).otherwise(i))
+    return met == F.size(want)
+
+
 def collapsed(expected: Column, actual: Column) -> Column:
-    """At least two line breaks were expected and less than half are there."""
+    """At least two line breaks were expected and less than half are there, while the tokens stand in their order."""
     n = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    return (n(expected) >= 2) & (n(actual) * 2 < n(expected))
+    return (n(expected) >= 2) & (n(actual) * 2 < n(expected)) & in_order(expected, actual)
 
 
 def leaks(redacted: DataFrame, findings: DataFrame, expected: str = "redacted", actual: str = "actual") -> DataFrame:

@@ -266,6 +266,10 @@ SELECT session_id, token, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_numb
     "b53_g09_previews": f"""WITH l AS (SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS line_no, regexp_replace(unnest(l), '\\r$', '') AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)), d AS (SELECT * FROM l WHERE contains(t, '@')), m AS ({_spans('t', detect.EMAIL, 'i', keys='doc_id, line_no')})
 SELECT doc_id, line_no, CAST(start AS INTEGER) AS start, CASE WHEN len(t) <= 180 THEN t ELSE substr(t, CAST(greatest(0, least(start - floor((180 - ("end" - start)) / 2), len(t) - 180)) AS INTEGER) + 1, 180) END AS preview, CAST(least(len(t), 100) AS INTEGER) AS n_short FROM m""",
     "r11_r15_trust_and_flags": f"WITH {_SEEN}, i AS (SELECT session_id, CAST(regexp_extract(token, '_([0-9]+)', 1) AS BIGINT) AS k FROM seen), c AS (SELECT session_id, max(k) - 2 AS m FROM i GROUP BY 1) SELECT 'trust' AS kind, i.session_id AS key, count(*) FILTER (k BETWEEN 1 AND m) AS n, count(*) AS \"of\" FROM i JOIN c ON c.session_id = i.session_id GROUP BY 2 UNION ALL SELECT 'flags', CAST(c_nationkey AS VARCHAR), count(*) FILTER (c_custkey % 3 <> 0 OR c_custkey % 4 = 0), count(*) FILTER (c_custkey % 3 = 0) FROM customer GROUP BY 2",
+    "c12_c14_adjacent_lines": """WITH c AS (SELECT c_custkey AS doc_id, c_custkey % 6 AS k, md5(c_name) AS h FROM customer)
+SELECT doc_id, 'C12' AS detector, 'API_KEY' AS type, concat('sk-proj-', h) AS raw, 20 AS start, 60 AS "end", 90 AS score FROM c WHERE k = 0 UNION ALL SELECT doc_id, 'C13', 'AWS_SECRET_KEY', concat(h, left(h, 8)), 22, 62, 98 FROM c WHERE k = 2
+UNION ALL SELECT doc_id, 'C13', 'AWS_KEY', concat('AKIA', upper(left(h, 16))), 20, 40, 94 FROM c WHERE k = 3 UNION ALL SELECT doc_id, 'C14', 'AWS_SECRET_KEY', concat(h, left(h, 8)), 21, 61, 97 FROM c WHERE k = 4""",
+    "u07_sql_functions": _columns(f"({VIEWS['v_secret_lines']})", entropy=S.entropy(Q, "text"), variety=S.variety(Q, "text"), alphabet=S.alphabet(Q, "text"), ctx=S.context_score(Q, "lower(text)"), key_type=S.key_type(Q, "text")),
     "c09_c38_scored_lines": _scored(VIEWS["v_scored_lines"], "SELECT * FROM f"),
     "b40_b52_name_tests": _columns(f"({_NAMES_OF})", parts=scored.token_score(Q, "raw"), prefixed=scored.token_score(Q, "raw", True), infra=scored.infrastructure(Q), provider=scored.provider(Q), person=scored.identity(Q), path=scored.path_like(Q, "raw"), lone=scored.bare_password(Q, "raw"), ipv6=scored.ipv6(Q, "raw"), gap=scored.ipv6(Q, "concat('2001:db8::', length(raw))")),
     "l05_numeric_features": _numeric(),

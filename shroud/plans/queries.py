@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.dialect import SPARK as Q
+from ..functions.register import register
 from ..operators import audit, detect, evaluate, learn, metadata, network, policy, report, scored, spans, structured, vault, verify
 from ..sources import files
 from ..streaming import chunks
@@ -64,7 +65,7 @@ def h01_r02_rule_lines(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def c06_c24_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Kept candidates in the documents themselves, counted by rule and type."""
-    out = detect.judged(table(spark, sf, "documents"), ("pattern", "registry", "email")).where("why is null")
+    out = detect.judged(table(spark, sf, "documents"), detectors=("pattern", "registry", "email")).where("why is null")
     return out.groupBy("source", "name", "type").agg(F.count("*").alias("n"), F.sum("score").alias("score"), F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -83,7 +84,7 @@ def b36_suppression_reasons(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def b38_allow_list(spark: SparkSession, sf: str) -> DataFrame:
     """Values on an allow-list are dropped before anything else."""
-    out = detect.judged(view(spark, sf, "v_secret_lines"), ("assignment",), allow=("Vault1!Horse", "Vault4!Horse"))
+    out = detect.judged(view(spark, sf, "v_secret_lines"), detectors=("assignment",), allow=("Vault1!Horse", "Vault4!Horse"))
     return out.groupBy(F.coalesce("why", F.lit("kept")).alias("why")).agg(F.count("*").alias("n"))
 
 
@@ -203,6 +204,25 @@ def r11_r15_trust_and_flags(spark: SparkSession, sf: str) -> DataFrame:
     return a.union(b)
 
 
+@query
+def c12_c14_adjacent_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels and halves of credentials on neighbouring lines, one kind a customer."""
+    h = "md5(c_name)"
+    texts = (
+        f"concat('our api key for it:', chr(10), 'sk-proj-', {h})", f"concat('the sample api key:', chr(10), 'sk-proj-', {h})", f"concat('AWS Secret Access Key', chr(10), {h}, left({h}, 8))",
+        f"concat('AWS Access Key ID', chr(10), '  AKIA', upper(left({h}, 16)))", f"concat('AKIA', upper(left({h}, 16)), chr(10), {h}, left({h}, 8), chr(10), 'end')", f"concat('AKIA', upper(left({h}, 16)), chr(10), chr(10), {h}, left({h}, 8))",
+    )
+    cases = " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(texts))
+    return structured.adjacent(table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(f"CASE c_custkey % {len(texts)} {cases} END").alias("text")))
+
+
+@query
+def u07_sql_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """Registered functions in a statement."""
+    register(spark)
+    return spark.sql("SELECT doc_id, shannon_entropy(text) AS entropy, char_variety(text) AS variety, token_alphabet(text) AS alphabet, context_score(text) AS ctx, type_of_key(text) AS key_type FROM {lines}", lines=view(spark, sf, "v_secret_lines"))
+
+
 # ---- networks
 
 
@@ -238,7 +258,7 @@ def r04_network_modes(spark: SparkSession, sf: str) -> DataFrame:
 
 def _secrets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = view(spark, sf, "v_secret_lines")
-    found = detect.judged(docs, ("registry",)).where("why is null")
+    found = detect.judged(docs, detectors=("registry",)).where("why is null")
     return docs, found.join(docs.select("doc_id", "session_id", F.col("seq").alias("place")), "doc_id").select("session_id", F.col("place").alias("seq"), "doc_id", "start", "raw", F.lit("PWM").alias("family"))
 
 
@@ -331,7 +351,7 @@ def r18_sanitized(spark: SparkSession, sf: str) -> DataFrame:
 def r19_verification(spark: SparkSession, sf: str) -> DataFrame:
     """Texts written by a sink that loses some of the redaction, held against what was expected."""
     docs = view(spark, sf, "v_secret_lines")
-    found = detect.judged(docs, ("registry",)).where("why is null")
+    found = detect.judged(docs, detectors=("registry",)).where("why is null")
     sent = docs.select("doc_id", F.concat("text", F.lit("\n[PWM_7]\n\n\n\nend")).alias("redacted"))
     wrote = F.expr("CASE doc_id % 5 WHEN 0 THEN 'gone' WHEN 1 THEN redacted WHEN 2 THEN replace(redacted, chr(10), ' ') WHEN 3 THEN replace(redacted, chr(10), concat(chr(13), chr(10))) ELSE concat('[PWM_7] ', redacted) END")
     return verify.leaks(sent.withColumn("actual", wrote), found)
@@ -638,7 +658,7 @@ def a09_html_rows(spark: SparkSession, sf: str) -> DataFrame:
 def d11_h03_merged_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Findings of two scans, one for each (document, start, end, raw), the first scan's where both have it."""
     docs = view(spark, sf, "v_secret_lines")
-    scans = [detect.judged(docs, d).where("why is null").select("doc_id", "start", "end", "raw", F.lit(k).alias("scan"), "score") for k, d in enumerate((("registry", "email"), ("pattern", "registry", "assignment")))]
+    scans = [detect.judged(docs, detectors=d).where("why is null").select("doc_id", "start", "end", "raw", F.lit(k).alias("scan"), "score") for k, d in enumerate((("registry", "email"), ("pattern", "registry", "assignment")))]
     both = scans[0].unionByName(scans[1])
     return both.groupBy("doc_id", "start", "end", "raw").agg(F.min("scan").alias("scan"), F.max(F.struct(-F.col("scan"), "score"))["score"].alias("score"))
 

@@ -50,7 +50,8 @@ def append_audit(events: DataFrame, path: str, mode: str = "on") -> None:
 
 
 def write_vault(vault: DataFrame, path: str) -> None:
-    vault.write.mode("overwrite").partitionBy("session_id").parquet(path)
+    """Replaces the sessions that are written; all others stay."""
+    vault.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
 
 
 def read_vault(spark: SparkSession, path: str) -> DataFrame:

@@ -146,6 +146,19 @@ def test_policy(spark):
     assert {r.reason for r in closed.collect()} == {"policy_fail_closed"}
 
 
+def test_order_of_tokens(spark):
+    df = spark.createDataFrame([("[PWM_1] a [PWM_2]", "[PWM_1] [PWM_9] [PWM_2]"), ("[PWM_1] a [PWM_2]", "[PWM_2] [PWM_1]"), ("none", "[PWM_1]")], "a string, b string")
+    assert [r[0] for r in df.select(verify.in_order(F.col("a"), F.col("b"))).collect()] == [True, False, True]
+
+
+def test_vault_keeps_other_sessions(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "session_id string, family string, raw string, placeholder string, index long")
+    path = str(tmp_path / "v")
+    tables.write_vault(rows(("a", "PWM", "x", "[PWM_1]", 1), ("b", "PWM", "y", "[PWM_1]", 1)), path)
+    tables.write_vault(rows(("b", "PWM", "z", "[PWM_2]", 2)), path)
+    assert sorted((r.session_id, r.raw) for r in tables.read_vault(spark, path).collect()) == [("a", "x"), ("b", "z")]
+
+
 def test_verification(spark):
     rows = [(1, "a [PWM_1]\nb\nc", "a [PWM_1]\nb\nc"), (2, "x [PWM_1]", "x raw-secret"), (3, "x [PWM_1]", "x"), (4, "a\n\nb [PWM_1]\nc", "a b [PWM_1] c"), (5, "a \n[PWM_1]", "a\r\n[PWM_1]")]
     df = spark.createDataFrame(rows, "doc_id long, redacted string, actual string")
