@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, near_dedup, packing, pii, quality, secrets, sharding, substring, topk
+from . import conversations, decontam, licenses, near_dedup, packing, pii, quality, secrets, sharding, substring, topk
 from .base import table
 
 #: A deployment passes its own key; this one makes results repeatable.
@@ -59,7 +59,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_secrets, op4_substring_dedup, op5_exact_topk, op6_licenses, op7_packing, op8_quality, op9_pii, op10_sharding)}
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_secrets, op4_substring_dedup, op5_exact_topk, op6_licenses, op7_packing, op8_quality, op9_pii, op10_sharding, op11_conversations)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANK = r"[^\x20\x09-\x0D]+"
@@ -140,6 +144,51 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, ro
 """
 
 
+def _crc32(x: str) -> str:
+    """The CRC of an ASCII or Latin text's UTF-8 bytes, bit by bit."""
+    octets = f"list_transform(range(1, octet_length(encode({x})) + 1), lambda i: CAST('0x' || substr(hex(encode({x})), 2 * i - 1, 2) AS BIGINT))"
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, v: xor(u >> 1, 3988292384 * (u & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: {bits}), 4294967295)"
+
+
+def _conversation_sql() -> str:
+    states = (("e", "e"), ("s", "s"), ("u", "u"), ("a", "a"))
+    free = {"e": "u", "s": "u", "u": "a", "a": "u"}
+    keep = {"e": "su", "s": "u", "u": "a", "a": "u"}
+    role = {"u": "user", "a": "assistant"}
+    best = lambda options: "list_min(list_filter([" + ", ".join(options) + "], lambda o: o.c IS NOT NULL))"
+
+    def option(cost: str, edit: str, line: str | None, rest: str, when: str = "true") -> str:
+        own = "[]" if line is None else f"[{line}]"
+        return f"{{'c': CASE WHEN {when} THEN {cost} + {rest}.c END, 'a': '{edit}' || {rest}.a, 'l': {own} || {rest}.l}}"
+
+    base = {}
+    for q, _ in states:
+        stays = "NOT gone"
+        options = [option("2", "D", None, f"r.{q}"), option("1 + more", "R", f"'{role[free[q]]}:' || text", f"r.{free[q]}", stays)]
+        options += [option("more", "K", "role || ':' || text", f"r.{x}", f"{stays} AND role[1] = '{x}'") for x in keep[q]]
+        base[q] = best(options)
+    inserted = lambda q, own, rest: f"list_min([{own}, {{'c': 5 + {rest}.c, 'a': 'I' || {rest}.a, 'l': ['{role[free[q]]}:'] || {rest}.l}}])"
+    return f"""
+WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM conversations),
+x AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS k FROM x),
+f AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') AS open_end,
+  lag(role[1]) OVER (PARTITION BY conv_id ORDER BY k) || role[1] AS pair FROM n),
+g AS (SELECT *, blank OR again AS gone, CASE WHEN open_end THEN 5 ELSE 0 END AS more, max(k) OVER (PARTITION BY conv_id) AS m FROM f),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+  count(*) FILTER (open_end AND NOT blank AND NOT again) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY 1),
+r AS (SELECT DISTINCT conv_id, m + 1 AS k, {{'c': 0, 'a': '', 'l': CAST([] AS VARCHAR[])}} AS e, {{'c': 10, 'a': 'II', 'l': ['user:', 'assistant:']}} AS s, {{'c': 5, 'a': 'I', 'l': ['assistant:']}} AS u, {{'c': 0, 'a': '', 'l': CAST([] AS VARCHAR[])}} AS a FROM g
+  UNION ALL SELECT conv_id, k, {inserted("e", "e", "u")} AS e, {inserted("s", "s", "u")} AS s, u, a FROM (
+    SELECT conv_id, k, e, s, {inserted("u", "u", "a")} AS u, {inserted("a", "a", "u")} AS a FROM (
+      SELECT g.conv_id, g.k, {", ".join(f"{base[q]} AS {q}" for q, _ in states)} FROM r JOIN g ON g.conv_id IS NOT DISTINCT FROM r.conv_id AND g.k = r.k - 1))),
+o AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(r.e.c, 0) AS BIGINT) AS cost, coalesce(r.e.a, '') AS audit, sha256(coalesce(array_to_string(r.e.l, chr(10)), '')) AS repaired_sha256
+FROM o LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM o.conv_id AND r.k = 1
+"""
+
+
 def _license_sql() -> str:
     def canonical(x: str) -> str:
         out = x
@@ -164,4 +213,4 @@ SELECT d.doc_id, coalesce(licenses, '') AS licenses, coalesce(n_units, 0) AS n_u
 """
 
 
-ORACLES: dict[str, str] = {"op1_near_dedup": _OP1, "op2_decontamination": _OP2, "op3_secrets": _OP3, "op4_substring_dedup": _OP4, "op5_exact_topk": _OP5, "op6_licenses": _license_sql()}
+ORACLES: dict[str, str] = {"op1_near_dedup": _OP1, "op2_decontamination": _OP2, "op3_secrets": _OP3, "op4_substring_dedup": _OP4, "op5_exact_topk": _OP5, "op6_licenses": _license_sql(), "op11_conversations": _conversation_sql()}
