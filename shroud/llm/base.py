@@ -29,13 +29,13 @@ def shared_folder(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends there, and the
-    table survives the loss of any executor. ``discard`` deletes it, ``clear`` all that are left."""
+    table survives the loss of any executor. ``discard`` deletes it, ``clear`` all that are left. ``options`` go to the writer."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

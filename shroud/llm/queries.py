@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontam, licenses, near_dedup, packing, pii, quality, secrets, sharding, substring, topk
+from . import conversations, decontam, licenses, near_dedup, packing, pii, quality, secrets, sharding, substring, tokens, topk
 from .base import table
 
 #: A deployment passes its own key; this one makes results repeatable.
@@ -63,7 +63,11 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_secrets, op4_substring_dedup, op5_exact_topk, op6_licenses, op7_packing, op8_quality, op9_pii, op10_sharding, op11_conversations)}
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.documents(tokens.write(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_secrets, op4_substring_dedup, op5_exact_topk, op6_licenses, op7_packing, op8_quality, op9_pii, op10_sharding, op11_conversations, op12_token_files)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANK = r"[^\x20\x09-\x0D]+"
