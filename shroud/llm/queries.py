@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontam, licenses, near_dedup, packing, pii, quality, secrets, sharding, substring, tokens, topk
-from .base import table
+from . import conversations, decontam, licenses, near_dedup, packing, pii, quality, secrets, sharding, substring, tokens, topk, variants
+from .base import cut, table
 
 #: A deployment passes its own key; this one makes results repeatable.
 PII_KEY = "pseudonym-key-of-the-registered-query"
@@ -67,9 +67,16 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.documents(tokens.write(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_secrets, op4_substring_dedup, op5_exact_topk, op6_licenses, op7_packing, op8_quality, op9_pii, op10_sharding, op11_conversations, op12_token_files)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = variants.runs(table(spark, sf_dir, "documents"))
+    words = cut(variants.vocabulary(runs.select(variants.planted(runs).alias("word"))), "vocabulary")
+    return variants.forms(words).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_secrets, op4_substring_dedup, op5_exact_topk, op6_licenses, op7_packing, op8_quality, op9_pii, op10_sharding, op11_conversations, op12_token_files, op13_spelling_variants)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LOWER_RUN = "translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANK = r"[^\x20\x09-\x0D]+"
 
 _OP1 = rf"""
@@ -193,6 +200,22 @@ FROM o LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN r ON r.
 """
 
 
+_OP13 = rf"""
+WITH RECURSIVE o AS (SELECT doc_id, {_LOWER_RUN} AS run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY 1, 2),
+h AS (SELECT *, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM o),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY 1 HAVING sum(c) >= 2),
+d AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM v),
+e AS (SELECT word, n, k, left(word, k - 1) AS head, substr(word, k + 1) AS tail FROM d),
+p AS (SELECT a.word, b.word AS near, b.n FROM e a JOIN e b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT e.word, v.word, v.n FROM e JOIN v ON v.word = head || tail UNION SELECT v.word, e.word, e.n FROM e JOIN v ON v.word = head || tail),
+b AS (SELECT word, count(*) AS n_near, min({{'less': -n, 'near': near}}) AS best FROM p GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 10 * v.n THEN best.near END AS form, CASE WHEN -best.less >= 10 * v.n THEN -best.less END AS form_n FROM v LEFT JOIN b ON b.word = v.word),
+r AS (SELECT word, word AS root FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.root AND f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, r.root FROM f JOIN r ON r.word = f.word JOIN f t ON t.word = r.root AND t.form IS NULL
+"""
+
+
 def _license_sql() -> str:
     def canonical(x: str) -> str:
         out = x
@@ -217,4 +240,4 @@ SELECT d.doc_id, coalesce(licenses, '') AS licenses, coalesce(n_units, 0) AS n_u
 """
 
 
-ORACLES: dict[str, str] = {"op1_near_dedup": _OP1, "op2_decontamination": _OP2, "op3_secrets": _OP3, "op4_substring_dedup": _OP4, "op5_exact_topk": _OP5, "op6_licenses": _license_sql(), "op11_conversations": _conversation_sql()}
+ORACLES: dict[str, str] = {"op1_near_dedup": _OP1, "op2_decontamination": _OP2, "op3_secrets": _OP3, "op4_substring_dedup": _OP4, "op5_exact_topk": _OP5, "op6_licenses": _license_sql(), "op11_conversations": _conversation_sql(), "op13_spelling_variants": _OP13}
