@@ -111,21 +111,37 @@ MARKERS = ("licen", "permission", "redistribution")
 SPELLINGS = (("licence", "license"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("organisation", "organization"), ("copyright owner", "copyright holder"), ("merchantibility", "merchantability"), ("v2 0", "version 2 0"), ("http", "https"))
 
 
-#: Lines that name a holder. With a year, or beginning as a notice does; licence text that wraps before the word stays.
-COPYRIGHT = (r"(?m)^[^{alnum}\n]*(?:(?i:copyright)|\([cC]\)|©)[^\n]*\d{{4}}[^\n]*$", r"(?m)^[^{alnum}\n]*Copyright[ \t]+(?:\([cC]\)|©|(?:by |the )?[A-Z])[^\n]{{0,80}}$", r"(?m)^[^{alnum}\n]*(?i:all rights reserved)\.?\s*$")
+#: Lines that name a holder, of the text in lower case: with a year, or beginning as a notice does. A line of licence text that happens to begin with the word goes on with one of the
+#: words below.
+COPYRIGHT = (
+    r"(?m)^[^{alnum}\n]*(?:copyright|\(c\)|©)[^\n]*\d{{4}}[^\n]*$",
+    r"(?m)^[^{alnum}\n]*copyright[ \t]+(?:\(c\)|©)[^\n]{{0,80}}$",
+    r"(?m)^[^{alnum}\n]*all rights reserved\.?\s*$",
+)
+#: A line that begins with "copyright" and a name: everything but the words that licence texts go on with.
+NAMED = r"(?m)^[^{alnum}\n]*copyright[ \t]+(?:by |the )?[{letters}][^\n]{{0,80}}$"
+#: Words that follow "copyright" in the licences' own sentences.
+SENTENCES = ("and", "are", "disclaimer", "doctrines", "holder", "holders", "if", "interest", "law", "laws", "licence", "licences", "license", "licenses", "notice", "notices", "of", "on", "or", "owner", "owners", "ownership", "permission", "protection", "resulting", "statement", "statements", "treaty")
 
 
 def canonical(text: Column) -> Column:
-    """Without copyright lines and punctuation, lower case, one spelling for equivalent ones."""
-    x = text
+    """Lower case, without copyright lines and punctuation, one spelling for equivalent ones."""
+    x = F.lower(text)
     for line in COPYRIGHT:
         x = F.regexp_replace(x, line.format(alnum=r"\p{Alnum}"), " ")
-    x = F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " "))
+    # a sentence of the licence is marked before lines of holders go, and comes back after them
+    x = F.regexp_replace(x, sentences(), "copyright\u0001 $1")
+    x = F.regexp_replace(x, NAMED.format(alnum=r"\p{Alnum}", letters=r"\p{L}"), " ")
+    x = F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "))
     for a, b in SPELLINGS:
         x = F.regexp_replace(x, rf"\b{a}\b", b)
     return x
 
 
+def sentences() -> str:
+    return rf"copyright[ \t]+({'|'.join(sorted(SENTENCES, key=len, reverse=True))})\b"
+
+
 def marked(text: Column) -> Column:
     low = F.lower(text)
     found = F.contains(low, F.lit(MARKERS[0]))

@@ -218,10 +218,11 @@ SELECT f.word, f.n, f.n_near, f.form, f.form_n, r.root FROM f JOIN r ON r.word =
 
 def _license_sql() -> str:
     def canonical(x: str) -> str:
-        out = x
+        out = f"lower({x})"
         for line in licenses.COPYRIGHT:
             out = f"regexp_replace({out}, '{line.format(alnum='[:alnum:]')}', ' ', 'g')"
-        out = f"trim(regexp_replace(lower({out}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+        out = f"regexp_replace(regexp_replace({out}, '{licenses.sentences()}', 'copyright' || chr(1) || ' \\1', 'g'), '{licenses.NAMED.format(alnum='[:alnum:]', letters=chr(92) + 'p{L}')}', ' ', 'g')"
+        out = f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
         for a, b in licenses.SPELLINGS:
             out = f"regexp_replace({out}, '\\b{a}\\b', '{b}', 'g')"
         return out

@@ -248,9 +248,20 @@ def test_license_forms(spark):
 def test_whole_licenses(spark):
     names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
     texts = [open(f"/usr/share/common-licenses/{n}").read() for n in names]
-    df = spark.createDataFrame([(k, t.upper() if k % 2 else t.replace(". ", " .  ")) for k, t in enumerate(texts)], "doc_id long, text string")
+    forms = (str.upper, str.lower, lambda t: t.replace(". ", " .  "), lambda t: "COPYRIGHT THE X AUTHORS\n\n" + t.upper(), lambda t: "Copyright 2020, 2021 Jane Roe\nAll rights reserved.\n" + t)
+    df = spark.createDataFrame([(k * len(forms) + f, form(t)) for k, t in enumerate(texts) for f, form in enumerate(forms)], "doc_id long, text string")
     got = {r["doc_id"]: r["whole_text"] for r in rows(licenses.scan(df))}
-    assert [got[k] for k in range(0, len(texts), 2)] == list(names.values())[::2]
+    assert [got[k] for k in range(len(texts) * len(forms))] == [n for n in names.values() for _ in forms]
+
+
+def test_licenses_in_every_case(spark):
+    """Texts of the package itself, so no folder of the machine is needed."""
+    texts = [(i, t) for i, form, t in licenses.KNOWN if form == "text"]
+    holders = ("", "Copyright (c) 2019 Jane Roe\n\n", "COPYRIGHT THE X AUTHORS\n\n", "copyright the x authors\n", "Copyright Anna Smith and others\nAll rights reserved\n\n", "© 2001-2003 Example Ltd.\n\n")
+    cases = [(i, form(h + t)) for i, t in texts for h in holders for form in (str, str.upper, str.lower)]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["whole_text"] for r in rows(licenses.scan(df))}
+    assert [got[k] for k in range(len(cases))] == [i for i, _ in cases]
 
 
 def test_licenses_odd_rows(odd):
