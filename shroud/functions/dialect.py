@@ -76,6 +76,12 @@ def re2(pattern: str, flags: str = "") -> str:
     return f"(?i){out}" if "i" in flags else out
 
 
+@lru_cache(maxsize=None)
+def python(pattern: str, flags: str = "") -> re.Pattern:
+    """The expression for the workers of a scan; classes, boundaries and letter case are ASCII's."""
+    return re.compile(_walk(pattern, r"\b", BLANKS, "(?s:.)", r"\Z"), re.ASCII | (re.IGNORECASE if "i" in flags else 0))
+
+
 class Sql:
     """Scalar SQL text of one engine. Patterns are in JavaScript's dialect."""
 

@@ -144,7 +144,7 @@ def template_marker(s: Sql, x: str) -> str:
 
 
 def example_host(s: Sql, x: str) -> str:
-    host = s.extract(f"lower({x})", r"^[a-z][a-z0-9+.-]*:\/\/(?:[^\/?#@]*@)?([^\/?#:]+)", 1)
+    host = s.extract(f"lower({x})", r"^[a-z][a-z0-9+.-]*:\/\/(?:[^\/?#]*@)?([^\/?#:@]+)", 1)
     return s.among(host, EXAMPLE_HOSTS)
 
 
@@ -253,12 +253,12 @@ def explicit_context(s: Sql, before: str) -> str:
     return s.test(before, SECRET_CONTEXT + r"\s*(?:=|:|is|equals|set\s+to|should\s+be|becomes|->|→)?\s*$", "i")
 
 
-def secret_context(s: Sql, before: str, window: str) -> str:
-    """A secret-like label on the line before, or near, unless another key is being assigned."""
+def secret_context(s: Sql, before: str, window: str, beyond: str = "false") -> str:
+    """A secret-like label on the line before, or near, unless another key is being assigned. ``beyond``: whether one stands further ahead on the line."""
     key = s.extract(before, r"([A-Za-z_][A-Za-z0-9_.-]{1,80})\s*=\s*$", 1)
     spaced = f"concat({normal_key(s, key)}, ' ', {s.sub(key, '[_-]+', ' ')})"
     label = rf"\b{SECRET_CONTEXT}\b"
-    return f"(({key} = '' OR {s.test(spaced, label, 'i')}) AND {s.test(f'concat({before}, {chr(39)} {chr(39)}, {window})', label, 'i')})"
+    return f"(({key} = '' OR {s.test(spaced, label, 'i')}) AND ({s.test(f'concat({before}, {chr(39)} {chr(39)}, {window})', label, 'i')} OR {beyond}))"
 
 
 def entropy_reason(s: Sql, x: str, explicit: str, context: str) -> str:

@@ -1,9 +1,6 @@
-"""Detectors: rules as data, each an expression that turns a text into spans.
+"""The general detectors: rules as data, assignments, e-mail addresses and tokens of high entropy.
 
-A text is tested once against every rule (its markers, then one search with a compiled expression); matches with offsets are made only for the rules that hit, by
-one expression that takes the rule as a value. So plans stay small, and a caller's own rules cost no more than the built-in ones.
-``scan`` unions the detectors, keeps the best finding of each span, resolves overlaps and returns one row a finding.
-Context (line before, line after, the window for the score) is taken while spans are made, so the exploded rows carry no text.
+``matcher`` finds their candidates in one pass over the texts; what follows is scalar SQL over candidates: type, context, score, and why one is dropped.
 """
 
 from __future__ import annotations
@@ -15,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.dialect import SPARK as Q
-from ..functions.dialect import Sql, java
-from ..sources.scratch import spread
+from ..functions.dialect import Sql
+from .matcher import Entry, matched
 from .rules import FAIL_CLOSED, KNOWN_SECRET, PATTERNS, REGISTRY, Rule
-from .spans import best_per_span, chunks_sql, line_after_sql, line_before_sql, matches_of_sql, resolve_overlaps
+from .spans import fenced
 
 # Expressions of the general detectors and of words that are no tokens.
 ASSIGNMENT = (
@@ -28,6 +25,7 @@ ASSIGNMENT = (
 )
 ASSIGNMENT_STEMS = ("pass", "pwd", "secret", "token", "api", "openai", "jwt", "key", "cookie", "session", "auth", "connection", "webhook")
 PLAIN_WORDS = r"^(?:[A-Za-z]{4,24}|[A-Z][A-Z0-9_]{2,64}|[a-z]+(?:_[a-z]+)+|[a-z]+(?:-[a-z]+)+)$"
+NO_PLAIN_WORD = rf"^(?!{PLAIN_WORDS[1:]})"
 EMAIL = r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 ENTROPY_TOKEN = r"\b[A-Za-z0-9+/_-]{8,}={0,2}\b"
 RULES: tuple[Rule, ...] = REGISTRY + PATTERNS
@@ -36,57 +34,27 @@ DETECTORS = ("pattern", "registry", "assignment", "email", "entropy")
 ORDER = {"pattern": 6, "registry": 7, "assignment": 8, "email": 16, "entropy": 24}
 
 
-def any_marker(low: str, markers: Iterable[str]) -> str:
-    return "(" + " OR ".join(f"contains({low}, {Q.text(m)})" for m in markers) + ")"
-
-
 def source_of(rule: Rule) -> str:
     """Vendor rules carry a severity, pattern rules don't."""
     return "registry" if rule.severity else "pattern"
 
 
-def entries(rules: tuple[Rule, ...], detectors: Iterable[str]) -> list[tuple[str, int, str, tuple[int, ...], str]]:
-    """source, rule, expression, groups and the test on the lower-case text that comes first."""
+def entries(rules: Iterable[Rule] = RULES, detectors: Iterable[str] = DETECTORS) -> list[Entry]:
+    """What the general detectors look for. ``rule``: its place in ``rules``."""
     wanted = set(detectors)
-    out = [(source_of(r), k, java(r.regex, r.flags), r.groups, any_marker("_low", r.markers) if r.markers else "true") for k, r in enumerate(rules) if source_of(r) in wanted]
+    out = [Entry(source_of(r), k, r.regex, r.flags, r.groups, r.markers) for k, r in enumerate(rules) if source_of(r) in wanted]
     if "assignment" in wanted:
-        out.append(("assignment", -1, java(ASSIGNMENT, "i"), (2,), any_marker("_low", ASSIGNMENT_STEMS)))
+        out.append(Entry("assignment", -1, ASSIGNMENT, "i", (2,), ASSIGNMENT_STEMS, 1))
     if "email" in wanted:
-        out.append(("email", -1, java(EMAIL, "i"), (), "contains(_t, '@')"))
+        out.append(Entry("email", -1, EMAIL, "i", (), ("@",)))
     if "entropy" in wanted:
-        out.append(("entropy", -1, java(ENTROPY_TOKEN), (), "true"))
+        out.append(Entry("entropy", -1, ENTROPY_TOKEN, worth=NO_PLAIN_WORD))
     return out
 
 
-def hits(docs: DataFrame, table: list[tuple[str, int, str, tuple[int, ...], str]], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The texts with each entry that finds something in them: _t, _chunks, _r (source, rule, rx, g) and its matches _m."""
-    rows = spread(docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).where(F.length(F.trim("_t")) > 0)).withColumns({"_low": F.lower("_t"), "_chunks": F.expr(chunks_sql("_t"))})
-    quoted = lambda rx: "r'" + rx.replace("'", r"\x27") + "'"
-    tests = [f"CASE WHEN {gate} AND regexp_like(_t, {quoted(rx)}) THEN {i} END" for i, (_, _, rx, _, gate) in enumerate(table)]
-    # a column for each few rules keeps generated code small
-    parts = {f"_h{at}": F.expr(f"array_compact(array({', '.join(tests[at : at + 12])}))") for at in range(0, len(tests), 12)}
-    empty = F.expr("cast(array() as array<int>)")
-    rows = rows.withColumns(parts).select(*keep, "_t", "_chunks", F.explode(F.concat(*parts) if parts else empty).alias("_i"))
-    row = lambda s, k, rx, g: f"named_struct('source', '{s}', 'rule', {k}, 'rx', {quoted(rx)}, 'g', cast(array({', '.join(map(str, g))}) as array<int>))"
-    values = F.expr(f"array({', '.join(row(s, k, rx, g) for s, k, rx, g, _ in table)})") if table else F.lit(None).cast("array<struct<source:string,rule:int,rx:string,g:array<int>>>")
-    rows = rows.withColumn("_r", F.element_at(values, F.col("_i") + 1))
-    return rows.withColumn("_m", F.expr(matches_of_sql("_t", "_r.rx", "_r.g", max([len(g) for _, _, _, g, _ in table], default=0))))
-
-
-def spans_of(rows: DataFrame, keep: tuple[str, ...] = ("doc_id",), key: str = "''") -> DataFrame:
-    """One row a match of ``hits``, with what stands before and after it on its line."""
-    before, after = line_before_sql("_t", "_chunks", "m.start"), line_after_sql("_t", "_chunks", "m.end")
-    made = f"transform(_m, (m, i) -> named_struct('source', _r.source, 'rule', _r.rule, 'order', i, 'start', m.start, 'end', m.end, 'raw', m.raw, 'key', {key}, 'matched', m.matched, 'before', {before}, 'after', {after}))"
-    return rows.select(*keep, F.inline(F.expr(made)))
-
-
 def candidates(docs: DataFrame, rules: Iterable[Rule] = RULES, detectors: Iterable[str] = DETECTORS, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), quick: bool = False) -> DataFrame:
-    """One row a candidate of the chosen detectors, before suppression and scores. ``rule``: its place in ``rules``. ``quick`` leaves out words of prose, which
-    the entropy detector would drop later."""
-    rows = hits(docs, entries(tuple(rules), detectors), text_col, keep)
-    if quick:
-        rows = rows.withColumn("_m", F.expr(f"CASE WHEN _r.source = 'entropy' THEN filter(_m, m -> NOT {Q.test('m.raw', PLAIN_WORDS)}) ELSE _m END"))
-    return spans_of(rows, keep, f"CASE WHEN _r.source = 'assignment' THEN {Q.extract('m.matched', ASSIGNMENT, 1, 'i')} ELSE '' END")
+    """One row a candidate of the chosen detectors, before suppression and scores. ``quick`` leaves out words of prose, which the entropy detector would drop later."""
+    return matched(docs, entries(tuple(rules), detectors), text_col, keep, quick)
 
 
 #: What a rule says, as columns of its candidates.
@@ -142,7 +110,7 @@ def score_steps(s: Sql) -> list[dict[str, str]]:
             "type": f"CASE source WHEN 'assignment' THEN {S.key_type(s, 'key')} WHEN 'email' THEN 'EMAIL' WHEN 'entropy' THEN 'SECRET' ELSE rule_type END",
             "category": "CASE WHEN source = 'email' THEN 'identity' ELSE rule_category END",
             "explicit": f"source = 'entropy' AND {S.explicit_context(s, 'before')}",
-            "near": f"source = 'entropy' AND ({s.test('raw', token, 'i')} OR {S.secret_context(s, 'before', _window(96))})",
+            "near": f"source = 'entropy' AND ({s.test('raw', token, 'i')} OR {S.secret_context(s, 'before', _window(96), '((far & 32) <> 0)')})",
         },
         {"reason": f"CASE WHEN source <> 'entropy' THEN '' WHEN {allowed} <> '' THEN {allowed} ELSE {S.entropy_reason(s, 'raw', 'explicit', 'near')} END"},
         {"entropy_redact": S.entropy_redact(s, "raw", "reason", "explicit"), "points": f"CASE source WHEN 'registry' THEN CASE WHEN rule_medium THEN least({registry}, {S.HIGH - 1}) ELSE {registry} END WHEN 'pattern' THEN rule_base + CASE WHEN entropy >= 4 THEN 6 ELSE 0 END + CASE WHEN {with_login} THEN 14 ELSE 0 END + ctx WHEN 'assignment' THEN {assign} WHEN 'email' THEN 82 + {plus} ELSE {entropy} END"},
@@ -160,26 +128,28 @@ def suppress_sql(s: Sql, allow: Iterable[str] = ()) -> str:
     closed_key = f"(source = 'assignment' AND NOT {S.template_marker(s, raw)} AND ({S.credential_key(s, key)} OR {S.credential_value(s, raw)}))"
     fail_closed = f"({closed} OR {closed_key})"
     sensitive = f"(source = 'assignment' AND {S.sensitive_key(s, key)})"
-    false_line = f"({s.test(line, S.FALSE_CONTEXT, 'i')} AND NOT {sensitive} AND NOT {s.test('name', S.VENDOR_RULES, 'i')})"
-    prose = f"source = 'pattern' AND {s.test('name', '^(?:natural_language_|labelled_|real_value_label|quoted_secret_label)')} AND {s.test('lower(before)', S.PROSE_CONTEXT, 'i')}"
-    identity_line = f"({s.test('lower(before)', r'\b(?:docs?|documentation|tutorial|example|sample|dummy|fake|template|mock|mailto)\b')} OR {s.test('lower(before)', r'\b(?:https?|wss?|ftp|sftp):\/\/|[?&][A-Za-z0-9_.-]*=$', 'i')})"
+    false_line = f"(({s.test(line, S.FALSE_CONTEXT, 'i')} OR ((far & 1) <> 0)) AND NOT {sensitive} AND NOT {s.test('name', S.VENDOR_RULES, 'i')})"
+    far = lambda bit: f"((far & {bit}) <> 0)"
+    prose = f"source = 'pattern' AND {s.test('name', '^(?:natural_language_|labelled_|real_value_label|quoted_secret_label)')} AND ({s.test('lower(before)', S.PROSE_CONTEXT, 'i')} OR {far(4)})"
+    identity_line = f"({s.test('lower(before)', r'\b(?:docs?|documentation|tutorial|example|sample|dummy|fake|template|mock|mailto)\b')} OR {s.test('lower(before)', r'\b(?:https?|wss?|ftp|sftp):\/\/|[?&][A-Za-z0-9_.-]*=$', 'i')} OR {far(8)})"
     email_bad = (
         f"source = 'email' AND ({S.has_token(s, raw)} OR {S.example_like(s, raw)} OR {S.template_marker(s, raw)} OR {s.test(raw, r'@example\.(?:com|org|net)$', 'i')}"
         f" OR {s.test('before', r'\b(?:https?|wss?|ftp|sftp|mailto):[^\s\x22\x27`<>]*$', 'i')} OR {s.test('before', r'(?:[?&][A-Za-z0-9_.-]*=)[^\s\x22\x27`<>]*$', 'i')}"
-        f" OR {s.test('concat(before, raw, after)', r'\b(?:import|from|require|include)\b')} OR ctx <= -8)"
+        f" OR {s.test('concat(before, raw, after)', r'\b(?:import|from|require|include)\b')} OR {far(16)} OR ctx <= -8)"
     )
     entropy_bad = f"source = 'entropy' AND ({s.test(raw, r'^pk_(?:live|test)_[0-9A-Za-z]{16,}$', 'i')} OR {s.test(raw, r'^[A-Z]{2,10}[a-z]+$')} OR {s.test(raw, r'^\d+$')} OR NOT entropy_redact)"
     url_rules = ("db_uri", "generic_uri_credentials")
     cases = [
         (f"{raw} = ''", "empty"),
         (f"source = 'assignment' AND (length(raw) < 8 OR {S.safe_key(s, key)})", "safe-key"),
+        (f"source = 'assignment' AND type = 'TOKEN' AND {s.test('lower(key)', 'cookie|session|auth|token')} AND length(raw) < 16 AND NOT {S.structured_secret(s, raw)}", "short-session"),
         (f"source = 'registry' AND {S.clean_token(s, raw)}", "placeholder"),
         (prose, "prose"),
         (email_bad, "identity"),
         (entropy_bad, "entropy"),
         (S.template_value(s, raw), "template"),
         (f"{S.has_token(s, raw)} AND NOT {S.clean_token(s, raw)} AND {S.benign_composite(s, raw)}", "composite"),
-        (f"source = 'assignment' AND type NOT IN ('DB_URI', 'CONNECTION_STRING') AND {s.test('before', S.FALSE_CONTEXT, 'i')}", "prose"),
+        (f"source = 'assignment' AND type NOT IN ('DB_URI', 'CONNECTION_STRING') AND ({s.test('before', S.FALSE_CONTEXT, 'i')} OR {far(2)})", "prose"),
         (f"{registry_identity} AND {identity_line}", "identity"),
         (f"source <> 'email' AND {false_line} AND NOT {fail_closed} AND NOT {registry_identity}", "false-context"),
         (f"{S.example_like(s, raw)} AND name NOT IN ('aws_access_key', 'google_api_key') AND NOT {fail_closed}", "example"),
@@ -197,20 +167,17 @@ def scored(found: DataFrame, rules: Iterable[Rule] = RULES) -> DataFrame:
     out = found.withColumn("_rule", _rule_columns(tuple(rules)))
     out = out.withColumns({k: F.col(f"_rule.{k}") for k in RULE_COLUMNS})
     for step in score_steps(Q):
-        out = out.withColumns({k: F.expr(v) for k, v in step.items()})
+        out = fenced(out.withColumns({k: F.expr(v) for k, v in step.items()}))
     return out.withColumn("seq", F.struct("detector", "rule", "order"))
 
 
-def judged(docs: DataFrame, rules: Iterable[Rule] = RULES, detectors: Iterable[str] = DETECTORS, allow: Iterable[str] = (), keep: tuple[str, ...] = ("doc_id",), quick: bool = False, **names) -> DataFrame:
-    """Every candidate with its score and, in ``why``, the reason if it is dropped."""
-    rules = tuple(rules)
-    found = scored(candidates(docs, rules, detectors, keep=keep, quick=quick, **names), rules).withColumn("why", F.expr(suppress_sql(Q, allow)))
-    columns = ("seq", "source", "name", "type", "category", "raw", "start", "end", "score", "severity", "method", "why")
-    # rows out of an array: a filter on them isn't written into every expression below it
-    return found.select(*keep, F.inline(F.array(F.struct(*columns))))
+def judge(found: DataFrame, rules: Iterable[Rule] = RULES, allow: Iterable[str] = (), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Candidates with their scores and, in ``why``, the reason if one is dropped."""
+    found = fenced(scored(found, rules).withColumn("why", F.expr(suppress_sql(Q, allow))))
+    return found.select(*keep, "seq", "source", "name", "type", "category", "raw", "start", "end", "score", "severity", "method", "why")
 
 
-def scan(docs: DataFrame, rules: Iterable[Rule] = RULES, detectors: Iterable[str] = DETECTORS, allow: Iterable[str] = (), keep: tuple[str, ...] = ("doc_id",), **names) -> DataFrame:
-    """Findings of the documents: doc_id, type, category, raw, start, end, score, severity, method."""
-    found = judged(docs, rules, detectors, allow, keep, quick=True, **names).where("why is null").drop("why")
-    return resolve_overlaps(best_per_span(found, keep), keep)
+def judged(docs: DataFrame, rules: Iterable[Rule] = RULES, detectors: Iterable[str] = DETECTORS, allow: Iterable[str] = (), keep: tuple[str, ...] = ("doc_id",), quick: bool = False, **names) -> DataFrame:
+    """Every candidate of the documents, judged."""
+    rules = tuple(rules)
+    return judge(candidates(docs, rules, detectors, keep=keep, quick=quick, **names), rules, allow, keep)

@@ -1,4 +1,4 @@
-"""Detectors of headers, URL logins, and enterprise and cloud metadata: spans with a fixed kind and score."""
+"""Detectors of enterprise and cloud metadata: spans with a fixed kind and score."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .detect import any_marker
-from .spans import matches_sql
+from .matcher import Entry, matched
 
 
 class Kind(NamedTuple):
@@ -24,10 +23,6 @@ class Kind(NamedTuple):
 
 # Expressions, types and scores.
 KINDS = (
-    Kind("C01", "TOKEN", "credential", 100, 1, "i", r"\bauthorization\s*:\s*(?:bearer|basic)\s+([A-Za-z0-9._~+\/=-]{8,})", ("authorization",)),
-    Kind("C01", "TOKEN", "credential", 100, 1, "i", r"\b(?:x-api-key|x-auth-token|api-key)\s*:\s*([^\s,;]{8,})", ("x-api-key", "x-auth-token", "api-key")),
-    Kind("C04", "PASSWORD", "credential", 99, 1, "i", r"\b(?:https?|wss?|ftps?|sftp|ssh|git):\/\/[^\/\s:@]+:([^\/\s@]+)@[^\s\/]+", ("://",)),
-    Kind("C04", "DB_URI", "credential", 99, 1, "i", r"\b(?:postgres(?:ql)?|mysql|mariadb|mongodb(?:\+srv)?|redis|amqp|mssql|sqlserver):\/\/[^\/\s:@]*:([^\/\s@]+)@[^\s\/]+", ("://",)),
     Kind("C25", "FILE_SHARE", "internal_metadata", 99, 0, "", r"\\\\[A-Za-z0-9][A-Za-z0-9.-]{0,62}\\[A-Za-z0-9$._-]+(?:\\[A-Za-z0-9$._-]+)*", ("\\\\",)),
     Kind("C26", "LDAP_DN", "internal_metadata", 100, 0, "", r"\b(?:CN|OU|DC)=[^,=\s][^,=\n]*(?:,\s*(?:CN|OU|DC)=[^,=\s][^,=\n]*)+", ("=",)),
     Kind("C26", "SPN", "internal_metadata", 100, 0, "", r"\b(?:HTTP|HOST|LDAP|CIFS|MSSQLSvc|TERMSRV|WSMAN|DNS|GC|RestrictedKrbHost)\/[A-Za-z0-9][A-Za-z0-9.-]+(?::\d{1,5})?", ("/",)),
@@ -44,11 +39,16 @@ KINDS = (
 )
 
 
+def entries(kinds: tuple[Kind, ...] = KINDS) -> list[Entry]:
+    return [Entry("metadata", k, d.regex, d.flags, (d.group,) if d.group else (), d.markers) for k, d in enumerate(kinds)]
+
+
+def judge(found: DataFrame, kinds: tuple[Kind, ...] = KINDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Candidates with what their kind says of them."""
+    pick = lambda f: F.element_at(F.array(*(F.lit(f(k)) for k in kinds)), F.col("rule") + 1)
+    return found.select(*keep, "rule", "order", pick(lambda k: k.id).alias("detector"), pick(lambda k: k.type).alias("type"), pick(lambda k: k.category).alias("category"), "raw", "start", "end", pick(lambda k: k.score).alias("score"))
+
+
 def scan(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """Spans of the kinds: detector, type, category, raw, start, end, score. One projection a text, no shuffle."""
-    rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).withColumn("_low", F.lower("_t"))
-    shape = "array<struct<k:int,start:int,end:int,raw:string>>"
-    parts = [f"CASE WHEN {any_marker('_low', k.markers)} THEN transform({matches_sql('_t', k.regex, k.flags, (k.group,) if k.group else ())}, m -> named_struct('k', {i}, 'start', m.start, 'end', m.end, 'raw', m.raw)) ELSE cast(array() as {shape}) END" for i, k in enumerate(kinds)]
-    found = rows.select(*keep, F.expr("inline(concat(" + ", ".join(parts) + "))"))
-    pick = lambda f: F.element_at(F.array(*(F.lit(f(k)) for k in kinds)), F.col("k") + 1)
-    return found.select(*keep, pick(lambda k: k.id).alias("detector"), pick(lambda k: k.type).alias("type"), pick(lambda k: k.category).alias("category"), "raw", "start", "end", pick(lambda k: k.score).alias("score"))
+    """Spans of the kinds: detector, type, category, raw, start, end, score. One pass over the texts, no shuffle."""
+    return judge(matched(docs, entries(kinds), text_col, keep), kinds, keep).drop("rule", "order")

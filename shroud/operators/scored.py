@@ -1,5 +1,5 @@
-"""Detectors whose candidates are kept by a test and a score over the value and its line: identities, passwords that stand alone, enterprise and
-cloud names. Each is a projection on the text; tests and scores are scalar SQL over raw, key, before, after.
+"""Detectors whose candidates are kept by a test and a score over the value and its line: headers and cookies, logins in URLs, disclosures in prose, keys written to be overlooked, identities,
+passwords that stand alone, enterprise and cloud names. ``matcher`` finds candidates; tests and scores are scalar SQL over raw, key, before, after.
 
 ``PROFILE`` detectors belong to the enterprise profile, which a caller may leave out.
 """
@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.dialect import SPARK as Q
-from ..functions.dialect import Sql, java
-from .detect import any_marker, hits, spans_of
+from ..functions.dialect import Sql
+from .matcher import Entry, matched
+from .spans import fenced
 
 
 class Scored(NamedTuple):
@@ -30,6 +31,12 @@ class Scored(NamedTuple):
     score: Callable[[Sql], str]
     least: int = 0
     key: int = 0
+    #: Where the detector stands in the order of all, which breaks ties.
+    place: int = 15
+    methods: tuple[str, ...] = ("heuristic",)
+    inner: tuple[str, str, tuple[int, ...], int] | None = None
+    worth: str = ""
+    decoded: bool = False
 
 
 # Token sets, context words, shapes and expressions.
@@ -180,11 +187,157 @@ def _stack_type(s: Sql) -> str:
     return f"CASE WHEN contains({k}, 'project') THEN 'OPENSTACK_PROJECT_ID' WHEN contains({k}, 'tenant') THEN 'OPENSTACK_TENANT_ID' WHEN contains({k}, 'domain') THEN 'OPENSTACK_DOMAIN_ID' WHEN contains({k}, 'user') THEN 'OPENSTACK_USER_ID' ELSE 'OPENSTACK_RESOURCE_ID' END"
 
 
+# Headers, URL schemes, labels and connectors of disclosures, keys of encoded values.
+HEADERS = ("authorization", "x-api-key", "api-key", "x-auth-token", "x-access-token", "x-session-token", "ocp-apim-subscription-key")
+COOKIES = ("cookie", "set-cookie")
+SCHEMES = ("postgres", "postgresql", "mysql", "mariadb", "mongodb", "mongodb+srv", "redis", "amqp", "mssql", "sqlserver", "https", "http", "ftp", "sftp", "smtp")
+DATABASES = SCHEMES[:10]
+_LABEL_OF_HOST = "[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
+_HOST = rf"(?:\[[0-9A-Fa-f:.]+\](?::\d{{1,5}})?|{_LABEL_OF_HOST}(?:\.{_LABEL_OF_HOST})*\.?(?::[^\/?#\s'\"`<>:@]*)?)"
+#: scheme://user (1), scheme (2), user (3), password up to the last @ of the authority (4).
+LOGIN = rf"\b(([A-Za-z][A-Za-z0-9+.-]*):\/\/([^\/?#\s'\"`<>:]*)):([^\/?#\s'\"`<>]+)@{_HOST}(?=[\/?#\s'\"`<>]|$)"
+PLAIN_PASSWORDS = r"^(?:password|secret|token|test|demo|example|sample|dummy|fake)$"
+PLAIN_USERS = r"^(?:demo|example|sample|dummy|fake|test|user|username)$"
+_KINDS_OF_SECRET = r"(?:password|passwd|pwd|passcode|passphrase|secret|api\s*key|apikey|token|access\s+token|refresh\s+token|bearer\s+token|client\s+secret|private\s+key|webhook\s+secret)"
+_INTRO = r"(?:this\s+is\s+my|here\s+is\s+my|here\s+is\s+the|here'?s\s+my|my|the|our|use\s+this)"
+LABELS = rf"(?:real|actual)\s+(?:(?:db|database)\s+)?{_KINDS_OF_SECRET}\s+value|(?:{_INTRO}\s+)?(?:(?:real|actual|prod(?:uction)?|live)\s+)?(?:(?:db|database)\s+)?{_KINDS_OF_SECRET}|(?:again\s+(?:the\s+)?)?same\s+(?:key|token|password|secret)|real\s+value|actual\s+value"
+CONNECTORS = r"\s*(?:(?:is|equals|set\s+to|should\s+be|becomes)\s*)?(?:=|:|->|→)?\s*"
+DISCLOSURE = rf"""\b((?:{LABELS}){CONNECTORS})(?:"([^"\r\n]{{6,}})"|'([^'\r\n]{{6,}})'|`([^`\r\n]{{6,}})`|([^\s,;"'`]{{6,}}))"""
+INTRODUCED = r"\b(?:this\s+is\s+my|here\s+is\s+my|here\s+is\s+the|here's\s+my|my|the|our|use\s+this|real|actual|prod(?:uction)?|live|same|again)\b|\bvalue\s*$"
+CONNECTED = r"(?:\s(?:is|equals|set\s+to|should\s+be|becomes)\s*(?:=|:|->|→)?|=|:|->|→)\s*$"
+VENDOR_TOKEN = "^(?:eyJ|gh[pousr]_|github_pat_|glpat-|xox|npm_|pypi-)"
+_APART = r"[\u200b-\u200d\ufeff\s._$@-]"
+#: A key whose letters may stand apart, where no other word runs into it.
+DISGUISED = rf"""(?:^|[^A-Za-z0-9$@\s._\u200b-\u200d\ufeff-]){_APART}*([A-Za-z](?:{_APART}*[A-Za-z0-9$@]){{1,24}})\s*[:=]\s*(?:"([^"\r\n]+)"|'([^'\r\n]+)'|`([^`\r\n]+)`|([^\s\r\n]+))"""
+ENCODED_KEY = r"(?:^|[_\-.])(?:encoded|base64|b64|secret|token|password|credential)(?:$|[_\-.])"
+SECRET_WORDS = r"(?:password|passwd|secret|token|api[_ -]?key|credential|auth)"
+
+
+def unsuppressed(s: Sql) -> str:
+    """No template, token or example, and no context that speaks against it; key or value of a credential outweigh the last two."""
+    closed = f"(NOT {S.template_marker(s, 'raw')} AND ({S.credential_key(s, 'key')} OR {S.credential_value(s, 'raw')}))"
+    soft = f"({S.example_like(s, 'raw')} OR ctx <= -14 OR {s.test('lower(concat(before, raw, after))', S.FALSE_CONTEXT, 'i')} OR ((far & 1) <> 0))"
+    return f"(NOT {S.template_value(s, 'raw')} AND NOT {S.clean_token(s, 'raw')} AND NOT ({S.has_token(s, 'raw')} AND {S.benign_composite(s, 'raw')}) AND ({closed} OR NOT {soft}))"
+
+
+def _header_keep(s: Sql) -> str:
+    scheme = f"(lower(key) = 'authorization' AND {s.test('raw', '^(?:bearer|basic)[ \t]+[^,;]', 'i')})"
+    pairs = f"({s.among('lower(key)', COOKIES)} AND {s.test('raw', r'(?:^|;\s*)[^=;\s]+=')})"
+    return f"length(raw) >= 8 AND NOT {scheme} AND NOT {pairs} AND ({S.credential_value(s, 'raw')} OR {S.structured_secret(s, 'raw')} OR ({s.test('raw', '[A-Za-z]')} AND {s.test('raw', '[0-9]')} AND {S.entropy(s, 'raw')} >= 2.6)) AND {unsuppressed(s)}"
+
+
+def _header_type(s: Sql) -> str:
+    return f"CASE WHEN {s.test('lower(key)', 'auth|cookie|-token$')} THEN 'TOKEN' ELSE 'API_KEY' END"
+
+
+def _cookie_keep(s: Sql) -> str:
+    name = s.sub("lower(key)", "[._-]+", "")
+    return f"({name} = 'sid' OR {s.test(name, 'session|auth|token|jwt')}) AND length(raw) >= 8 AND ({S.credential_value(s, 'raw')} OR {S.structured_secret(s, 'raw')} OR {s.test('raw', '^[A-Za-z0-9%._~-]{16,}$')}) AND {unsuppressed(s)}"
+
+
+def url_password(s: Sql, x: str) -> str:
+    """Made up as a password of a URL: no template, version or plain word."""
+    no = (S.has_token(s, x), S.example_like(s, x), S.template_marker(s, x), S.template_value(s, x), s.test(x, PLAIN_PASSWORDS, "i"), s.test(x, S.VERSION))
+    return f"(length({x}) BETWEEN 8 AND 128 AND NOT ({' OR '.join(no)}) AND {s.test(x, '[A-Za-z]')} AND {s.test(x, '[^A-Za-z]')})"
+
+
+def _scheme_in(s: Sql, schemes: tuple[str, ...]) -> str:
+    return s.among(s.extract("lower(key)", r"^([^:]*):", 1), schemes)
+
+
+def _url_known(s: Sql, password: str) -> str:
+    """A supported scheme, and no sample login of a sample host. ``password``: the text of the password at the span."""
+    url = f"concat(key, ':', {password}, {s.extract('after', "^[^ \t\n'`<>]*")})"
+    user = s.extract("key", r":\/\/(.*)$", 1)
+    generic = f"({S.template_marker(s, 'raw')} OR {s.test('raw', PLAIN_PASSWORDS, 'i')} OR {s.test(user, PLAIN_USERS, 'i')})"
+    return f"{_scheme_in(s, SCHEMES)} AND NOT ({S.example_host(s, url)} AND {generic} AND NOT {url_password(s, 'raw')})"
+
+
+def _login_keep(s: Sql) -> str:
+    tail = s.test("raw", rf"^(?:{S.TOKEN})[^\s,;:=\])}}]+$")
+    return f"{_url_known(s, 'raw')} AND NOT {S.clean_token(s, 'raw')} AND NOT {tail}"
+
+
+def _login_type(s: Sql) -> str:
+    return f"CASE WHEN {_scheme_in(s, DATABASES)} THEN 'DB_URI' WHEN {s.test('key', '://.*(?:token|oauth)', 'i')} THEN 'TOKEN' ELSE 'PASSWORD' END"
+
+
+def _user_keep(s: Sql) -> str:
+    host = s.extract("after", r"@([^@\/?#\s:'`<>]+)(?:[:\/?#\s'`<>]|$)", 1)
+    return f"{_scheme_in(s, SCHEMES)} AND NOT {_scheme_in(s, DATABASES)} AND NOT {S.clean_token(s, 'raw')} AND NOT ({s.among(f'lower({host})', S.EXAMPLE_HOSTS)} AND {s.test('raw', PLAIN_USERS, 'i')})"
+
+
+def suffix_secret(s: Sql, x: str) -> str:
+    """What is glued behind a token and looks like the rest of a secret."""
+    no = (s.test(x, r"\s"), s.test(x, r"^[.:\/\\]+"), S.has_token(s, x), S.example_like(s, x), S.template_marker(s, x), S.template_value(s, x), s.test(x, "^(?:https?|wss?|ftp|sftp|mailto):", "i"), s.test(x, S.VERSION), s.test(x, BUILD), s.test(x, S.REGION, "i"))
+    digits = s.test(x, r"^\d+$")
+    strong = f"(CASE WHEN {digits} THEN length({x}) >= 12 AND {S.entropy(s, x)} >= 2.0 ELSE {S.entropy(s, x)} >= 3.0 AND {S.variety(s, x)} >= 2 END)"
+    near = f"(length({x}) >= 10 AND ctx > 0 AND ({digits} OR ({s.test(x, '[A-Za-z]')} AND {s.test(x, '[0-9]')} AND {S.variety(s, x)} >= 2 AND {S.entropy(s, x)} >= 2.6)))"
+    return f"(length({x}) BETWEEN 8 AND 128 AND NOT ({' OR '.join(no)}) AND ({strong} OR {near}))"
+
+
+def _suffix_score(s: Sql) -> str:
+    some = points(("length(raw) >= 12", 6), ("length(raw) >= 20", 6), (s.test("raw", r"^\d+$"), 4), (f"{S.variety(s, 'raw')} >= 2", 5), (f"{S.variety(s, 'raw')} >= 3", 5), (f"{S.entropy(s, 'raw')} >= 3.2", 4), (f"{S.entropy(s, 'raw')} >= 3.8", 4))
+    return f"70 + {some} + greatest(0, ctx)"
+
+
+def disclosed(s: Sql, x: str, kind: str) -> str:
+    """A value that prose gives as a secret of the kind."""
+    numbers = f"CASE {kind} WHEN 'PASSWORD' THEN length({x}) >= 6 WHEN 'SECRET' THEN length({x}) >= 8 WHEN 'TOKEN' THEN length({x}) >= 10 ELSE false END"
+    no = (f"length({x}) < 8", S.clean_token(s, x), S.template_value(s, x), S.example_like(s, x), S.template_marker(s, x), s.test(x, S.LITERAL, "i"), s.test(x, S.VERSION), s.test(x, S.REGION, "i"), s.test(x, BUILD), path_like(s, x))
+    vendor = f"({kind} = 'API_KEY' AND {s.test(x, '^sk[-_]', 'i')}) OR ({kind} = 'TOKEN' AND {s.test(x, VENDOR_TOKEN, 'i')})"
+    entropy = f"({S.entropy_allowed(s, x, 'after')} = '' AND {S.entropy_redact(s, x, S.entropy_reason(s, x, 'true', 'true'), 'true')})"
+    mixed = f"{s.test(x, '[A-Za-z]')} AND {s.test(x, '[^A-Za-z]')}"
+    plain = f"CASE WHEN {kind} = 'PASSWORD' THEN {mixed} AND {S.entropy(s, x)} >= 2.6 ELSE length({x}) >= CASE WHEN {kind} = 'SECRET' THEN 8 ELSE 10 END AND {mixed} AND {S.variety(s, x)} >= 2 AND {S.entropy(s, x)} >= 2.8 END"
+    return f"(length({x}) <= 256 AND CASE WHEN {s.test(x, r'^\d+$')} THEN {numbers} ELSE NOT ({' OR '.join(no)}) AND ({vendor} OR {entropy} OR {S.structured_secret(s, x)} OR {bare_password(s, x)} OR {plain}) END)"
+
+
+def _disclosure_keep(s: Sql) -> str:
+    said = f"({s.test('key', CONNECTED, 'i')} OR {s.test('key', INTRODUCED, 'i')})"
+    apart = f"{s.test('key', r'(?:\s|=|:|>|→)$')} AND NOT {s.test('key', r'^[A-Z0-9_]+\s*[:=]\s*$')}"
+    return f"{said} AND {apart} AND NOT (ctx <= -14 AND NOT {S.credential_value(s, 'raw')}) AND {disclosed(s, 'raw', S.disclosure_type(s, 'key'))} AND NOT {s.test('lower(before)', S.PROSE_CONTEXT, 'i')} AND ((far & 4) = 0) AND {unsuppressed(s)}"
+
+
+def decoded_secret(s: Sql, x: str) -> str:
+    """Base64 of a text that names a secret or looks like a password."""
+    valid = f"({s.test(x, '^[A-Za-z0-9+/]{11,}={0,2}$')} AND length({x}) % 4 = 0 AND length({x}) <= 344)"
+    plain = f"coalesce(try_validate_utf8(cast(try_to_binary({x}, 'base64') as string)), '')" if s.spark else f"coalesce(TRY(decode(from_base64({x}))), '')"
+    text = f"CASE WHEN {valid} THEN {plain} ELSE '' END"
+    readable = s.test("d", r"^[\x20-\x7e\t\r\n]{8,256}$")
+    body = f"({readable} AND ({s.test('d', SECRET_WORDS, 'i')} OR {bare_password(s, 'd')}))"
+    return f"element_at(transform(array({text}), d -> {body}), 1)" if s.spark else f"list_transform([{text}], lambda d: {body})[1]"
+
+
+def _disguised(s: Sql) -> tuple[str, str, str]:
+    return S.obfuscated_key(s, "key"), f"({s.test('key', ENCODED_KEY, 'i')} AND {decoded_secret(s, 'raw')})", f"({s.test('key', 'ipv6', 'i')} AND {ipv6(s, 'raw')})"
+
+
+def _disguised_keep(s: Sql) -> str:
+    short = f"({s.test(S.normal_key(s, 'key'), '^(?:cookie|session)$')} AND length(raw) < 16 AND NOT {s.test('raw', '(?:secret|token|auth|session|jwt|bearer)', 'i')})"
+    return f"length(raw) >= 8 AND NOT {S.safe_key(s, 'key')} AND NOT {short} AND ({' OR '.join(_disguised(s))}) AND {unsuppressed(s)}"
+
+
+def _disguised_of(values: tuple[str, str, str]) -> Callable[[Sql], str]:
+    return lambda s: f"CASE WHEN {_disguised(s)[0]} THEN {values[0]} WHEN {_disguised(s)[1]} THEN {values[1]} ELSE {values[2]} END"
+
+
+_LINE = r"(?:^|\n)[^\S\n]*({names})[^\S\n]*:[^\S\n]*"
+_LINE_VALUE = r"(\S(?:[^\n]*\S)?)"
 DETECTORS: tuple[Scored, ...] = (
-    Scored("C09", _is("TOKEN"), "credential", r"""([A-Za-z_][A-Za-z0-9_.-]{0,80})[ \t]*[:=][ \t]*Bearer[ \t]+([^\s,;"'`}\]]+)""", "i", (2,), ("bearer",), _bearer_keep, lambda s: f"98 + CASE WHEN {S.entropy(s, 'raw')} >= 3.6 THEN 2 ELSE 0 END", key=1),
-    Scored("C17", _email_or_user, "identity", r"""([A-Za-z_][A-Za-z0-9_.-]{0,80})\s*[:=]\s*(?:"([^"\r\n]+)"|'([^'\r\n]+)'|`([^`\r\n]+)`|([^\s]+))""", "i", (2, 3, 4, 5), ("user", "login", "mail"), lambda s: f"NOT {S.safe_key(s, 'key')} AND {s.test(S.normal_key(s, 'key'), '(?:^|_)(?:username|user(?:_?name)?|login|email|e_mail|mail)(?:$|_)')} AND length(raw) BETWEEN 3 AND 256 AND {_identity_ok(s)}", _identity_score, 55, 1),
-    Scored("C18", _email_or_user, "identity", r'"((?:user|username|user_name))"\s*:\s*"([^"\r\n]{3,256})"', "i", (2,), ('"user',), _identity_ok, lambda s: f"CASE WHEN {s.test('raw', ADDRESS, 'i')} THEN 70 ELSE 64 END", key=1),
-    Scored("C23", _is("PASSWORD"), "credential", r"(?:^|\n)([^\n]+)", "", (1,), (), lambda s: f"NOT {s.test('trim(found)', '[=:,' + chr(92) + 't]|' + chr(92) + 's{2,}')} AND NOT {s.test('trim(found)', '^<' + chr(92) + '/?[a-z][^>]*>|<' + chr(92) + '/[a-z][^>]*>' + chr(92) + 's*$', 'i')} AND {bare_password(s, 'raw')} AND ctx > -14", _bare_score),
+    Scored("C01", _header_type, "credential", _LINE.format(names="authorization") + r"(?:bearer|basic)[^\S\n]+([^\s,;]+)", "i", (2,), ("authorization",), _header_keep, lambda s: "100", key=1, place=1, methods=("http-header", "full-value")),
+    Scored("C01", _header_type, "credential", _LINE.format(names="|".join((*HEADERS, *COOKIES))) + _LINE_VALUE, "i", (2,), (*HEADERS, "cookie"), _header_keep, lambda s: "100", key=1, place=1, methods=("http-header", "full-value")),
+    Scored("C01", _is("TOKEN"), "credential", _LINE.format(names="|".join(COOKIES)) + _LINE_VALUE, "i", (2,), ("cookie",), _cookie_keep, lambda s: "100", place=1, methods=("http-header", "cookie-value", "full-value"), inner=(r"(?:^|;\s*)([^=;\s]+)=([^;\r\n]*)", "", (2,), 1)),
+    Scored("C04", _is("USERNAME"), "identity", LOGIN, "", (3,), ("://",), lambda s: f"raw <> '' AND {_user_keep(s)}", lambda s: "96", key=1, place=4, methods=("url-credentials", "username"), decoded=True),
+    # one more than its like elsewhere: a rule that ends a password at the first @ must not win
+    Scored("C04", _login_type, "credential", LOGIN, "", (4,), ("://",), _login_keep, lambda s: "100", key=1, place=4, methods=("url-credentials", "full-value"), decoded=True),
+    Scored("C04", _is("PASSWORD"), "credential", LOGIN, "", (4,), ("://",), lambda s: f"{_scheme_in(s, SCHEMES)} AND NOT {s.test('raw', '^@')} AND {suffix_secret(s, 'raw')}", lambda s: "99", key=1, place=4, methods=("url-credentials", "placeholder-tail"), inner=(rf"^(?:{S.TOKEN})([^\s,;:=\])}}]+)$", "", (1,), 0), decoded=True),
+    Scored("C21", _is("PASSWORD"), "credential", rf"\b[a-z][a-z0-9+.-]*:\/\/(?:{S.TOKEN}):(?:{S.TOKEN})(@[^@\s\/]+)@[^\s]+", "i", (1,), ("://",), lambda s: url_password(s, "raw"), lambda s: "99", place=21, methods=("url-credentials", "extra-at", "trusted-placeholder-uri")),
+    Scored("C15", lambda s: f"CASE WHEN {_disguised(s)[0]} THEN {S.key_type(s, 'key')} WHEN {_disguised(s)[1]} THEN 'SECRET' ELSE 'IP_ADDRESS' END", "credential", DISGUISED, "i", (2, 3, 4, 5), (":", "="), _disguised_keep, _disguised_of(("94", "88", "86")), key=1, place=15, methods=("assignment", "adversarial")),
+    Scored("C20", lambda s: S.disclosure_type(s, "key"), "credential", DISCLOSURE, "i", (2, 3, 4, 5), ("pass", "pwd", "secret", "key", "token", "value"), _disclosure_keep, lambda s: f"84 + CASE WHEN {S.entropy(s, 'raw')} >= 3.4 THEN 4 ELSE 0 END + greatest(0, ctx)", key=1, place=20, methods=("natural-language",)),
+    Scored("C09", _is("TOKEN"), "credential", r"""([A-Za-z_][A-Za-z0-9_.-]{0,80})[ \t]*[:=][ \t]*Bearer[ \t]+([^\s,;"'`}\]]+)""", "i", (2,), ("bearer",), _bearer_keep, lambda s: f"98 + CASE WHEN {S.entropy(s, 'raw')} >= 3.6 THEN 2 ELSE 0 END", key=1, place=9),
+    Scored("C17", _email_or_user, "identity", r"""([A-Za-z_][A-Za-z0-9_.-]{0,80})\s*[:=]\s*(?:"([^"\r\n]+)"|'([^'\r\n]+)'|`([^`\r\n]+)`|([^\s]+))""", "i", (2, 3, 4, 5), ("user", "login", "mail"), lambda s: f"NOT {S.safe_key(s, 'key')} AND {s.test(S.normal_key(s, 'key'), '(?:^|_)(?:username|user(?:_?name)?|login|email|e_mail|mail)(?:$|_)')} AND length(raw) BETWEEN 3 AND 256 AND {_identity_ok(s)}", _identity_score, 55, 1, place=17),
+    Scored("C18", _email_or_user, "identity", r'"((?:user|username|user_name))"\s*:\s*"([^"\r\n]{3,256})"', "i", (2,), ('"user',), _identity_ok, lambda s: f"CASE WHEN {s.test('raw', ADDRESS, 'i')} THEN 70 ELSE 64 END", key=1, place=18),
+    Scored("C23", _is("PASSWORD"), "credential", r"(?:^|\n)([^\n]+)", "", (1,), (), lambda s: f"NOT {s.test('trim(found)', '[=:,' + chr(92) + 't]|' + chr(92) + 's{2,}')} AND NOT {s.test('trim(found)', '^<' + chr(92) + '/?[a-z][^>]*>|<' + chr(92) + '/[a-z][^>]*>' + chr(92) + 's*$', 'i')} AND {bare_password(s, 'raw')} AND ctx > -14", _bare_score, place=23, worth=r"""^\s*["'`]?\s*\S{10,130}\s*["'`]?\s*$"""),
     Scored("C27", _is("PRIVATE_CIDR"), "internal_metadata", r"\b(?:\d{1,3}\.){3}\d{1,3}\/\d{1,2}\b", "", (), ("/",), lambda s: f"{s.test('raw', OCTETS)} AND {s.test('raw', PRIVATE)}", lambda s: "99"),
     Scored("C27", _is("PRIVATE_IP"), "internal_metadata", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "", (), (".",), lambda s: f"{s.test('raw', OCTETS)} AND {s.test('raw', PRIVATE)} AND left(after, 1) <> '/'", lambda s: "82"),
     Scored("C28", _is("FILE_SHARE"), "internal_metadata", r"\b(?:FSA\d{7}|FSB\d{7}|FS\d{7})\b", "", (), ("fs",), lambda s: s.test(window(80), SHARES, "i"), lambda s: "78"),
@@ -198,30 +351,61 @@ DETECTORS: tuple[Scored, ...] = (
     Scored("C38", _stack_type, "internal_metadata", r"""\b(project_id|projectId|tenant_id|tenantId|domain_id|domainId|user_id|userId|server_id|serverId|instance_id|instanceId|volume_id|volumeId|image_id|imageId|flavor_id|flavorId|vpc_id|vpcId|subnet_id|subnetId|security_group_id|securityGroupId|router_id|routerId|network_id|networkId|port_id|portId)\b\s*[:=]\s*["']?([0-9a-f]{32}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})["']?""", "i", (2,), ("id",), lambda s: "true", lambda s: "88", key=1),
     Scored("C38", lambda s: "CASE WHEN contains(raw, '.obs.') THEN 'OTC_ENDPOINT' ELSE 'CLOUD_ENDPOINT' END", "internal_metadata", r"\b[a-z0-9][a-z0-9.-]{1,100}\.(?:obs\.(?:eu-de|eu-nl)\.otc\.t-systems\.com|otc\.t-systems\.com)\b", "i", (), ("t-systems.com",), lambda s: "true", lambda s: "88"),
 )
+SENSITIVE_LABEL = r"(?:password|passwd|passcode|passphrase|pwd|secret|api\s*key|apikey|token|access\s+token|refresh\s+token|bearer|authorization|client\s+secret|private\s+key|webhook\s+secret|db\s+password|database\s+password|real\s+value)\s*(?:is|=|:|->|→|equals|set\s+to|should\s+be|becomes)?\s*$"
+_GLUED = "[A-Za-z0-9._-]"
+
+
+def _unknown_keep(s: Sql) -> str:
+    apart = f"NOT {s.test('before', _GLUED + '$')} AND NOT {s.test('after', '^' + _GLUED)}"
+    return f"{apart} AND {s.test('lower(before)', SENSITIVE_LABEL)} AND NOT {s.test('lower(concat(before, raw, after))', S.FALSE_CONTEXT, 'i')} AND ((far & 1) = 0)"
+
+
+def _tail_keep(s: Sql) -> str:
+    return f"NOT ({s.test('raw', '^[A-Za-z_][A-Za-z0-9_.-]{0,80}$')} AND {s.test('after', '^[:=]')}) AND {suffix_secret(s, 'raw')} AND NOT {S.template_value(s, 'raw')} AND ctx > -14"
+
+
+#: Detectors that need to know what a session gave out: tokens that nobody knows where a secret is expected, and what is glued to known ones. ``key`` is the token.
+VAULT_DETECTORS = (
+    Scored("C19", lambda s: S.disclosure_type(s, window(96)), "credential", f"({S.TOKEN})", "", (), ("[",), _unknown_keep, lambda s: "92 + greatest(0, ctx)", key=1, place=19, methods=("placeholder-trust", "context")),
+    Scored("C22", _is("SECRET"), "credential", rf"({S.TOKEN})([^\s,;:=@\])}}]+)", "", (2,), ("[",), _tail_keep, _suffix_score, key=1, place=22, methods=("placeholder-suffix", "heuristic")),
+)
 #: Detectors of the enterprise profile.
 PROFILE = ("C27", "C28", "C29", "C30", "C31", "C32", "C33", "C34", "C38")
 
 
 def steps(s: Sql, detectors: tuple[Scored, ...]) -> list[dict[str, str]]:
-    """Columns to add, step by step, to candidates (rule, found, start, matched, before, after), before ``kept`` is tested."""
+    """Columns to add, step by step, to candidates (rule, found, key, start, end, before, after, far), before ``kept`` is tested."""
     each = lambda f, other: "CASE rule " + " ".join(f"WHEN {k} THEN {f(d)}" for k, d in enumerate(detectors)) + f" ELSE {other} END"
+    as_is = " OR ".join(["false", *(f"rule = {k}" for k, d in enumerate(detectors) if d.decoded)])
+    listed = lambda d: ("array" if s.spark else "") + ("(" if s.spark else "[") + ", ".join(f"'{m}'" for m in d.methods) + (")" if s.spark else "]")
     return [
-        {"raw": S.unquoted(s, "found"), "key": each(lambda d: s.extract("matched", d.regex, d.key, d.flags) if d.key else "''", "''")},
+        {"raw": f"CASE WHEN {as_is} THEN found ELSE {S.unquoted(s, 'found')} END"},
         {"ctx": S.context_score(s, window(64))},
         {"kept": f"raw <> '' AND {each(lambda d: f'({d.keep(s)})', 'false')}"},
         {"points": f"CASE WHEN kept THEN {each(lambda d: f'({d.score(s)})', '0')} ELSE 0 END"},
-        {"type": each(lambda d: d.type(s), "''"), "detector": each(lambda d: f"'{d.id}'", "''"), "category": each(lambda d: f"'{d.category}'", "''"), "least": each(lambda d: str(d.least), "0"), "score": S.bounded("points"), "from_": "start + instr(found, raw) - 1"},
-        {"severity": S.severity("score"), "to_": "from_ + length(raw)"},
-    ]
+        {
+            "type": each(lambda d: d.type(s), "''"), "id": each(lambda d: f"'{d.id}'", "''"), "category": each(lambda d: f"'{d.category}'", "''"), "least": each(lambda d: str(d.least), "0"), "place": each(lambda d: str(d.place), "0"),
+            "method": each(listed, "null"), "score": S.bounded("points"), "from_": f"CASE WHEN {as_is} THEN start ELSE start + instr(found, raw) - 1 END",
+        },
+        {"severity": S.severity("score"), "to_": f'CASE WHEN {as_is} THEN {"end" if s.spark else chr(34) + "end" + chr(34)} ELSE from_ + length(raw) END'},
+    ]
+
+
+def entries(detectors: tuple[Scored, ...]) -> list[Entry]:
+    return [Entry("scored", k, d.regex, d.flags, d.groups, d.markers, d.key, d.inner, d.worth, d.decoded) for k, d in enumerate(detectors)]
+
+
+def judge(found: DataFrame, detectors: tuple[Scored, ...], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Kept candidates: id (of the detector), rule, key, place, order, type, category, raw, start, end, score, severity, method."""
+    out = found.withColumnRenamed("raw", "found")
+    for step in steps(Q, detectors):
+        out = fenced(out.withColumns({k: F.expr(v) for k, v in step.items()}))
+    columns = ("id", "rule", "key", "place", "order", "type", "category", "raw", F.col("from_").cast("int").alias("start"), F.col("to_").cast("int").alias("end"), "score", "severity", "method", "kept", "points", "least")
+    return out.where("kept AND points >= least").select(*keep, *columns).drop("kept", "points", "least")
 
 
 def scan(docs: DataFrame, ids: Iterable[str] | None = None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Findings: detector, type, category, raw, start, end, score, severity. ``ids``: of the detectors; all if none are named. One pass over the texts."""
     wanted = DETECTORS if ids is None else tuple(d for d in DETECTORS if d.id in set(ids))
-    table = [("scored", k, java(d.regex, d.flags), d.groups, any_marker("_low", d.markers) if d.markers else "true") for k, d in enumerate(wanted)]
-    out = spans_of(hits(docs, table, text_col, keep), keep).withColumnRenamed("raw", "found").drop("key", "source")
-    for step in steps(Q, wanted):
-        out = out.withColumns({k: F.expr(v) for k, v in step.items()})
-    columns = ("detector", "type", "category", "raw", F.col("from_").cast("int").alias("start"), F.col("to_").cast("int").alias("end"), "score", "severity", "kept", "points", "least")
-    # rows out of an array: a filter on them isn't written into every expression below it
-    return out.select(*keep, F.inline(F.array(F.struct(*columns)))).where("kept AND points >= least").drop("kept", "points", "least")
+    out = judge(matched(docs, entries(wanted), text_col, keep, quick=True), wanted, keep)
+    return out.select(*keep, F.col("id").alias("detector"), "type", "category", "raw", "start", "end", "score", "severity")

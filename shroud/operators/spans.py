@@ -19,6 +19,11 @@ def let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def fenced(df: DataFrame) -> DataFrame:
+    """The same rows, computed here: what is built on them doesn't repeat their expressions."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def matches_sql(text: str, pattern: str, flags: str = "", groups: tuple[int, ...] = ()) -> str:
     """Leftmost non-overlapping matches of a column, as SQL text. ``raw`` is the first non-empty group, ``start`` its first
     place inside the match; ``first`` and ``last`` bound the whole match. Texts without a match cost one search."""

@@ -92,13 +92,13 @@ def untrusted(tokens: DataFrame, vault: DataFrame, session: str = "session_id")
 
 
 def occurrences(docs: DataFrame, vault: DataFrame, session: str = "session_id", least: int = 8, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Literal occurrences of known values in the texts of the session, outside tokens. Only values of at least ``least`` characters; shorter ones are left to
+    """Literal occurrences of known values in the texts of the session, outside tokens and where they aren't a URL's scheme. Only values of at least ``least`` characters; shorter ones are left to
     detectors. A session's values come in blocks of ``BLOCK``, and a text is tested against a whole block as one row: only what it holds becomes rows."""
     values = vault.where(F.length("raw") >= least).groupBy(F.col(session).alias("_s"), F.floor(F.col("index") / BLOCK).alias("_b")).agg(F.collect_list(F.struct("raw", "placeholder")).alias("_known"))
     met = docs.select(*keep, session, "text").join(values, F.col(session).eqNullSafe(F.col("_s")))
     met = met.select(*keep, session, "text", F.explode(F.filter("_known", lambda v: F.contains(F.col("text"), v["raw"]))).alias("v")).select(*keep, session, "text", "v.*")
     parts = let(r"split(text, concat(r'\Q', raw, r'\E'), -1)", "xs", let("transform(xs, x -> cast(length(x) + length(raw) as bigint))", "n", let(running("n"), "at", "transform(slice(xs, 1, size(xs) - 1), (x, i) -> cast(at[i] + length(x) as int))")))
-    inside = "exists(_tokens, t -> t.start < p + length(raw) AND t.end > p)"
+    inside = "(exists(_tokens, t -> t.start < p + length(raw) AND t.end > p) OR substr(text, p + length(raw) + 1, 3) = '://')"
     met = met.withColumn("_tokens", F.expr(matches_sql("text", TOKEN))).withColumn("_places", F.expr(parts))
     each = met.select(*keep, session, "raw", "placeholder", F.explode(F.expr(f"filter(_places, p -> NOT {inside})")).alias("start"))
     return each.withColumn("end", F.col("start") + F.length("raw"))

@@ -6,10 +6,12 @@ in this engine's dialect.
 
 from __future__ import annotations
 
+import re
+
 from ..functions import scalars as S
 from ..functions.dialect import DUCKDB as Q
 from ..functions.dialect import re2
-from ..operators import detect, learn, metadata, scored
+from ..operators import detect, findings, gate, learn, metadata, scored, structured
 from ..operators.network import RANGES
 from ..operators.structured import KINDS
 from ..sources import files
@@ -33,23 +35,93 @@ def _rx(pattern: str, flags: str = "") -> str:
     return "'" + re2(pattern, flags).replace("'", r"\x27") + "'"
 
 
+def _parsed(pattern: str, at: int = 0, found: list[int] | None = None) -> tuple[list, int]:
+    """Alternatives of an expression as lists of items (text or group, quantifier); a group is (opening, alternatives, its number or 0)."""
+    found = [0] if found is None else found
+    out, items = [], []
+    while at < len(pattern) and pattern[at] != ")":
+        c = pattern[at]
+        if c == "|":
+            out.append(items)
+            items, at = [], at + 1
+            continue
+        if c == "(":
+            opening = re.match(r"\((?:\?(?:[:=!]|<[=!]|[a-z]+:))?", pattern[at:]).group()
+            number = 0
+            if opening == "(":
+                found[0] += 1
+                number = found[0]
+            inner, at = _parsed(pattern, at + len(opening), found)
+            atom, at = (opening, inner, number), at + 1
+        elif c == "[":
+            atom = re.match(r"\[\^?\]?(?:\\.|[^\]\\])*\]", pattern[at:], re.S).group()
+            at += len(atom)
+        else:
+            atom = pattern[at : at + 2] if c == "\\" else c
+            if atom in (r"\x", r"\u"):
+                atom = pattern[at : at + (4 if atom == r"\x" else 6)]
+            at += len(atom)
+        more = re.match(r"(?:[*+?]|\{\d+(?:,\d*)?\})[?+]?", pattern[at:])
+        items.append((atom, more.group() if more else ""))
+        at += len(items[-1][1])
+    return [*out, items], at
+
+
+def placed(pattern: str, group: int) -> tuple[str, int, list[int]]:
+    """The expression with what comes before a group in groups of its own: their lengths add up to the group's place in a match. Also its number there, and theirs."""
+    count, ahead, number = 0, [], 0
+
+    def holds(atom) -> bool:
+        return isinstance(atom, tuple) and (atom[2] == group or any(holds(a) for items in atom[1] for a, _ in items))
+
+    def text(atom) -> str:
+        nonlocal count, number
+        if isinstance(atom, str):
+            return atom
+        if atom[0] == "(":
+            count += 1
+            if atom[2] == group:
+                number = count
+        return atom[0] + "|".join(map(written, atom[1])) + ")"
+
+    def written(items: list) -> str:
+        nonlocal count
+        at = next((k for k, (a, _) in enumerate(items) if holds(a)), 0)
+        if not at:
+            return "".join(text(a) + q for a, q in items)
+        count += 1
+        ahead.append(count)
+        return "(" + "".join(text(a) + q for a, q in items[:at]) + ")" + "".join(text(a) + q for a, q in items[at:])
+
+    out = "|".join(map(written, _parsed(pattern)[0]))
+    return out, number, ahead
+
+
 def _spans(text: str, pattern: str, flags: str = "", groups: tuple[int, ...] = (), keys: str = "doc_id", where: str = "true", source: str = "d") -> str:
-    """keys, j, m (match), raw, start, end of all matches."""
+    """keys, j, m (match), raw, start, end of all matches. A group's place is told by the lengths of what comes before it in the match."""
     rx = _rx(pattern, flags)
-    picked = "".join(f", regexp_extract_all({text}, {rx}, {g}) AS g{k}" for k, g in enumerate(groups))
-    raw = "coalesce(" + "".join(f"nullif(g{k}[j], ''), " for k in range(len(groups))) + "m[j])" if groups else "m[j]"
+    picked, raw, within = "", "m[j]", "0"
+    for k, g in reversed(list(enumerate(groups))):
+        with_places, number, ahead = placed(pattern, g)
+        own = _rx(with_places, flags)
+        picked += f", regexp_extract_all({text}, {own}, {number}) AS g{k}" + "".join(f", regexp_extract_all({text}, {own}, {a}) AS g{k}_{i}" for i, a in enumerate(ahead))
+        raw = f"coalesce(nullif(g{k}[j], ''), {raw})"
+        within = f"CASE WHEN g{k}[j] <> '' THEN {' + '.join(['0', *(f'len(g{k}_{i}[j])' for i in range(len(ahead)))])} ELSE {within} END"
     first = "coalesce(list_sum(list_transform(gap[1:j], lambda z: len(z))), 0) + coalesce(list_sum(list_transform(m[1:j - 1], lambda z: len(z))), 0)"
     inner = f"SELECT {keys}, {text} AS t, regexp_extract_all({text}, {rx}) AS m, string_split_regex({text}, {rx}) AS gap{picked} FROM {source} WHERE {where} AND regexp_matches({text}, {rx})"
     each = f"SELECT *, unnest(range(1, len(m) + 1)) AS j FROM ({inner})"
-    one = f"SELECT {keys}, t, j, m[j] AS matched, {raw} AS raw, CAST({first} AS INTEGER) AS first FROM ({each})"
-    return f"SELECT {keys}, t, j, matched, raw, first + instr(matched, raw) - 1 AS start, first + instr(matched, raw) - 1 + len(raw) AS \"end\" FROM ({one})"
+    one = f"SELECT {keys}, t, j, m[j] AS matched, {raw} AS raw, CAST({first} + {within} AS INTEGER) AS start FROM ({each})"
+    return f"SELECT {keys}, t, j, matched, raw, start, start + len(raw) AS \"end\" FROM ({one})"
+
+
+_CONTEXT = "string_split(left(t, start), chr(10))[-1] AS before, regexp_replace(string_split(substr(t, \"end\" + 1), chr(10))[1], '\\r\\z', '') AS after, 0 AS far"
 
 
 def _candidates(detectors: tuple[str, ...], docs: str, rules: tuple = RULES) -> str:
     parts = []
     field = _rx(_FIELD, "i")
     add = lambda source, rule, key, body: parts.append(
-        f"SELECT doc_id, '{source}' AS source, {rule} AS rule, CAST(j - 1 AS INTEGER) AS ord, start, \"end\", raw, {key} AS key, string_split(left(t, start), chr(10))[-1] AS before, regexp_replace(string_split(substr(t, \"end\" + 1), chr(10))[1], '\\r\\z', '') AS after FROM ({body})"
+        f"SELECT doc_id, '{source}' AS source, {rule} AS rule, CAST(j - 1 AS INTEGER) AS ord, start, \"end\", raw, {key} AS key, {_CONTEXT} FROM ({body})"
     )
     for k, r in enumerate(RULES):
         source = "registry" if r in detect.REGISTRY else "pattern"
@@ -79,15 +151,70 @@ def judged(detectors: tuple[str, ...] = detect.DETECTORS, docs: str = VIEWS["v_s
     return _candidates(detectors, docs).replace("{why}", detect.suppress_sql(Q, allow))
 
 
-_BEST = """best AS (SELECT * FROM (SELECT *, min([detector, rule, ord]) OVER s AS seq, row_number() OVER (s ORDER BY score DESC, len(method) DESC, detector, rule, ord) AS r FROM judged WHERE why IS NULL WINDOW s AS (PARTITION BY doc_id, start, "end", raw)) WHERE r = 1),
+_BEST = """best AS (SELECT * FROM (SELECT *, min([detector, rule, ord]) OVER s AS seq, row_number() OVER (s ORDER BY score DESC, len(method) DESC, detector, rule, ord) AS r FROM found WINDOW s AS (PARTITION BY doc_id, start, "end", raw)) WHERE r = 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, list_contains(method, 'full-value') DESC, list_contains(method, 'exact-key') DESC, "end" - start DESC, start, seq) AS rk FROM best),
 chosen(doc_id, rk, kept) AS (SELECT doc_id, 1::BIGINT, [{'s': start, 'e': "end", 'k': rk}] FROM ranked WHERE rk = 1
   UNION ALL SELECT r.doc_id, r.rk, CASE WHEN len(list_filter(c.kept, lambda x: r.start < x.e AND r."end" > x.s)) > 0 THEN c.kept ELSE list_append(c.kept, {'s': r.start, 'e': r."end", 'k': r.rk}) END FROM chosen c JOIN ranked r ON r.doc_id = c.doc_id AND r.rk = c.rk + 1),
 final AS (SELECT r.* FROM ranked r JOIN (SELECT doc_id, unnest(arg_max(kept, rk)) AS k FROM chosen GROUP BY 1) c ON c.doc_id = r.doc_id AND c.k.k = r.rk)"""
 
 
-def resolved(select: str, detectors: tuple[str, ...] = detect.DETECTORS, docs: str = VIEWS["v_secret_lines"], more: str = "") -> str:
-    return judged(detectors, docs).replace("WITH docs", "WITH RECURSIVE docs", 1) + ", " + _BEST + more + " " + select
+def _decoded(x: str) -> str:
+    broken = f"regexp_matches({x}, '%(?:$|[^0-9A-Fa-f]|[0-9A-Fa-f](?:$|[^0-9A-Fa-f]))')"
+    return f"CASE WHEN contains({x}, '%') AND NOT {broken} THEN coalesce(TRY(url_decode(replace({x}, '+', '%2B'))), {x}) ELSE {x} END"
+
+
+def _scored_rows(source: str, detectors: tuple = scored.DETECTORS) -> str:
+    """Kept candidates of the scored detectors over the texts ``t`` of ``source``."""
+    parts = []
+    for k, d in enumerate(detectors):
+        marks = " OR ".join(f"contains(lower(t), {Q.text(m)})" for m in d.markers) or "true"
+        plain = d.regex.replace("(?=", "(?:")  # what ends a URL may be read: no two logins share it
+        found = _spans("t", plain, d.flags, d.groups, where=f"({marks})", source=source).replace("t AS t, ", "t, ")
+        key = Q.extract("matched", plain, d.key, d.flags) if d.key else "''"
+        if d.inner:
+            outer = f"SELECT doc_id, t AS whole, j AS outer_j, raw, start AS first, {key} AS outer_key FROM ({found})"
+            inside = _spans("raw", d.inner[0], d.inner[1], d.inner[2], "doc_id, whole, outer_j, first, outer_key", source=f"({outer})").replace("raw AS t, ", "raw AS t, ")
+            own = Q.extract("matched", d.inner[0], d.inner[3], d.inner[1]) if d.inner[3] else "outer_key"
+            found = f'SELECT doc_id, whole AS t, outer_j * 1000 + j AS j, raw, CAST(first + start AS INTEGER) AS start, CAST(first + "end" AS INTEGER) AS "end", {own} AS key FROM ({inside})'
+            key = "key"
+        parts.append(f'SELECT doc_id, {k} AS rule, CAST(j - 1 AS INTEGER) AS ord, {_decoded("raw") if d.decoded else "raw"} AS found, {key} AS key, start, "end", {_CONTEXT} FROM ({found})')
+    sql = " UNION ALL ".join(parts)
+    for step in scored.steps(Q, detectors):
+        sql = f"SELECT *, {', '.join(f'{v} AS {k}' for k, v in step.items())} FROM ({sql})"
+    return f"SELECT * FROM ({sql}) WHERE kept AND points >= least"
+
+
+def _metadata_rows(k: int) -> str:
+    d = metadata.KINDS[k]
+    return f"SELECT doc_id, {k} AS k, CAST(j - 1 AS INTEGER) AS ord, '{d.id}' AS detector, '{d.type}' AS type, '{d.category}' AS category, raw, CAST(start AS INTEGER) AS start, CAST(\"end\" AS INTEGER) AS \"end\", {d.score} AS score FROM ({_spans('t', d.regex, d.flags, (d.group,) if d.group else ())})"
+
+
+def _adjacent_rows(source: str) -> str:
+    """Credentials whose label, or other half, stands on the line before."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    like = lambda c, x: f"regexp_matches({c}, {q(x)})"
+    secret = f"({like('b', structured.AWS_LABEL)} AND {like('b', '(?i)' + chr(92) + 'bsecret' + chr(92) + 'b')})"
+    cases = (
+        ("C12", "API_KEY", 90, f"{like('b', structured.PROVIDER_LABEL)} AND NOT {like('b', structured.EXAMPLES)}", structured.PROVIDER_VALUE), ("C13", "AWS_SECRET_KEY", 98, secret, structured.AWS_SECRET),
+        ("C13", "AWS_KEY", 94, f"{like('b', structured.AWS_LABEL)} AND NOT {secret}", structured.AWS_KEY), ("C14", "AWS_SECRET_KEY", 97, like("b", structured.AWS_KEY), structured.AWS_SECRET),
+    )
+    rows = f"""SELECT doc_id, k, regexp_replace(l[k], '\\r\\z', '') AS x, regexp_replace(l[k - 1], '\\r\\z', '') AS b, coalesce(list_sum(list_transform(l[1:k - 1], lambda z: len(z) + 1)), 0) AS first FROM (SELECT doc_id, l, unnest(range(2, len(l) + 1)) AS k FROM (SELECT doc_id, string_split(t, chr(10)) AS l FROM {source}))"""
+    each = " UNION ALL ".join(f"SELECT doc_id, '{d}' AS detector, '{t}' AS type, 'credential' AS category, regexp_extract(x, {q(rx)}, 1) AS raw, {n} AS score, x, first FROM lines_ WHERE {ok} AND {like('x', rx)}" for d, t, n, ok, rx in cases)
+    return f"WITH lines_ AS ({rows}) SELECT doc_id, detector, type, category, raw, score, CAST(first + instr(x, raw) - 1 AS INTEGER) AS start, CAST(first + instr(x, raw) - 1 + len(raw) AS INTEGER) AS \"end\" FROM ({each})"
+
+
+def resolved(select: str, detectors: tuple[str, ...] = findings.ALL, docs: str = VIEWS["v_secret_lines"], more: str = "") -> str:
+    general = tuple(d for d in detectors if d not in findings.MORE)
+    own = 'doc_id, source, detector, rule, ord, type, category, raw, start, "end", score, severity, method'
+    parts = [f"SELECT {own} FROM judged WHERE why IS NULL"]
+    if "scored" in detectors:
+        parts.append(f"SELECT doc_id, 'scored', place, rule, ord, type, category, raw, CAST(from_ AS INTEGER), CAST(to_ AS INTEGER), score, severity, method FROM ({_scored_rows('d')})")
+    fixed = lambda source, place, rule, ord, body: f"SELECT doc_id, '{source}', {place}, {rule}, {ord}, type, category, raw, start, \"end\", score, {S.severity('score')}, ['{source}'] FROM ({body})"
+    if "metadata" in detectors:
+        parts.append(fixed("metadata", findings.METADATA_PLACE, f"k + {findings.METADATA_RULE}", "ord", " UNION ALL ".join(map(_metadata_rows, range(len(metadata.KINDS))))))
+    if "adjacent" in detectors:
+        parts.append(fixed("adjacent", "CAST(substr(detector, 2, 2) AS INTEGER)", "0", "start", _adjacent_rows("d")))
+    return judged(general, docs).replace("WITH docs", "WITH RECURSIVE docs", 1) + f", found({own}) AS ({' UNION ALL '.join(parts)}), " + _BEST + more + " " + select
 
 
 _TOKENS = f"(SELECT doc_id, regexp_split_to_array(text, '[ =]')[-1] AS v, regexp_extract(text, '^([A-Za-z_]+)[=:]', 1) AS k FROM ({VIEWS['v_secret_lines']}))"
@@ -159,7 +286,7 @@ vault AS (SELECT f.session_id, raw, concat('[PWM_', coalesce(last, 0) + row_numb
 held AS (SELECT d.doc_id, v.raw, v.placeholder, string_split(d.text, v.raw) AS g FROM docs d JOIN vault v ON v.session_id = d.session_id WHERE len(v.raw) >= 8 AND contains(d.text, v.raw)),
 places AS (SELECT *, unnest(range(1, len(g))) AS j FROM held),
 cand AS (SELECT s.doc_id, s.start, s."end", v.placeholder, 0 AS again FROM s JOIN vault v ON v.session_id = s.session_id AND v.raw = s.raw UNION ALL
-  SELECT doc_id, list_sum(list_transform(g[1:j], lambda z: len(z))) + (j - 1) * len(raw), list_sum(list_transform(g[1:j], lambda z: len(z))) + j * len(raw), placeholder, 1 FROM places),
+  SELECT doc_id, list_sum(list_transform(g[1:j], lambda z: len(z))) + (j - 1) * len(raw), list_sum(list_transform(g[1:j], lambda z: len(z))) + j * len(raw), placeholder, 1 FROM places WHERE NOT starts_with(g[j + 1], '://')),
 crank AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "end" - start DESC, again, start) AS rk FROM cand),
 csteps(doc_id, rk, kept) AS (SELECT doc_id, 1::BIGINT, [{{'s': start, 'e': "end", 'k': rk}}] FROM crank WHERE rk = 1
   UNION ALL SELECT r.doc_id, r.rk, CASE WHEN len(list_filter(c.kept, lambda x: r.start < x.e AND r."end" > x.s)) > 0 THEN c.kept ELSE list_append(c.kept, {{'s': r.start, 'e': r."end", 'k': r.rk}}) END FROM csteps c JOIN crank r ON r.doc_id = c.doc_id AND r.rk = c.rk + 1),
@@ -182,7 +309,7 @@ _NET_TEXT = _NET.replace(_NET[: _NET.index("n2 AS")], f"n1 AS (SELECT doc_id, se
 
 
 def _flagship() -> str:
-    body = resolved("", detect.DETECTORS, _DOCS, more=_redacted("secret_spans") + ", " + _NET_TEXT + _TREE.replace("{where}", "is_public") + _NAMES.replace(", s AS (", ", sn AS (").replace("FROM s WHERE", "FROM sn WHERE").replace("SELECT s.session_id, s.canonical, s.parent, concat(t.body, '_SUB_', s.k) FROM s JOIN", "SELECT sn.session_id, sn.canonical, sn.parent, concat(t.body, '_SUB_', sn.k) FROM sn JOIN").replace("t.session_id = s.session_id AND t.canonical = s.parent", "t.session_id = sn.session_id AND t.canonical = sn.parent") + """,
+    body = resolved("", findings.ALL, _DOCS, more=_redacted("secret_spans") + ", " + _NET_TEXT + _TREE.replace("{where}", "is_public") + _NAMES.replace(", s AS (", ", sn AS (").replace("FROM s WHERE", "FROM sn WHERE").replace("SELECT s.session_id, s.canonical, s.parent, concat(t.body, '_SUB_', s.k) FROM s JOIN", "SELECT sn.session_id, sn.canonical, sn.parent, concat(t.body, '_SUB_', sn.k) FROM sn JOIN").replace("t.session_id = s.session_id AND t.canonical = s.parent", "t.session_id = sn.session_id AND t.canonical = sn.parent") + """,
 spans AS (SELECT * FROM secret_spans UNION ALL SELECT n.doc_id, n.start, n."end", concat('[', m.body, ']') FROM n JOIN names m ON m.session_id = n.session_id AND m.canonical = n.canonical WHERE n.is_public AND NOT EXISTS (SELECT 1 FROM secret_spans x WHERE x.doc_id = n.doc_id AND x.start < n."end" AND x."end" > n.start))""" + _SPLICE.replace("SELECT {keys}", ", out AS (SELECT docs.doc_id, docs.session_id") + ") SELECT doc_id, session_id, len(redacted) AS n_chars, n_replaced, md5(redacted) AS redacted_md5 FROM out")
     return body
 
@@ -220,22 +347,42 @@ concat('aws account id: ', 100000000000 + s_suppkey), concat('see s3://bucket-',
 
 
 def _metadata(docs: str, select: str) -> str:
-    one = lambda k: f"SELECT doc_id, '{k.id}' AS detector, '{k.type}' AS type, '{k.category}' AS category, raw, CAST(start AS INTEGER) AS start, CAST(\"end\" AS INTEGER) AS \"end\", {k.score} AS score FROM ({_spans('t', k.regex, k.flags, (k.group,) if k.group else ())})"
-    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM ({docs})), f AS ({' UNION ALL '.join(map(one, metadata.KINDS))}) {select}"
+    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM ({docs})), f AS (SELECT * EXCLUDE (k, ord) FROM ({' UNION ALL '.join(map(_metadata_rows, range(len(metadata.KINDS))))})) {select}"
 
 
 def _scored(docs: str, select: str) -> str:
+    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM ({docs})), f AS (SELECT doc_id, id AS detector, type, category, raw, CAST(from_ AS INTEGER) AS start, CAST(to_ AS INTEGER) AS \"end\", score, severity FROM ({_scored_rows('d')})) {select}"
+
+
+_LEFT = f"SELECT doc_id, text FROM ({VIEWS['v_secret_lines']}) UNION ALL SELECT -doc_id - 1, text FROM ({VIEWS['v_login_lines']})"
+
+
+def _gate(select: str, mode: str) -> str:
+    """Candidates outside the findings in ``final``; what findings hold is left out of the context by joining the gaps between them."""
     parts = []
-    for k, d in enumerate(scored.DETECTORS):
-        marks = " OR ".join(f"contains(lower(t), {Q.text(m)})" for m in d.markers) or "true"
-        found = _spans("t", d.regex, d.flags, d.groups, where=f"({marks})").replace("t AS t, ", "t, ")
-        parts.append(f"SELECT doc_id, {k} AS rule, raw AS found, start, matched, string_split(left(t, start), chr(10))[-1] AS before, regexp_replace(string_split(substr(t, \"end\" + 1), chr(10))[1], '\\r\\z', '') AS after FROM ({found})")
+    for k, (name, rx, flags, group, key) in enumerate(gate.FAMILIES):
+        found = _spans("t", rx, flags, (group,) if group else ())
+        parts.append(f"SELECT doc_id, {k} AS rule, '{name}' AS kind, j, raw AS found, {Q.extract('matched', rx, key, flags) if key else chr(39) * 2} AS key, start, \"end\", t FROM ({found})")
     sql = " UNION ALL ".join(parts)
-    for step in scored.steps(Q, scored.DETECTORS):
+    for step in gate.value_steps(Q):
         sql = f"SELECT *, {', '.join(f'{v} AS {k}' for k, v in step.items())} FROM ({sql})"
-    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM ({docs})), f AS (SELECT doc_id, detector, type, category, raw, CAST(from_ AS INTEGER) AS start, CAST(to_ AS INTEGER) AS \"end\", score, severity FROM ({sql}) WHERE kept AND points >= least) {select}"
-
-
+    near = gate.RADIUS
+    more = f""", c0 AS (SELECT *, {S.normal_key(Q, Q.trim("key"))} AS nkey, row_number() OVER (PARTITION BY doc_id, first, last, value ORDER BY rule, j) AS r FROM ({sql}) WHERE value <> ''),
+c1 AS (SELECT *, greatest(first - {near}, first - len(string_split(left(t, first), chr(10))[-1])) AS lo, least(last + {near}, last + len(regexp_replace(string_split(substr(t, last + 1), chr(10))[1], '\\r\\z', ''))) AS hi FROM c0 WHERE r = 1),
+c2 AS (SELECT * FROM c1 WHERE NOT EXISTS (SELECT 1 FROM final f WHERE f.doc_id = c1.doc_id AND f.start < c1.last AND f."end" > c1.first)),
+e AS (SELECT c2.doc_id, c2.first, c2.last, c2.value, list({{'s': greatest(f.start, lo), 'e': least(f."end", hi)}} ORDER BY f.start) AS g FROM c2 JOIN final f ON f.doc_id = c2.doc_id AND f.start < hi AND f."end" > lo GROUP BY ALL),
+c3 AS (SELECT c2.*, CASE WHEN e.g IS NULL THEN substr(t, CAST(lo + 1 AS BIGINT), CAST(hi - lo AS BIGINT)) ELSE concat(substr(t, CAST(lo + 1 AS BIGINT), CAST(e.g[1].s - lo AS BIGINT)), array_to_string(list_transform(range(1, len(e.g) + 1), lambda i: substr(t, CAST(e.g[i].e + 1 AS BIGINT), CAST(CASE WHEN i = len(e.g) THEN hi ELSE e.g[i + 1].s END - e.g[i].e AS BIGINT))), '')) END AS context
+  FROM c2 LEFT JOIN e ON e.doc_id = c2.doc_id AND e.first = c2.first AND e.last = c2.last AND e.value = c2.value),
+asked AS (SELECT * FROM (SELECT doc_id, kind, key, value, CAST(first AS INTEGER) AS start, CAST(last AS INTEGER) AS "end", context, CAST({gate.score_sql(Q)} AS INTEGER) AS score FROM c3 WHERE {gate.kept_sql(Q)}) WHERE score >= {gate.threshold(mode)})"""
+    return resolved(select, ("registry", "email"), _LEFT, more=more)
+
+
+_VERDICTS = """, said AS (SELECT *, CASE WHEN regexp_matches(context, '[0-9]') AND regexp_matches(context, '[A-Z]') THEN 'SECRET' WHEN len(context) < 40 THEN 'UNSURE' ELSE 'NOT_SECRET' END AS risk, CASE WHEN len(context) > 30 THEN 0.9 ELSE 0.7 END AS confidence FROM asked),
+kept AS (SELECT *, CASE WHEN risk = 'SECRET' AND confidence >= 0.8 THEN 'high' WHEN risk = 'UNSURE' AND score >= 60 THEN 'medium' END AS severity FROM said),
+grank AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, "end" - start DESC, start) AS rk FROM kept WHERE severity IS NOT NULL),
+gsteps(doc_id, rk, held) AS (SELECT doc_id, 1::BIGINT, [{'s': start, 'e': "end", 'k': rk}] FROM grank WHERE rk = 1
+  UNION ALL SELECT r.doc_id, r.rk, CASE WHEN len(list_filter(c.held, lambda x: r.start < x.e AND r."end" > x.s)) > 0 THEN c.held ELSE list_append(c.held, {'s': r.start, 'e': r."end", 'k': r.rk}) END FROM gsteps c JOIN grank r ON r.doc_id = c.doc_id AND r.rk = c.rk + 1)
+SELECT r.doc_id, r.value AS raw, r.start, r."end", r.score, r.severity FROM grank r JOIN (SELECT doc_id, unnest(arg_max(held, rk)) AS k FROM gsteps GROUP BY 1) c ON c.doc_id = r.doc_id AND c.k.k = r.rk"""
 _NAMES_OF = f"SELECT *, left(text, len(text) - len(raw)) AS before, '' AS after FROM (SELECT doc_id, text, string_split(text, ' ')[-1] AS raw FROM ({VIEWS['v_scored_lines']}))"
 
 
@@ -246,7 +393,12 @@ def _numeric() -> str:
     return f"SELECT doc_id, {', '.join(learn.NUMERIC)} FROM ({sql})"
 
 
+_TRUST = f"SELECT doc_id, concat(text, CASE doc_id % 3 WHEN 0 THEN concat(' and [PWM_', doc_id % 9 + 1, ']q8Zr7Wm2Kp4T') WHEN 1 THEN concat('; token: [PWM_', doc_id % 9 + 1, ']') ELSE '' END) AS t FROM ({VIEWS['v_secret_lines']})"
+
 ORACLES: dict[str, str] = {
+    "c19_c22_vault_aware": f"WITH d AS ({_TRUST}) SELECT doc_id, type, raw, CAST(from_ AS INTEGER) AS start, CAST(to_ AS INTEGER) AS \"end\", score, severity FROM ({_scored_rows('d', scored.VAULT_DETECTORS)}) WHERE (id = 'C22') = regexp_matches(key, '^\\[PWM_[1-5]\\]$')",
+    "l01_l04_candidates": _gate("SELECT * FROM asked", "strict"),
+    "d12_u03_verdicts": _gate(_VERDICTS, "enterprise").replace(" , said AS", ", said AS"),
     "a11_pipe_tables": "SELECT s_suppkey AS doc_id, 'aws account' AS label, CAST(s_suppkey + 100000000000 AS VARCHAR) AS value, 57 AS start FROM supplier UNION ALL SELECT s_suppkey, 'e mail', s_name, 87 FROM supplier",
     "a12_json_objects": "SELECT s_suppkey AS doc_id, 4 AS start, 'tenant id' AS label, md5(s_name) AS value FROM supplier UNION ALL SELECT s_suppkey, 92, 'owner', s_name FROM supplier",
     "a09_html_rows": "SELECT s_suppkey AS doc_id, 1 AS row_no, 'tenant co' AS label, concat(s_name, ' <x>') AS value FROM supplier",
@@ -309,6 +461,8 @@ w AS (SELECT *, unnest(range(1, len(g))) AS j FROM q), e AS (SELECT doc_id, sess
     "flagship_documents": _flagship(),
     "c06_c07_rule_lines": judged(docs=VIEWS["v_rule_lines"]) + " SELECT doc_id, source, name, type, category, raw, start, \"end\", score, severity, array_to_string(method, ',') AS method, coalesce(why, '') AS why FROM judged",
     "h01_r02_rule_lines": resolved("", docs=VIEWS["v_rule_lines"], more=_redacted("spans") + _SPLICE.replace("{keys}", "docs.doc_id, docs.session_id")),
+    "h01_r02_login_lines": resolved("", docs=VIEWS["v_login_lines"], more=_redacted("spans") + _SPLICE.replace("{keys}", "docs.doc_id, docs.session_id")),
+    "c01_c04_c20_login_lines": _scored(VIEWS["v_login_lines"], "SELECT * FROM f WHERE detector IN ('C01', 'C04', 'C15', 'C20', 'C21')"),
     "r03_transform": _R03,
     "r02_redact_odd_rows": _R02,
     "r08_network_findings": _net("SELECT doc_id, CASE WHEN is_host THEN 'PUBLIC_IP' ELSE 'PUBLIC_SUBNET' END AS type, raw, start, \"end\", 90 AS score, 'high' AS severity FROM n WHERE is_public"),

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.dialect import SPARK as Q
 from ..functions.register import register
-from ..operators import audit, detect, evaluate, learn, metadata, network, policy, report, scored, spans, structured, vault, verify
+from ..operators import audit, detect, evaluate, findings, gate, learn, metadata, network, policy, report, scored, spans, structured, vault, verify
 from ..sources import files
+from ..sources.scratch import settle
 from ..streaming import chunks
 from . import transform
 from .views import table, view
@@ -72,7 +73,52 @@ def c06_c24_documents(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def e04_f11_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Best finding of each span, then overlaps resolved."""
-    return detect.scan(view(spark, sf, "v_secret_lines")).select("doc_id", "type", "raw", "start", "end", "score", "severity")
+    return findings.scan(view(spark, sf, "v_secret_lines")).select("doc_id", "type", "raw", "start", "end", "score", "severity")
+
+
+@query
+def c01_c04_c20_login_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """URL logins, headers and cookies, disclosures and disguised keys: what their detectors keep, with places."""
+    return scored.scan(view(spark, sf, "v_login_lines"), ("C01", "C04", "C15", "C20", "C21"))
+
+
+@query
+def h01_r02_login_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The same lines redacted by all detectors."""
+    out, _ = transform.transform(view(spark, sf, "v_login_lines"), "raw")
+    return out.select("doc_id", "session_id", "redacted", "n_replaced")
+
+
+def _by_rule(rows: DataFrame) -> DataFrame:
+    """A classifier that SQL can follow: sure of digits among letters, unsure of what is short."""
+    sure = F.col("text").rlike("[0-9]") & F.col("text").rlike("[A-Z]")
+    return rows.withColumns({"risk": F.when(sure, "SECRET").when(F.length("text") < 40, "UNSURE").otherwise("NOT_SECRET"), "confidence": F.when(F.length("text") > 30, 0.9).otherwise(0.7)})
+
+
+def _leftover(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    docs = view(spark, sf, "v_secret_lines").select("doc_id", "text").union(view(spark, sf, "v_login_lines").select((-F.col("doc_id") - 1).alias("doc_id"), "text"))
+    return docs, settle(findings.scan(docs, detectors=("registry", "email")).select("doc_id", "start", "end"), "found")
+
+
+@query
+def c19_c22_vault_aware(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens that a session doesn't know, and tails glued to those that it does: only the first five are trusted."""
+    docs = view(spark, sf, "v_secret_lines").select("doc_id", F.expr("concat(text, CASE doc_id % 3 WHEN 0 THEN concat(' and [PWM_', doc_id % 9 + 1, ']q8Zr7Wm2Kp4T') WHEN 1 THEN concat('; token: [PWM_', doc_id % 9 + 1, ']') ELSE '' END)").alias("text"))
+    trust = docs.select("doc_id", F.explode(F.array(*(F.lit(f"[PWM_{k}]") for k in range(1, 6)))).alias("token"))
+    return findings.vault_aware(docs, trust).select("doc_id", "type", "raw", "start", "end", "score", "severity")
+
+
+@query
+def l01_l04_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """What vendor rules and addresses leave: candidates of the six families with score and masked context."""
+    return gate.candidates(*_leftover(spark, sf), mode="strict")
+
+
+@query
+def d12_u03_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings that a classifier adds to those."""
+    docs, found = _leftover(spark, sf)
+    return gate.leftover(docs, found, _by_rule, "enterprise").select("doc_id", "raw", "start", "end", "score", "severity")
 
 
 @query
@@ -338,13 +384,13 @@ def flagship_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def e01_e02_report(spark: SparkSession, sf: str) -> DataFrame:
-    out = transform.report(detect.scan(view(spark, sf, "v_secret_lines")))
+    out = transform.report(findings.scan(view(spark, sf, "v_secret_lines")))
     return out.select("doc_id", "findings", "high", "medium", "low", F.to_json("categories").alias("categories"))
 
 
 @query
 def r18_sanitized(spark: SparkSession, sf: str) -> DataFrame:
-    return transform.sanitized(detect.scan(view(spark, sf, "v_secret_lines")))
+    return transform.sanitized(findings.scan(view(spark, sf, "v_secret_lines")))
 
 
 @query

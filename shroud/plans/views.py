@@ -21,6 +21,16 @@ VIEWS: dict[str, str] = {
     "v_eval": "SELECT d.doc_id, d.lang AS category, d.source AS source_type, CASE WHEN l.toxic = 1 THEN 'SECRET' WHEN l.quality = 1 THEN 'NOT_SECRET' ELSE 'UNSURE' END AS label, CASE WHEN d.text LIKE '%@%' OR d.text LIKE '%token%' THEN 'SECRET' WHEN d.n_chars > 2000 THEN 'UNSURE' ELSE 'NOT_SECRET' END AS prediction FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
     "v_boxes": "SELECT l_orderkey AS doc_id, l_linenumber AS box_no, (l_linenumber - 1) * 8 AS box_start, l_linenumber * 8 AS box_end, l_linenumber * 40 AS x, 10 AS y, 38 AS width, 12 AS height, CASE CAST(l_suppkey AS INT) % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence FROM lineitem",
 }
+# Logins of many shapes, headers and disclosures, one kind a supplier.
+_H = "SUBSTR(MD5(s_name), 1, 12)"
+_LOGINS = (
+    "CONCAT('mysql://root', s_suppkey, ':root', s_suppkey, '@10.0.0.5/x')", f"CONCAT('clone https://bob:p@ss', {_H}, 'Z9@git.acme.org/r?a=b@c now')", "CONCAT('see https://https:https@git', s_suppkey, '.acme.org/r')",
+    f"CONCAT('ftp://us%40er:pa%20', {_H}, '%3Aq1@[2001:db8::', s_suppkey, ']:21/x')", f"CONCAT('https://u', s_suppkey, ':b%zz', {_H}, '@h.io:443')", "CONCAT('postgres://postgres:postgres@db', s_suppkey, ':5432/app')",
+    f"CONCAT('<https://oauth2:', {_H}, '@git.acme.org> and smtp://a:b:', {_H}, '@mail.acme.org:25')", f"CONCAT('https://[PWM_1]:[PWM_2]@', {_H}, 'Q9@host.io/x')", f"CONCAT('https://u:[PWM_2]tail', {_H}, '@host.io/x')",
+    f"CONCAT('git+https://bob:', {_H}, '@git.acme.org https://bob:', {_H}, '@bad_host!/')", "CONCAT('demo https://user:password@example.com/', s_suppkey)", f"CONCAT('GET /', CHR(13), CHR(10), 'Cookie: theme=dark; sessionid=', {_H}, {_H}, '; sid=', {_H}, CHR(13), CHR(10), 'x-api-key: ', {_H})",
+    f"CONCAT('my db password is ', {_H}, '!X and again the same password: ', {_H}, '!X')", f"CONCAT('note', CHR(10), 'p a s s w o r d: \"', {_H}, '!X\"')", "CONCAT('use this access token ', MD5(s_name), '; ipv6 = 2001:db8::', s_suppkey)", f"CONCAT('secret_b64=', CASE s_suppkey % 2 WHEN 0 THEN 'cGFzc3dvcmQ9SGFyYm9yNzc=' ELSE 'SGVsbG8gV29ybGQh' END, ' ', {_H})",
+)
+VIEWS["v_login_lines"] = "SELECT s_suppkey * 100 + k AS doc_id, CONCAT('s', CAST(s_nationkey AS STRING)) AS session_id, s_suppkey * 100 + k AS seq, CASE k " + " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(_LOGINS)) + f" END AS text FROM supplier CROSS JOIN (VALUES {', '.join(f'({k})' for k in range(len(_LOGINS)))}) kinds(k)"
 VIEWS["v_rule_lines"] = lines_view(LINES)
 VIEWS["v_scored_lines"] = lines_view(SCORED_LINES)
 VIEWS["v_odd_rows"] = f"SELECT CASE WHEN seq % 5 = 0 THEN NULL ELSE seq - seq % 4 END AS doc_id, CASE WHEN seq % 7 = 0 THEN NULL ELSE session_id END AS session_id, seq, text FROM ({VIEWS['v_secret_lines']})"

@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from shroud.operators import audit, detect, learn, metadata, network, policy, structured, vault, verify
+from shroud.operators import audit, detect, findings, learn, metadata, network, policy, structured, vault, verify
 from shroud.plans import transform
 from shroud.plans.views import view
 from shroud.sources import files, tables
@@ -31,7 +31,7 @@ NEGATIVE = ["token_limit=4096 region=eu-central-1", "password=[PWM_3]", "see jan
 def found(spark):
     texts = [t for t, _, _ in POSITIVE] + NEGATIVE
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return {k: [r for r in rs] for k, rs in _by_doc(detect.scan(df).collect()).items()}, texts
+    return {k: [r for r in rs] for k, rs in _by_doc(findings.scan(df).collect()).items()}, texts
 
 
 def _by_doc(rows):
@@ -83,9 +83,9 @@ def test_redaction_of_odd_rows(spark):
 
 
 def test_known_values_are_replaced_wherever_the_session_holds_them(spark):
-    docs = spark.createDataFrame([(1, "s", 1, "DB_PASSWORD=Vault77!Horse"), (2, "s", 2, "he said xVault77!Horsey and Vault77!Horse"), (3, "t", 3, "Vault77!Horse")], "doc_id long, session_id string, seq long, text string")
+    docs = spark.createDataFrame([(1, "s", 1, "DB_PASSWORD=Vault77!Horse"), (2, "s", 2, "he said xVault77!Horsey and Vault77!Horse"), (3, "t", 3, "seen Vault77!Horse there")], "doc_id long, session_id string, seq long, text string")
     out, known = transform.transform(docs)
-    assert {r.doc_id: r.redacted for r in out.collect()} == {1: "DB_PASSWORD=[PWM_1]", 2: "he said x[PWM_1]y and [PWM_1]", 3: "Vault77!Horse"}
+    assert {r.doc_id: r.redacted for r in out.collect()} == {1: "DB_PASSWORD=[PWM_1]", 2: "he said x[PWM_1]y and [PWM_1]", 3: "seen Vault77!Horse there"}
     more = spark.createDataFrame([(9, "s", 9, "DB_PASSWORD=Vault77!Horse TOKEN=Zx9Kq2Lm8Tr4Vb6N")], "doc_id long, session_id string, seq long, text string")
     later, _ = transform.transform(more, known=known)
     assert later.first().redacted == "DB_PASSWORD=[PWM_1] TOKEN=[PWM_2]"
@@ -94,7 +94,7 @@ def test_known_values_are_replaced_wherever_the_session_holds_them(spark):
 def test_callers_own_rules(spark):
     own = detect.Rule("X1", "own_badge", "TOKEN", "credential", 95, (), "", r"\bBADGE-[0-9]{6}\b", ("badge",))
     df = spark.createDataFrame([(1, "pass BADGE-123456 on")], "doc_id long, text string")
-    assert [(r.type, r.raw) for r in detect.scan(df, rules=(own,), detectors=("pattern",)).collect()] == [("TOKEN", "BADGE-123456")]
+    assert [(r.type, r.raw) for r in findings.scan(df, rules=(own,), detectors=("pattern",)).collect()] == [("TOKEN", "BADGE-123456")]
 
 
 def test_many_matches_in_one_text(spark):
@@ -122,7 +122,7 @@ def test_context_of_long_texts(spark, size):
 
 def test_partitioning_does_not_change_results(spark, sf_dir):
     docs = view(spark, sf_dir, "v_secret_lines").where("doc_id < 60")
-    scan = lambda df: sorted(map(str, detect.scan(df, detectors=("registry", "email")).collect()))
+    scan = lambda df: sorted(map(str, findings.scan(df, detectors=("registry", "email")).collect()))
     assert scan(docs) == scan(docs.repartition(7))
 
 
