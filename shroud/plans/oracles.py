@@ -506,3 +506,14 @@ SELECT doc_id, n_leaked, CASE WHEN n_leaked > 0 THEN 'leak' WHEN NOT list_has_al
     "g08_error_samples": f"WITH e AS (SELECT concat(label, '>', prediction) AS kind, doc_id FROM ({_V}) WHERE label <> prediction), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY doc_id) AS rank, count(*) OVER (PARTITION BY kind) AS total FROM e) SELECT kind, CAST(rank AS INTEGER) AS rank, doc_id, greatest(total - 50, 0) AS more FROM r WHERE rank <= 50",
     "e17_class_weights": f"WITH c AS (SELECT label, count(*) AS n FROM ({_V}) GROUP BY 1) SELECT label, n, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 9) AS weight FROM c",
 }
+
+_REQUESTS = f"SELECT request_id, session_id, url, CASE request_id % 3 WHEN 0 THEN concat('DB_PASSWORD=Vault', request_id % 40, '!Horse for it') WHEN 1 THEN concat('see ', url, ' as jane', request_id % 50, '@corp-mail.io') ELSE 'nothing to hide' END AS text FROM ({VIEWS['v_requests']})"
+_OPEN = f"SELECT request_id AS doc_id, session_id, request_id AS seq, text FROM ({_REQUESTS}) WHERE request_id IN (SELECT request_id FROM ({ORACLES['r14_decisions']}) WHERE NOT blocked)"
+_HIGHER = ", most AS (SELECT * FROM final WHERE severity <> 'low')"
+ORACLES["r16_served_texts"] = resolved("", docs=_OPEN, more=_HIGHER + _redacted("spans").replace("FROM final j", "FROM most j") + _SPLICE.replace("{keys}", "docs.doc_id AS request_id, docs.session_id"))
+ORACLES["r16_audit"] = resolved(
+    f""", n AS (SELECT doc_id, count(*) AS n_findings, string_agg(DISTINCT trim(regexp_replace(lower(type), '[^a-z0-9]+', '_', 'g'), '_'), ',' ORDER BY trim(regexp_replace(lower(type), '[^a-z0-9]+', '_', 'g'), '_')) AS finding_types FROM most GROUP BY 1), {_URLS}
+SELECT u.request_id, CASE WHEN b.blocked THEN 'blocked' ELSE 'redacted' END AS action, CASE WHEN b.blocked THEN b.reason ELSE 'redacted' END AS reason, CASE WHEN scheme <> '' THEN concat(scheme, '://', host, CASE WHEN port <> '' THEN ':' || port ELSE '' END) ELSE '' END AS origin,
+  coalesce(n_findings, 0) AS n_findings, coalesce(finding_types, '') AS finding_types FROM u JOIN ({ORACLES["r14_decisions"]}) b ON b.request_id = u.request_id LEFT JOIN n ON n.doc_id = u.request_id""",
+    docs=_OPEN, more=_HIGHER,
+)

@@ -14,7 +14,7 @@ from ..operators import audit, detect, evaluate, findings, gate, learn, metadata
 from ..sources import files
 from ..sources.scratch import settle
 from ..streaming import chunks
-from . import transform
+from . import requests, transform
 from .views import table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -422,6 +422,24 @@ def r14_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return policy.decide(view(spark, sf, "v_requests"), _list(spark, DESTINATIONS), _list(spark, APPROVED), _list(spark, BLOCKED))
 
 
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    text = "CASE request_id % 3 WHEN 0 THEN concat('DB_PASSWORD=Vault', request_id % 40, '!Horse for it') WHEN 1 THEN concat('see ', url, ' as jane', request_id % 50, '@corp-mail.io') ELSE 'nothing to hide' END"
+    return view(spark, sf, "v_requests").select("request_id", "session_id", "url", F.expr(text).alias("text"))
+
+
+@query
+def r16_served_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of the requests that may go out, redacted."""
+    return requests.serve(_requests(spark, sf), _list(spark, DESTINATIONS), _list(spark, APPROVED), _list(spark, BLOCKED), mode="raw").texts
+
+
+@query
+def r16_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """One audit row a request, blocked or redacted, without values."""
+    out = requests.serve(_requests(spark, sf), _list(spark, DESTINATIONS), _list(spark, APPROVED), _list(spark, BLOCKED), mode="raw").audit
+    return out.withColumn("finding_types", F.concat_ws(",", "finding_types"))
+
+
 @query
 def r14_block_and_approve(spark: SparkSession, sf: str) -> DataFrame:
     return policy.decide(view(spark, sf, "v_requests"), _list(spark, DESTINATIONS).where("false"), _list(spark, APPROVED), _list(spark, BLOCKED))

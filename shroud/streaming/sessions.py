@@ -15,9 +15,9 @@ OUT = "session_id string, doc_id long, start int, raw_sha256 string, placeholder
 
 
 def numbered(findings: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
-    """session_id, doc_id, start, raw_sha256, placeholder of a stream of findings (session_id, doc_id, start, raw).
+    """session_id, doc_id, start, raw_sha256, placeholder of a stream of findings (session_id, doc_id, start, raw and, if there, visible: the highest number of a token that stands in the text).
 
-    The state of a session maps hashes of values to numbers, no raw values; it is freed after ``idle_ms`` without input. Rows of a
+    New numbers start behind all visible ones that were seen. The state of a session maps hashes of values to numbers, no raw values; it is freed after ``idle_ms`` without input. Rows of a
     batch are taken by (doc_id, start), so numbers equal the batch operator's as long as input comes in order.
     """
 
@@ -25,16 +25,21 @@ def numbered(findings: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        known = json.loads(state.get[0]) if state.exists else {}
+        known, last = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, 0)
         rows = pd.concat(list(batches), ignore_index=True).sort_values(["doc_id", "start"], kind="stable")
+        last = max(last, int(rows["visible"].max()))
+        rows = rows[rows["raw"].notna()]
         hashes = [hashlib.sha256(x.encode()).hexdigest() for x in rows["raw"]]
         for h in hashes:
-            known.setdefault(h, len(known) + 1)
-        state.update((json.dumps(known),))
+            if h not in known:
+                last += 1
+                known[h] = last
+        state.update((json.dumps(known), last))
         state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"session_id": key[0], "doc_id": rows["doc_id"].to_numpy(), "start": rows["start"].to_numpy(), "raw_sha256": hashes, "placeholder": [f"[PWM_{known[h]}]" for h in hashes]})
 
-    return findings.select("session_id", "doc_id", "start", "raw").groupBy("session_id").applyInPandasWithState(step, OUT, "known string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    visible = F.coalesce(F.col("visible").cast("long"), F.lit(0)) if "visible" in findings.columns else F.lit(0).cast("long")
+    return findings.select("session_id", "doc_id", "start", "raw", visible.alias("visible")).groupBy("session_id").applyInPandasWithState(step, OUT, "known string, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def latest_text(edits: DataFrame, quiet: str = "1 second") -> DataFrame:
