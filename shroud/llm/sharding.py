@@ -6,10 +6,10 @@ go where most are. Each node has its turn in one of two rounds, drawn anew for e
 in the same round only one moves, so that ends of an edge don't swap for ever. How many may move from one shard to another is a quota: wishes in
 opposite directions cancel, and nodes without neighbours give up their place to those that gain, so a shard never grows
 beyond (1 + slack) times the mean. The quotas come from a matrix of shards by shards, the only thing that the driver sees. Which wishes are granted is
-decided by a hash, without any sort. Rounds end when two in a row move next to nothing (``STILL``); ``ROUNDS`` bounds them.
+decided by a hash, without any sort. Rounds end when no node would gain, or two in a row move next to nothing (``STILL``); ``ROUNDS`` bounds them.
 
-Then whole groups are settled (``settle``): a group goes where most of its rows are, as long as the shard's exact share of rows holds it; groups
-beyond that go whole into room that other shards have left. Rows without neighbours fill what is left, so counts differ by one at most.
+Then the quotas' slack is taken back (``settle``), so that counts differ by one at most: a group stays where propagation has brought most of it, as long as the shard's exact share of rows holds
+it; groups beyond that go whole into room that other shards have left. Rows without neighbours stay where they are as far as there is room, and only those beyond it move.
 Only a group that meets a border of two shards' room is cut, at most one for each border, and groups larger than a shard.
 
 Edges of equal texts: a star around the least row of each group; a group larger than a shard is first split by hash into
@@ -83,8 +83,11 @@ def propagate(nodes: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds:
         votes = both.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("vote")), "dst").groupBy("src", "vote").count()
         want = votes.groupBy(F.col("src").alias("node")).agg(F.max(F.struct("count", F.lit(-1) * F.col("vote"))).alias("top"), F.map_from_entries(F.collect_list(F.struct("vote", "count"))).alias("votes"))
         turn = F.pmod(F.xxhash64("node", F.lit("turn"), F.lit(r // 2)), F.lit(2)) == r % 2
-        state = labels.join(want, "node", "left").select("node", "linked", "label", F.when(turn & (F.col("top.count") > F.coalesce(F.element_at("votes", F.col("label")), F.lit(0))), -F.col("top.col2")).cast("int").alias("want"))
-        state = yielded(cut(state, "wishes"), both, r)
+        gains = F.col("top.count") > F.coalesce(F.element_at("votes", F.col("label")), F.lit(0))
+        state = cut(labels.join(want, "node", "left").select("node", "linked", "label", F.when(gains, -F.col("top.col2")).cast("int").alias("wish"), turn.alias("turn")), "wishes")
+        if state.where("wish is not null").isEmpty():  # every node is where most of its neighbours are
+            break
+        state = yielded(state.select("node", "linked", "label", F.when(F.col("turn"), F.col("wish")).alias("want")), both, r)
         wishes, idle, sizes = np.zeros((shards, shards)), np.zeros(shards), np.zeros(shards)
         for row in state.groupBy("label", "want", "linked").count().collect():
             sizes[row["label"]] += row["count"]
@@ -174,12 +177,22 @@ def settle(members: DataFrame, labels: DataFrame, shards: int = SHARDS) -> DataF
     free = share - total(whole, "shard")
     known = members.join(whole.select("group", "shard"), "group", "left")
     sure = known.where("shard is not null").select("node", F.col("shard").cast("int").alias("shard"))
-    # groups at a border come first, then rows without a group, near their label; the widest room first
-    rest = labels.join(known.select("node", "group", F.col("shard").alias("_shard")), "node", "left").where("_shard is null").select("node", "group", F.when(F.col("group").isNull(), F.col("label")).otherwise(-1).alias("turn"))
-    rest = ranked(rest, ["turn", "group", "node"], None, "at")
+    rest = cut(labels.join(known.select("node", "group", F.col("shard").alias("_shard")), "node", "left").where("_shard is null").select("node", "group", "label"), "rest")
+    # rows of groups at a border go to the widest room
     order = np.argsort(-free, kind="stable")
-    lies = F.element_at(_constants(order), _within(F.col("at"), np.cumsum(free[order])) + 1)
-    return cut(sure.union(rest.select("node", lies.cast("int").alias("shard"))), "settled")
+    along = lambda at, room: F.element_at(_constants(order), _within(at, np.cumsum(room[order])) + 1).cast("int")
+    border = cut(ranked(rest.where("group is not null"), ["group", "node"], None, "at").select("node", along(F.col("at"), free).alias("shard"), F.lit(1).alias("size")), "border")
+    free = free - total(border, "shard")
+    # rows without a group stay where they are as far as there is room; only those beyond it move
+    loose = cut(ranked(rest.where("group is null").select("node", "label", F.lit(1).alias("size")), ["label", "node"], None, "at"), "loose")
+    count = total(loose, "label")
+    within = F.col("at") - F.element_at(_constants(np.cumsum(count) - count), F.col("label") + 1)
+    here = within < F.element_at(_constants(free), F.col("label") + 1)
+    beyond = ranked(loose.where(~here).select("node", "label"), ["label", "node"], None, "at")
+    left = free - np.minimum(free, count)
+    order = np.argsort(-left, kind="stable")
+    moved = beyond.select("node", along(F.col("at"), left).alias("shard"))
+    return cut(sure.union(border.select("node", "shard")).union(loose.where(here).select("node", F.col("label").alias("shard"))).union(moved), "settled")
 
 
 def stars(rows: DataFrame, part: int) -> DataFrame:

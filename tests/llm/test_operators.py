@@ -529,6 +529,26 @@ def test_sharding_cuts_groups_only_at_borders(spark, copies):
     assert len(parted) <= (0 if copies == 2 else 15)  # pairs leave room enough in every shard
 
 
+def test_sharding_comes_from_propagation(spark, docs):
+    """Equal texts: propagation alone brings the groups together, and settling moves none of their rows and few others. Links that are no stars: settling can't help there, propagation does."""
+    rows = sharding.cut(docs.select(F.monotonically_increasing_id().alias("node"), F.md5("text").alias("digest")), "rows")
+    hashed = rows.select("node", F.pmod(F.xxhash64("node"), F.lit(16)).cast("int").alias("label"))
+    members = sharding.stars(rows, max(1, rows.count() // 16))
+    edges = members.select(F.col("node").alias("src"), F.col("group").alias("dst")).where("src <> dst")
+    labels = sharding.propagate(rows, edges)
+    assert sharding.cut_edges(edges, labels) < 0.2 * sharding.cut_edges(edges, hashed)
+    moved = sharding.settle(members, labels).join(labels, "node").where("shard <> label")
+    assert moved.join(members, "node").count() <= 0.1 * members.count() and moved.count() <= 0.1 * rows.count()
+    # a long chain of near copies, each linked to the next three
+    nodes = sharding.cut(spark.range(400).select(F.col("id").alias("node")), "chain")
+    near = nodes.select(F.col("node").alias("src"), F.explode(F.array(*(F.col("node") + k for k in (1, 2, 3)))).alias("dst")).where("dst < 400")
+    none = members.limit(0)
+    start = nodes.select("node", F.pmod(F.xxhash64("node"), F.lit(16)).cast("int").alias("label"))
+    by_hash = sharding.cut_edges(near, sharding.settle(none, start), "shard")
+    ours = sharding.cut_edges(near, sharding.settle(none, sharding.propagate(nodes, near)), "shard")
+    assert ours < 0.7 * by_hash
+
+
 def test_sharding_beats_hash_and_sorting(spark):
     rng = random.Random(6)
     texts = [f"g{rng.randint(0, 150)}" for _ in range(900)] + [f"t{k}" for k in range(300)]
