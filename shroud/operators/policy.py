@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 POLICY_FIELDS = "enterprise boolean, strict_failure boolean, default_action string, retention_days int, allow_reveal boolean, approved array<string>, blocked array<string>"
 
+#: Patterns of one list, at most.
+MOST = 10_000
+
 
 def url_parts(url: str = "url") -> dict[str, Column]:
     """scheme, host, path and origin of a URL; null and empty if it isn't one."""
-    rx = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]+)(?::(\d+))?([^?#]*)(\?[^#]*)?"
+    rx = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#]*@)?([^/?#:@]+)(?::(\d+))?([^?#]*)(\?[^#]*)?"
     part = lambda g: F.regexp_extract(url, rx, g)
     port = F.when(part(3) != "", F.concat(F.lit(":"), part(3))).otherwise("")
     origin = F.when(part(1) != "", F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), port)).otherwise("")
@@ -27,8 +30,10 @@ def compiled(patterns: DataFrame) -> DataFrame:
 def first_match(requests: DataFrame, patterns: DataFrame, key: str = "request_id") -> DataFrame:
     """request, pos, match, action of the first pattern in the list that its URL matches; requests without one are left out.
 
-    ``patterns`` is one tenant's list of some dozens of lines, so it is broadcast; larger lists are joined on their host.
+    ``patterns`` is one tenant's list of some dozens of lines; its size is checked (``MOST``) before it is broadcast, and a longer one is an error.
     """
+    if patterns.limit(MOST + 1).count() > MOST:
+        raise ValueError(f"more than {MOST} patterns in one list")
     asked = requests.select(key, "url").withColumns(url_parts())
     host_ok = F.expr("p_host = '*' OR (startswith(p_host, '*.') AND endswith(host, substr(p_host, 2))) OR host = p_host")
     path_ok = F.expr("regexp_like(concat(path, query), p_path) OR regexp_like(path, p_path)")
@@ -77,9 +82,9 @@ def validated(policies: DataFrame, tenant: str = "tenant", body: str = "policy")
 
 
 def merged(base: DataFrame, override: DataFrame, fields: tuple[str, ...], key: str = "tenant") -> DataFrame:
-    """Defaults with a tenant's own values on top; null keeps the default."""
-    o = override.select(key, *(F.col(f).alias(f"_{f}") for f in fields))
-    return base.join(o, key, "left").select(key, *(F.coalesce(F.col(f"_{f}"), F.col(f)).alias(f) for f in fields))
+    """Defaults with a tenant's own values on top. A null in the tenant's row deletes the default; tenants without a row keep all defaults."""
+    o = override.select(key, F.lit(True).alias("_own"), *(F.col(f).alias(f"_{f}") for f in fields))
+    return base.join(o, key, "left").select(key, *(F.when(F.col("_own"), F.col(f"_{f}")).otherwise(F.col(f)).alias(f) for f in fields))
 
 
 def last_wins(rules: DataFrame, keys: tuple[str, ...], order: str) -> DataFrame:

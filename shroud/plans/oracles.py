@@ -482,7 +482,7 @@ SELECT doc_id, n_leaked, CASE WHEN n_leaked > 0 THEN 'leak' WHEN NOT list_has_al
     "r17_origins": f"WITH {_URLS} SELECT request_id, CASE WHEN scheme <> '' THEN concat(scheme, '://', host, CASE WHEN port <> '' THEN ':' || port ELSE '' END) ELSE '' END AS origin, host, path FROM u",
     "r12_r13_policies": "WITH p AS (SELECT c_custkey AS tenant, c_custkey % 2 = 0 AS enterprise, c_custkey % 500 AS days, ['allow', 'redact', 'block', 'drop'][c_custkey % 4 + 1] AS action FROM customer) SELECT tenant, enterprise, action AS default_action, CAST(least(365, greatest(1, days)) AS INTEGER) AS retention_days, concat_ws(',', CASE WHEN action = 'drop' THEN 'default_action' END, CASE WHEN days < 1 OR days > 365 THEN 'retention_days' END) AS errors, enterprise AND (action = 'drop' OR days < 1 OR days > 365) AS fail_closed FROM p",
     "h06_last_rule_wins": "SELECT user_id AS site, max(event_id) AS pos, arg_max(event_type, event_id) AS action FROM events GROUP BY 1",
-    "h07_policy_merge": "SELECT c_custkey AS tenant, CASE WHEN c_custkey % 6 = 0 THEN 'own' ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 3 = 0 THEN 99 ELSE c_nationkey END AS nation FROM customer",
+    "h07_policy_merge": "SELECT c_custkey AS tenant, CASE WHEN c_custkey % 6 = 0 THEN 'own' WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 3 = 0 THEN 99 ELSE c_nationkey END AS nation FROM customer",
     "f12_pauses": "WITH l AS (SELECT user_id AS session_id, max({'ts': ts, 'until': ts + to_minutes(event_id % 90)}) AS p FROM events GROUP BY 1) SELECT session_id, least(p.until, p.ts + to_minutes(60)) AS until, least(p.until, p.ts + to_minutes(60)) > TIMESTAMP '2024-01-15 00:00:00' AS paused FROM l",
     "e03_audit_summary": f"SELECT tenant, action, count(*) AS n_findings, string_agg(DISTINCT finding_type, ',' ORDER BY finding_type) AS finding_types FROM ({_A}) GROUP BY 1, 2",
     "f09_j06_audit_bound": f"WITH a AS ({_A}), f AS (SELECT * FROM a WHERE ts >= (SELECT max(ts) FROM a) - INTERVAL 20 DAY) SELECT event_id, tenant, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY ts DESC, event_id DESC) AS rank FROM f) WHERE rank <= 5",
