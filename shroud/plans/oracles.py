@@ -117,7 +117,8 @@ def _spans(text: str, pattern: str, flags: str = "", groups: tuple[int, ...] = (
 _CONTEXT = "string_split(left(t, start), chr(10))[-1] AS before, regexp_replace(string_split(substr(t, \"end\" + 1), chr(10))[1], '\\r\\z', '') AS after, 0 AS far"
 
 
-def _candidates(detectors: tuple[str, ...], docs: str, rules: tuple = RULES) -> str:
+def _candidates(detectors: tuple[str, ...], docs: str, rules: tuple = RULES, quick: bool = False) -> str:
+    """Judged candidates. ``quick``: without the words of prose that the entropy detector drops anyway."""
     parts = []
     field = _rx(_FIELD, "i")
     add = lambda source, rule, key, body: parts.append(
@@ -135,7 +136,8 @@ def _candidates(detectors: tuple[str, ...], docs: str, rules: tuple = RULES) ->
     if "email" in detectors:
         add("email", -1, "''", _spans("t", detect.EMAIL, "i"))
     if "entropy" in detectors:
-        add("entropy", -1, "''", _spans("t", detect.ENTROPY_TOKEN))
+        tokens = _spans("t", detect.ENTROPY_TOKEN)
+        add("entropy", -1, "''", f"SELECT * FROM ({tokens}) WHERE NOT {Q.test('raw', detect.PLAIN_WORDS)}" if quick else tokens)
     lit = lambda v: "true" if v is True else "false" if v is False else str(v) if isinstance(v, int) else Q.text(v)
     table = "SELECT * FROM (VALUES " + ", ".join(f"({k}, " + ", ".join(lit(f(r)) for f, _ in detect.RULE_COLUMNS.values()) + ")" for k, r in enumerate(RULES)) + f") r(rule, {', '.join(detect.RULE_COLUMNS)})"
     cols = ", ".join(f"coalesce(r.{c}, {lit(d)}) AS {c}" for c, (_, d) in detect.RULE_COLUMNS.items())
@@ -147,8 +149,8 @@ def _candidates(detectors: tuple[str, ...], docs: str, rules: tuple = RULES) ->
     return f"WITH docs AS ({docs}), d AS (SELECT doc_id, coalesce(text, '') AS t FROM docs WHERE trim(coalesce(text, '')) <> ''), rules AS ({table}), judged AS (SELECT *, {{why}} AS why FROM ({sql}))"
 
 
-def judged(detectors: tuple[str, ...] = detect.DETECTORS, docs: str = VIEWS["v_secret_lines"], allow: tuple[str, ...] = ()) -> str:
-    return _candidates(detectors, docs).replace("{why}", detect.suppress_sql(Q, allow))
+def judged(detectors: tuple[str, ...] = detect.DETECTORS, docs: str = VIEWS["v_secret_lines"], allow: tuple[str, ...] = (), quick: bool = False) -> str:
+    return _candidates(detectors, docs, quick=quick).replace("{why}", detect.suppress_sql(Q, allow))
 
 
 _BEST = """best AS (SELECT * FROM (SELECT *, min([detector, rule, ord]) OVER s AS seq, row_number() OVER (s ORDER BY score DESC, len(method) DESC, detector, rule, ord) AS r FROM found WINDOW s AS (PARTITION BY doc_id, start, "end", raw)) WHERE r = 1),
@@ -177,7 +179,7 @@ def _scored_rows(source: str, detectors: tuple = scored.DETECTORS) -> str:
             own = Q.extract("matched", d.inner[0], d.inner[3], d.inner[1]) if d.inner[3] else "outer_key"
             found = f'SELECT doc_id, whole AS t, outer_j * 1000 + j AS j, raw, CAST(first + start AS INTEGER) AS start, CAST(first + "end" AS INTEGER) AS "end", {own} AS key FROM ({inside})'
             key = "key"
-        parts.append(f'SELECT doc_id, {k} AS rule, CAST(j - 1 AS INTEGER) AS ord, {_decoded("raw") if d.decoded else "raw"} AS found, {key} AS key, start, "end", {_CONTEXT} FROM ({found})')
+        parts.append(f'SELECT doc_id, {k} AS rule, CAST(j - 1 AS INTEGER) AS ord, {_decoded("raw") if d.decoded else "raw"} AS found, {key} AS key, start, "end", {_CONTEXT} FROM ({found}) WHERE {Q.test("raw", d.worth) if d.worth else "true"}')
     sql = " UNION ALL ".join(parts)
     for step in scored.steps(Q, detectors):
         sql = f"SELECT *, {', '.join(f'{v} AS {k}' for k, v in step.items())} FROM ({sql})"
@@ -214,7 +216,7 @@ def resolved(select: str, detectors: tuple[str, ...] = findings.ALL, docs: str =
         parts.append(fixed("metadata", findings.METADATA_PLACE, f"k + {findings.METADATA_RULE}", "ord", " UNION ALL ".join(map(_metadata_rows, range(len(metadata.KINDS))))))
     if "adjacent" in detectors:
         parts.append(fixed("adjacent", "CAST(substr(detector, 2, 2) AS INTEGER)", "0", "start", _adjacent_rows("d")))
-    return judged(general, docs).replace("WITH docs", "WITH RECURSIVE docs", 1) + f", found({own}) AS ({' UNION ALL '.join(parts)}), " + _BEST + more + " " + select
+    return judged(general, docs, quick=True).replace("WITH docs", "WITH RECURSIVE docs", 1) + f", found({own}) AS ({' UNION ALL '.join(parts)}), " + _BEST + more + " " + select
 
 
 _TOKENS = f"(SELECT doc_id, regexp_split_to_array(text, '[ =]')[-1] AS v, regexp_extract(text, '^([A-Za-z_]+)[=:]', 1) AS k FROM ({VIEWS['v_secret_lines']}))"
