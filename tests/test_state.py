@@ -1,6 +1,7 @@
 """State over several micro-batches, with a restart from the checkpoint in between, against the batch operators."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,7 +26,8 @@ class Feed:
     def run(self):
         stream = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1).json(str(self.place / "in"))
         keep = lambda df, _: self.out.extend(df.collect())
-        q = self.make(stream).writeStream.foreachBatch(keep).option("checkpointLocation", str(self.place / "check")).outputMode("append").trigger(availableNow=True).start()
+        out = self.make(stream).writeStream.foreachBatch(keep).option("checkpointLocation", str(self.place / "check")).outputMode("append")
+        q = out.trigger(availableNow=True).start()
         assert q.awaitTermination(300) and q.exception() is None
 
     def rows(self):
@@ -42,14 +44,19 @@ def one_state_store(spark):
 
 
 def test_numbering_goes_on(spark, tmp_path):
-    feed = Feed(spark, tmp_path, "session_id string, doc_id long, start int, raw string, visible long", sessions.numbered)
     f = lambda s, d, at, raw, v=None: {"session_id": s, "doc_id": d, "start": at, "raw": raw, "visible": v}
-    feed.add(f("a", 1, 0, "x1"), f("a", 1, 9, "x2"), f("b", 1, 0, "x2"))
-    feed.add(f("a", 2, 3, "x2"), f("a", 2, 0, "x3"), f("a", 2, 0, None, 7))
-    feed.run()
-    feed.add(f("a", 3, 0, "x1"), f("a", 3, 5, "x4"), f("b", 3, 5, "x4"))
-    feed.run()
-    got = sorted((r.session_id, r.doc_id, r.start, r.placeholder) for r in feed.rows())
+    batches = [[f("a", 1, 0, "x1"), f("a", 1, 9, "x2"), f("b", 1, 0, "x2")], [f("a", 2, 3, "x2"), f("a", 2, 0, "x3"), f("a", 2, 0, None, 7)], [f("a", 3, 0, "x1"), f("a", 3, 5, "x4"), f("b", 3, 5, "x4")]]
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("session_id string, doc_id long, start int, raw string, visible long").json(str(tmp_path / "in"))
+    q = sessions.numbered(stream).writeStream.format("memory").queryName("goes_on").outputMode("append").start()
+    for k, rows in enumerate(batches):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps(r) for r in rows))
+        for _ in range(100):  # a query with timeouts never runs out of batches
+            time.sleep(0.5)
+            if spark.table("goes_on").count() == (3, 5, 8)[k]:
+                break
+    q.stop()
+    got = sorted((r.session_id, r.doc_id, r.start, r.placeholder) for r in spark.table("goes_on").collect())
     assert got == [("a", 1, 0, "[PWM_1]"), ("a", 1, 9, "[PWM_2]"), ("a", 2, 0, "[PWM_8]"), ("a", 2, 3, "[PWM_2]"), ("a", 3, 0, "[PWM_1]"), ("a", 3, 5, "[PWM_9]"), ("b", 1, 0, "[PWM_1]"), ("b", 3, 5, "[PWM_2]")]
 
 
@@ -107,3 +114,21 @@ def test_pieces_equal_whole_texts(spark, tmp_path):
 @pytest.mark.parametrize(("text", "n"), [("x" * 100, 40), ("x" * 30, 0), ("x" * 20 + "-----BEGIN K-----" + "y" * 90, 20), ("-----BEGIN K-----y-----END K-----" + "z" * 60, 33)])
 def test_hold_back(text, n):
     assert state.stable(text, 60) == n
+
+
+def test_served_batches_may_come_again(spark, tmp_path):
+    """A batch that is replayed adds no audit row and gives no new number; the next one goes on with the vault."""
+    from shroud.plans import requests
+
+    lists = [spark.createDataFrame(rows, "pos int, match string, action string") for rows in ([(1, "https://ok.example.org/*", "redact"), (2, "*://*/*", "block")], [], [])]
+    lists[1], lists[2] = lists[0].where("false"), lists[0].where("false")
+    run = requests.serving(str(tmp_path / "sink"), *lists, detectors=("registry", "assignment"), mode="raw")
+    asked = lambda *rows: spark.createDataFrame(list(rows), "request_id long, session_id string, url string, text string")
+    first = asked((1, "s", "https://ok.example.org/a", "DB_PASSWORD=Vault77!Horse"), (2, "s", "https://bad.example.net/", "DB_PASSWORD=Vault88!Horse"), (3, None, "https://ok.example.org/b", None))
+    run(first, 0)
+    run(first, 0)
+    run(asked((4, "s", "https://ok.example.org/c", "DB_PASSWORD=Vault77!Horse TOKEN=Zx9Kq2Lm8Tr4Vb6N")), 1)
+    log = {r.request_id: (r.action, r.reason, r.n_findings) for r in spark.read.parquet(str(tmp_path / "sink" / "audit")).collect()}
+    assert log == {1: ("redacted", "redacted", 1), 2: ("blocked", "destination_blocked", 0), 3: ("redacted", "redacted", 0), 4: ("redacted", "redacted", 2)}
+    texts = {r.request_id: r.redacted for r in spark.read.parquet(str(tmp_path / "sink" / "texts")).collect()}
+    assert texts == {1: "DB_PASSWORD=[PWM_1]", 3: None, 4: "DB_PASSWORD=[PWM_1] TOKEN=[PWM_2]"}
