@@ -39,7 +39,7 @@ def clear(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of fewer partitions than there are cores, dealt to all cores before expensive expressions. A large table has splits enough, whatever the number
-    of its files, and stays as it is: no shuffle at scale."""
+    """Rows of few partitions, dealt to all cores before expensive expressions. Spark cuts a small table's files into about as many splits as there are cores, but a split without the
+    middle of a row group is empty, so one may hold all rows. Only tables of fewer than two splits a core, hence of at most two splits' bytes a core, are dealt; larger ones stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
