@@ -157,6 +157,11 @@ def credential_value(s: Sql, x: str) -> str:
     )
 
 
+def vendor_hex(s: Sql, k: str, x: str) -> str:
+    """Hex values of vendors whose keys aren't told from digests."""
+    return f"({s.test(k, 'twilio|mailchimp', 'i')} AND {s.test(x, '^(?:[a-f0-9]{24,}|[a-f0-9]{24,}-[a-z0-9]{2,6})$', 'i')})"
+
+
 def provider_token(s: Sql, k: str, x: str) -> str:
     t = s.trim(x)
     return f"({s.test(normal_key(s, k), '(?:^|_)key$')} AND {s.test(t, r'^sk-(?:proj|live|test|org|svcacct|admin)-[A-Za-z0-9_-]{6,}$')})"

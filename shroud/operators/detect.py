@@ -138,10 +138,13 @@ def suppress_sql(s: Sql, allow: Iterable[str] = ()) -> str:
         f" OR {s.test('concat(before, raw, after)', r'\b(?:import|from|require|include)\b')} OR {far(16)} OR ctx <= -8)"
     )
     entropy_bad = f"source = 'entropy' AND ({s.test(raw, r'^pk_(?:live|test)_[0-9A-Za-z]{16,}$', 'i')} OR {s.test(raw, r'^[A-Z]{2,10}[a-z]+$')} OR {s.test(raw, r'^\d+$')} OR NOT entropy_redact)"
+    assigned = s.extract("before", r"([A-Za-z_][A-Za-z0-9_.-]{0,80})\s*[:=]\s*$", 1)
     url_rules = ("db_uri", "generic_uri_credentials")
     cases = [
         (f"{raw} = ''", "empty"),
         (f"source = 'assignment' AND (length(raw) < 8 OR {S.safe_key(s, key)})", "safe-key"),
+        (f"source = 'assignment' AND {S.vendor_hex(s, key, raw)}", "vendor-hex"),
+        (f"source = 'entropy' AND {S.vendor_hex(s, assigned, raw)}", "vendor-hex"),
         (f"source = 'assignment' AND type = 'TOKEN' AND {s.test('lower(key)', 'cookie|session|auth|token')} AND length(raw) < 16 AND NOT {S.structured_secret(s, raw)}", "short-session"),
         (f"source = 'registry' AND {S.clean_token(s, raw)}", "placeholder"),
         (prose, "prose"),

@@ -1,4 +1,4 @@
-"""Detectors whose candidates are kept by a test and a score over the value and its line: headers and cookies, logins in URLs, disclosures in prose, keys written to be overlooked, identities,
+"""Detectors whose candidates are kept by a test and a score over the value and its line: headers and cookies, assignments and connection strings, logins in URLs, disclosures in prose, keys written to be overlooked, identities,
 passwords that stand alone, enterprise and cloud names. ``matcher`` finds candidates; tests and scores are scalar SQL over raw, key, before, after.
 
 ``PROFILE`` detectors belong to the enterprise profile, which a caller may leave out.
@@ -37,6 +37,8 @@ class Scored(NamedTuple):
     inner: tuple[str, str, tuple[int, ...], int] | None = None
     worth: str = ""
     decoded: bool = False
+    #: Whether the value ends where another key begins in it.
+    cut: bool = False
 
 
 # Token sets, context words, shapes and expressions.
@@ -211,6 +213,18 @@ _APART = r"[\u200b-\u200d\ufeff\s._$@-]"
 DISGUISED = rf"""(?:^|[^A-Za-z0-9$@\s._\u200b-\u200d\ufeff-]){_APART}*([A-Za-z](?:{_APART}*[A-Za-z0-9$@]){{1,24}})\s*[:=]\s*(?:"([^"\r\n]+)"|'([^'\r\n]+)'|`([^`\r\n]+)`|([^\s\r\n]+))"""
 ENCODED_KEY = r"(?:^|[_\-.])(?:encoded|base64|b64|secret|token|password|credential)(?:$|[_\-.])"
 SECRET_WORDS = r"(?:password|passwd|secret|token|api[_ -]?key|credential|auth)"
+# Keys, values and attributes of assignments and connection strings.
+_KEY = r"([A-Za-z_][A-Za-z0-9_.-]{0,80})[^\S\r\n]*[:=][^\S\r\n]*"
+#: A value up to its quote or the end of the line, or up to a delimiter.
+DELIMITED = r"""(?:"([^\["\r\n][^"\r\n]*)|'([^\['\r\n][^'\r\n]*)|`([^\[`\r\n][^`\r\n]*)|([^\[\s,;"'`}\]][^\s,;"'`}\]]*))"""
+INLINE = r"(?:^|[^A-Za-z0-9_.?&@/:-])((?:(?:api|app|auth|client|signing|webhook)[\s._-]+)?secret|password|token)[^\S\r\n]*[:=][^\S\r\n]*" + DELIMITED
+DB_SCHEMES = r"(?:postgres(?:ql)?|mysql|mariadb|mongodb(?:\+srv)?|redis|amqp|mssql|sqlserver)"
+DB_PASSWORD = rf"^{DB_SCHEMES}:\/\/[^\/?#\s'\"`<>:]*:([^\/?#\s'\"`<>{{}}\[\]]+)@{_HOST}(?:[\/?#\s'\"`<>]|$)"
+CONNECTION = r"^(?:DefaultEndpointsProtocol=https;AccountName=[^;\r\n]+;AccountKey=[^;\r\n]+;EndpointSuffix=[^\s;]+|Endpoint=sb:\/\/[^\s;]+;SharedAccessKeyName=[^;\s]+;SharedAccessKey=[^;\s]+(?:;EntityPath=[^;\s]+)?|[^=\s;]+=[^;\r\n]+(?:;[^=\s;]+=[^;\r\n]+){2,})"
+SQL_SERVER = r"\b(?:jdbc:sqlserver|sqlserver|mssql):\/\/[^\s'\"`<>{}\[\]]*"
+SQL_SERVER_PASSWORD = r"(?:^|;)(password|pwd)\s*=\s*([^;\s'\"`<>{}\[\]]+)"
+ADO_PASSWORD = r"\b(?:Server|Data Source|Address|Addr|Network Address)\s*=[^;\r\n]+;[^\r\n]*?;\s*(password|pwd)\s*=\s*([^;\r\n'\"`<>{}\[\]]+)"
+EXAMPLE_SEGMENT = r"(?:^|[;=:/_.-])(?:example|sample|dummy)[A-Za-z0-9_-]*(?:$|[;=:/_.-])"
 
 
 def unsuppressed(s: Sql) -> str:
@@ -220,10 +234,71 @@ def unsuppressed(s: Sql) -> str:
     return f"(NOT {S.template_value(s, 'raw')} AND NOT {S.clean_token(s, 'raw')} AND NOT ({S.has_token(s, 'raw')} AND {S.benign_composite(s, 'raw')}) AND ({closed} OR NOT {soft}))"
 
 
+def embedded_cut(s: Sql, x: str) -> str:
+    """The value up to another key that begins in it, unless the key is part of a URL."""
+    head = s.extract(x, r"^(.*?(?:[^A-Za-z0-9_.?&\/:-]|[^A-Za-z0-9_.-][0-9.-]+)|[0-9.-]+)[A-Za-z_][A-Za-z0-9_.-]{1,80}\s*[:=]", 1)
+    return f"coalesce(nullif({head}, ''), {x})"
+
+
+def _quiet(s: Sql) -> str:
+    """Neither a template nor an example, and nothing ahead on the line speaks of examples."""
+    return f"open AND NOT ({s.test('before', S.FALSE_CONTEXT, 'i')} OR ((far & 2) <> 0))"
+
+
+def _tail_of(s: Sql, pattern: str) -> str:
+    """Whether the pattern stands right before the key of an assignment."""
+    return s.test("before", pattern + r"[A-Za-z_][A-Za-z0-9_.-]{0,80}[^\S\r\n]*[:=][^\S\r\n]*[\"'`]?$", "i")
+
+
+def _inline_keep(s: Sql) -> str:
+    """An exact key. One that is a plain word needs a sign of data ahead: the line's start, a quote, bracket or delimiter, or another assignment."""
+    cue = s.test("before", r"(?:^\s*|[\"'`{\[,;]\s*|[:=][^\s]*\s+)(?:password|secret|token)[^\S\r\n]*[:=][^\S\r\n]*[\"'`]?$", "i")
+    bare = s.test(S.normal_key(s, "key"), "^(?:password|secret|token)$")
+    generic = f"({S.normal_key(s, 'key')} = 'secret' AND {s.test('raw', '[A-Za-z]')} AND {s.test('raw', '[0-9]')} AND {s.test('raw', '(?:secret|token|pass|key|bearer)', 'i')})"
+    server = _tail_of(s, r"(?:sqlserver|mssql):\/\/[^\n]*;")
+    return f"length(raw) >= 8 AND {S.inline_key(s, 'key')} AND (NOT {bare} OR {cue}) AND NOT {server} AND {S.credential_value(s, 'raw')} AND NOT {S.vendor_hex(s, 'key', 'raw')} AND NOT {S.benign_composite(s, 'raw')} AND ({generic} OR ({_quiet(s)}))"
+
+
+def _explicit_keep(s: Sql) -> str:
+    """A key that names a credential, or any key of a provider's token."""
+    k = S.normal_key(s, "key")
+    short = f"({s.test(k, '^(?:cookie|session)$')} AND length(raw) < 16 AND NOT {s.test('raw', '(?:secret|token|auth|session|jwt|bearer)', 'i')})"
+    bearer = f"({s.test(k, '^(?:auth(?:_?header)?|authorization)$')} AND {s.test('raw', '^bearer[ ]+', 'i')})"
+    no = (_tail_of(s, "[?&]"), S.safe_key(s, "key"), S.db_uri_key(s, "key"), S.connection_key(s, "key"), S.vendor_hex(s, 'key', 'raw'), S.benign_composite(s, "raw"), short, bearer)
+    provider_value = f"({S.provider_token(s, 'key', 'raw')} AND NOT {S.template_value(s, 'raw')})"
+    return f"NOT ({' OR '.join(no)}) AND (({S.sensitive_key(s, 'key')} AND {S.credential_value(s, 'raw')}) OR {provider_value}) AND {_quiet(s)}"
+
+
+def _explicit_type(s: Sql) -> str:
+    return f"CASE WHEN {S.provider_token(s, 'key', 'raw')} THEN 'API_KEY' ELSE {S.key_type(s, 'key')} END"
+
+
+def _explicit_score(s: Sql) -> str:
+    return f"62 + CASE WHEN {S.credential_key(s, 'key')} THEN 12 ELSE 4 END + {points((S.provider_token(s, 'key', 'raw'), 16), (f'{S.entropy(s, "raw")} >= 3.6', 4), (f'{S.variety(s, "raw")} >= 3', 2))}"
+
+
+def _full_score(s: Sql) -> str:
+    return f"99 + CASE WHEN {S.entropy(s, 'raw')} >= 3.8 THEN 2 ELSE 0 END + greatest(0, ctx)"
+
+
+def _connection_keep(s: Sql) -> str:
+    return f"length(raw) >= 8 AND {S.connection_key(s, 'key')} AND NOT {S.db_uri_key(s, 'key')} AND open AND NOT ({S.example_host(s, 'raw')} OR {S.template_marker(s, 'raw')} OR {s.test('raw', EXAMPLE_SEGMENT, 'i')})"
+
+
+def _attribute_keep(s: Sql) -> str:
+    return f"length(raw) >= 8 AND NOT {S.clean_token(s, 'raw')} AND NOT {S.benign_composite(s, 'raw')} AND {_quiet(s)}"
+
+
+def _ado_keep(s: Sql) -> str:
+    """A password attribute of a connection that names user and database as well."""
+    line = "concat(before, raw, after)"
+    return f"{s.test(line, r'\b(?:User\s+Id|UID|User)\s*=', 'i')} AND {s.test(line, r'\b(?:Database|Initial Catalog)\s*=', 'i')} AND {_attribute_keep(s)}"
+
+
 def _header_keep(s: Sql) -> str:
     scheme = f"(lower(key) = 'authorization' AND {s.test('raw', '^(?:bearer|basic)[ \t]+[^,;]', 'i')})"
     pairs = f"({s.among('lower(key)', COOKIES)} AND {s.test('raw', r'(?:^|;\s*)[^=;\s]+=')})"
-    return f"length(raw) >= 8 AND NOT {scheme} AND NOT {pairs} AND ({S.credential_value(s, 'raw')} OR {S.structured_secret(s, 'raw')} OR ({s.test('raw', '[A-Za-z]')} AND {s.test('raw', '[0-9]')} AND {S.entropy(s, 'raw')} >= 2.6)) AND {unsuppressed(s)}"
+    return f"length(raw) >= 8 AND NOT {scheme} AND NOT {pairs} AND ({S.credential_value(s, 'raw')} OR {S.structured_secret(s, 'raw')} OR ({s.test('raw', '[A-Za-z]')} AND {s.test('raw', '[0-9]')} AND {S.entropy(s, 'raw')} >= 2.6)) AND open"
 
 
 def _header_type(s: Sql) -> str:
@@ -232,7 +307,7 @@ def _header_type(s: Sql) -> str:
 
 def _cookie_keep(s: Sql) -> str:
     name = s.sub("lower(key)", "[._-]+", "")
-    return f"({name} = 'sid' OR {s.test(name, 'session|auth|token|jwt')}) AND length(raw) >= 8 AND ({S.credential_value(s, 'raw')} OR {S.structured_secret(s, 'raw')} OR {s.test('raw', '^[A-Za-z0-9%._~-]{16,}$')}) AND {unsuppressed(s)}"
+    return f"({name} = 'sid' OR {s.test(name, 'session|auth|token|jwt')}) AND length(raw) >= 8 AND ({S.credential_value(s, 'raw')} OR {S.structured_secret(s, 'raw')} OR {s.test('raw', '^[A-Za-z0-9%._~-]{16,}$')}) AND open"
 
 
 def url_password(s: Sql, x: str) -> str:
@@ -295,7 +370,7 @@ def disclosed(s: Sql, x: str, kind: str) -> str:
 def _disclosure_keep(s: Sql) -> str:
     said = f"({s.test('key', CONNECTED, 'i')} OR {s.test('key', INTRODUCED, 'i')})"
     apart = f"{s.test('key', r'(?:\s|=|:|>|→)$')} AND NOT {s.test('key', r'^[A-Z0-9_]+\s*[:=]\s*$')}"
-    return f"{said} AND {apart} AND NOT (ctx <= -14 AND NOT {S.credential_value(s, 'raw')}) AND {disclosed(s, 'raw', S.disclosure_type(s, 'key'))} AND NOT {s.test('lower(before)', S.PROSE_CONTEXT, 'i')} AND ((far & 4) = 0) AND {unsuppressed(s)}"
+    return f"{said} AND {apart} AND NOT (ctx <= -14 AND NOT {S.credential_value(s, 'raw')}) AND {disclosed(s, 'raw', S.disclosure_type(s, 'key'))} AND NOT {s.test('lower(before)', S.PROSE_CONTEXT, 'i')} AND ((far & 4) = 0) AND open"
 
 
 def decoded_secret(s: Sql, x: str) -> str:
@@ -314,7 +389,7 @@ def _disguised(s: Sql) -> tuple[str, str, str]:
 
 def _disguised_keep(s: Sql) -> str:
     short = f"({s.test(S.normal_key(s, 'key'), '^(?:cookie|session)$')} AND length(raw) < 16 AND NOT {s.test('raw', '(?:secret|token|auth|session|jwt|bearer)', 'i')})"
-    return f"length(raw) >= 8 AND NOT {S.safe_key(s, 'key')} AND NOT {short} AND ({' OR '.join(_disguised(s))}) AND {unsuppressed(s)}"
+    return f"length(raw) >= 8 AND NOT {S.safe_key(s, 'key')} AND NOT {short} AND ({' OR '.join(_disguised(s))}) AND open"
 
 
 def _disguised_of(values: tuple[str, str, str]) -> Callable[[Sql], str]:
@@ -334,7 +409,7 @@ DETECTORS: tuple[Scored, ...] = (
     Scored("C21", _is("PASSWORD"), "credential", rf"\b[a-z][a-z0-9+.-]*:\/\/(?:{S.TOKEN}):(?:{S.TOKEN})(@[^@\s\/]+)@[^\s]+", "i", (1,), ("://",), lambda s: url_password(s, "raw"), lambda s: "99", place=21, methods=("url-credentials", "extra-at", "trusted-placeholder-uri")),
     Scored("C15", lambda s: f"CASE WHEN {_disguised(s)[0]} THEN {S.key_type(s, 'key')} WHEN {_disguised(s)[1]} THEN 'SECRET' ELSE 'IP_ADDRESS' END", "credential", DISGUISED, "i", (2, 3, 4, 5), (":", "="), _disguised_keep, _disguised_of(("94", "88", "86")), key=1, place=15, methods=("assignment", "adversarial")),
     Scored("C20", lambda s: S.disclosure_type(s, "key"), "credential", DISCLOSURE, "i", (2, 3, 4, 5), ("pass", "pwd", "secret", "key", "token", "value"), _disclosure_keep, lambda s: f"84 + CASE WHEN {S.entropy(s, 'raw')} >= 3.4 THEN 4 ELSE 0 END + greatest(0, ctx)", key=1, place=20, methods=("natural-language",)),
-    Scored("C09", _is("TOKEN"), "credential", r"""([A-Za-z_][A-Za-z0-9_.-]{0,80})[ \t]*[:=][ \t]*Bearer[ \t]+([^\s,;"'`}\]]+)""", "i", (2,), ("bearer",), _bearer_keep, lambda s: f"98 + CASE WHEN {S.entropy(s, 'raw')} >= 3.6 THEN 2 ELSE 0 END", key=1, place=9),
+    Scored("C09", _is("TOKEN"), "credential", r"""([A-Za-z_][A-Za-z0-9_.-]{0,80})[ \t]*[:=][ \t]*Bearer[ \t]+([^\s,;"'`}\]]+)""", "i", (2,), ("bearer",), _bearer_keep, lambda s: f"98 + CASE WHEN {S.entropy(s, 'raw')} >= 3.6 THEN 2 ELSE 0 END", key=1, place=9, cut=True),
     Scored("C17", _email_or_user, "identity", r"""([A-Za-z_][A-Za-z0-9_.-]{0,80})\s*[:=]\s*(?:"([^"\r\n]+)"|'([^'\r\n]+)'|`([^`\r\n]+)`|([^\s]+))""", "i", (2, 3, 4, 5), ("user", "login", "mail"), lambda s: f"NOT {S.safe_key(s, 'key')} AND {s.test(S.normal_key(s, 'key'), '(?:^|_)(?:username|user(?:_?name)?|login|email|e_mail|mail)(?:$|_)')} AND length(raw) BETWEEN 3 AND 256 AND {_identity_ok(s)}", _identity_score, 55, 1, place=17),
     Scored("C18", _email_or_user, "identity", r'"((?:user|username|user_name))"\s*:\s*"([^"\r\n]{3,256})"', "i", (2,), ('"user',), _identity_ok, lambda s: f"CASE WHEN {s.test('raw', ADDRESS, 'i')} THEN 70 ELSE 64 END", key=1, place=18),
     Scored("C23", _is("PASSWORD"), "credential", r"(?:^|\n)([^\n]+)", "", (1,), (), lambda s: f"NOT {s.test('trim(found)', '[=:,' + chr(92) + 't]|' + chr(92) + 's{2,}')} AND NOT {s.test('trim(found)', '^<' + chr(92) + '/?[a-z][^>]*>|<' + chr(92) + '/[a-z][^>]*>' + chr(92) + 's*$', 'i')} AND {bare_password(s, 'raw')} AND ctx > -14", _bare_score, place=23, worth=r"""^\s*["'`]?\s*\S{10,130}\s*["'`]?\s*$"""),
@@ -350,6 +425,12 @@ DETECTORS: tuple[Scored, ...] = (
     Scored("C38", lambda s: f"CASE WHEN {s.test('raw', '^obs-', 'i')} THEN 'OBS_BUCKET' WHEN {provider(s)} THEN 'OTC_RESOURCE' ELSE 'OPENSTACK_RESOURCE' END", "internal_metadata", r"\b(?:(?:otc-)?(?:ecs|evs|vpc|subnet|sg|security-group|obs|cce|rds|elb|eip|keypair|image|flavor|as|nat|vpn)|otc)-[a-z0-9][a-z0-9-]{4,62}\b", "i", (), ("-",), lambda s: "true", lambda s: f"46 + {token_score(s, 'raw')} + {points((provider(s), 14), (infrastructure(s), 8))}", 70),
     Scored("C38", _stack_type, "internal_metadata", r"""\b(project_id|projectId|tenant_id|tenantId|domain_id|domainId|user_id|userId|server_id|serverId|instance_id|instanceId|volume_id|volumeId|image_id|imageId|flavor_id|flavorId|vpc_id|vpcId|subnet_id|subnetId|security_group_id|securityGroupId|router_id|routerId|network_id|networkId|port_id|portId)\b\s*[:=]\s*["']?([0-9a-f]{32}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})["']?""", "i", (2,), ("id",), lambda s: "true", lambda s: "88", key=1),
     Scored("C38", lambda s: "CASE WHEN contains(raw, '.obs.') THEN 'OTC_ENDPOINT' ELSE 'CLOUD_ENDPOINT' END", "internal_metadata", r"\b[a-z0-9][a-z0-9.-]{1,100}\.(?:obs\.(?:eu-de|eu-nl)\.otc\.t-systems\.com|otc\.t-systems\.com)\b", "i", (), ("t-systems.com",), lambda s: "true", lambda s: "88"),
+    Scored("C02", _is("DB_URI"), "credential", _KEY + r"""(?:"([^"\r\n]+)"|'([^'\r\n]+)'|`([^`\r\n]+)`|([^\s]+))""", "i", (2, 3, 4, 5), ("url", "uri"), lambda s: f"length(raw) >= 8 AND {S.db_uri_key(s, 'key')} AND open", _full_score, key=1, place=2, methods=("assignment", "db-uri-password"), inner=(DB_PASSWORD, "i", (1,), 0)),
+    Scored("C02", _is("CONNECTION_STRING"), "connection_string", _KEY + r"""(?:"([^"\r\n]+)"|'([^'\r\n]+)'|`([^`\r\n]+)`|([^\s]+))""", "i", (2, 3, 4, 5), ("conn", "azurewebjobsstorage"), _connection_keep, _full_score, key=1, place=2, methods=("assignment", "full-value"), inner=(CONNECTION, "i", (), 0)),
+    Scored("C05", _is("PASSWORD"), "credential", SQL_SERVER, "i", (), ("sqlserver://", "mssql://"), _attribute_keep, lambda s: f"99 + CASE WHEN {S.entropy(s, 'raw')} >= 3.8 THEN 1 ELSE 0 END", place=5, methods=("sqlserver-connection-string", "password-attribute"), inner=(SQL_SERVER_PASSWORD, "i", (2,), 1)),
+    Scored("C05", _is("PASSWORD"), "credential", ADO_PASSWORD, "i", (2,), ("database", "initial catalog"), _ado_keep, lambda s: f"99 + CASE WHEN {S.entropy(s, 'raw')} >= 3.8 THEN 1 ELSE 0 END", key=1, place=5, methods=("sqlserver-connection-string", "password-attribute")),
+    Scored("C10", lambda s: S.key_type(s, "key"), "credential", INLINE, "i", (2, 3, 4, 5), ("secret", "password", "token"), _inline_keep, lambda s: "100", key=1, place=10, methods=("assignment", "exact-key")),
+    Scored("C11", _explicit_type, "credential", _KEY + r"""(?:"([^"\r\n]+)"|'([^'\r\n]+)'|`([^`\r\n]+)`|([^\s,;"'`}]+))""", "i", (2, 3, 4, 5), ("pass", "pwd", "p4ss", "secret", "s3cr", "key", "k3y", "token", "t0k", "tok3", "auth", "webhook", "w3bh", "webh0"), _explicit_keep, _explicit_score, key=1, place=11, methods=("assignment", "explicit-key")),
 )
 SENSITIVE_LABEL = r"(?:password|passwd|passcode|passphrase|pwd|secret|api\s*key|apikey|token|access\s+token|refresh\s+token|bearer|authorization|client\s+secret|private\s+key|webhook\s+secret|db\s+password|database\s+password|real\s+value)\s*(?:is|=|:|->|→|equals|set\s+to|should\s+be|becomes)?\s*$"
 _GLUED = "[A-Za-z0-9._-]"
@@ -377,10 +458,12 @@ def steps(s: Sql, detectors: tuple[Scored, ...]) -> list[dict[str, str]]:
     """Columns to add, step by step, to candidates (rule, found, key, start, end, before, after, far), before ``kept`` is tested."""
     each = lambda f, other: "CASE rule " + " ".join(f"WHEN {k} THEN {f(d)}" for k, d in enumerate(detectors)) + f" ELSE {other} END"
     as_is = " OR ".join(["false", *(f"rule = {k}" for k, d in enumerate(detectors) if d.decoded)])
+    cut = " OR ".join(["false", *(f"rule = {k}" for k, d in enumerate(detectors) if d.cut)])
     listed = lambda d: ("array" if s.spark else "") + ("(" if s.spark else "[") + ", ".join(f"'{m}'" for m in d.methods) + (")" if s.spark else "]")
     return [
-        {"raw": f"CASE WHEN {as_is} THEN found ELSE {S.unquoted(s, 'found')} END"},
+        {"raw": f"CASE WHEN {as_is} THEN found WHEN {cut} THEN {S.unquoted(s, embedded_cut(s, 'found'))} ELSE {S.unquoted(s, 'found')} END"},
         {"ctx": S.context_score(s, window(64))},
+        {"open": unsuppressed(s)},
         {"kept": f"raw <> '' AND {each(lambda d: f'({d.keep(s)})', 'false')}"},
         {"points": f"CASE WHEN kept THEN {each(lambda d: f'({d.score(s)})', '0')} ELSE 0 END"},
         {

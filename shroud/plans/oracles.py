@@ -463,6 +463,8 @@ w AS (SELECT *, unnest(range(1, len(g))) AS j FROM q), e AS (SELECT doc_id, sess
     "flagship_documents": _flagship(),
     "c06_c07_rule_lines": judged(docs=VIEWS["v_rule_lines"]) + " SELECT doc_id, source, name, type, category, raw, start, \"end\", score, severity, array_to_string(method, ',') AS method, coalesce(why, '') AS why FROM judged",
     "h01_r02_rule_lines": resolved("", docs=VIEWS["v_rule_lines"], more=_redacted("spans") + _SPLICE.replace("{keys}", "docs.doc_id, docs.session_id")),
+    "c02_c11_assigned_lines": _scored(VIEWS["v_assigned_lines"], "SELECT * FROM f WHERE detector IN ('C02', 'C05', 'C09', 'C10', 'C11')"),
+    "h01_r02_assigned_lines": resolved("", docs=VIEWS["v_assigned_lines"], more=_redacted("spans") + _SPLICE.replace("{keys}", "docs.doc_id, docs.session_id")),
     "h01_r02_login_lines": resolved("", docs=VIEWS["v_login_lines"], more=_redacted("spans") + _SPLICE.replace("{keys}", "docs.doc_id, docs.session_id")),
     "c01_c04_c20_login_lines": _scored(VIEWS["v_login_lines"], "SELECT * FROM f WHERE detector IN ('C01', 'C04', 'C15', 'C20', 'C21')"),
     "r03_transform": _R03,

@@ -89,6 +89,19 @@ def h01_r02_login_lines(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "session_id", "redacted", "n_replaced")
 
 
+@query
+def c02_c11_assigned_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Assignments, connection strings and their attributes: what their detectors keep, with places."""
+    return scored.scan(view(spark, sf, "v_assigned_lines"), ("C02", "C05", "C09", "C10", "C11"))
+
+
+@query
+def h01_r02_assigned_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The same lines redacted by all detectors."""
+    out, _ = transform.transform(view(spark, sf, "v_assigned_lines"), "raw")
+    return out.select("doc_id", "session_id", "redacted", "n_replaced")
+
+
 def _by_rule(rows: DataFrame) -> DataFrame:
     """A classifier that SQL can follow: sure of digits among letters, unsure of what is short."""
     sure = F.col("text").rlike("[0-9]") & F.col("text").rlike("[A-Z]")

@@ -31,6 +31,16 @@ _LOGINS = (
     f"CONCAT('my db password is ', {_H}, '!X and again the same password: ', {_H}, '!X')", f"CONCAT('note', CHR(10), 'p a s s w o r d: \"', {_H}, '!X\"')", "CONCAT('use this access token ', MD5(s_name), '; ipv6 = 2001:db8::', s_suppkey)", f"CONCAT('secret_b64=', CASE s_suppkey % 2 WHEN 0 THEN 'cGFzc3dvcmQ9SGFyYm9yNzc=' ELSE 'SGVsbG8gV29ybGQh' END, ' ', {_H})",
 )
 VIEWS["v_login_lines"] = "SELECT s_suppkey * 100 + k AS doc_id, CONCAT('s', CAST(s_nationkey AS STRING)) AS session_id, s_suppkey * 100 + k AS seq, CASE k " + " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(_LOGINS)) + f" END AS text FROM supplier CROSS JOIN (VALUES {', '.join(f'({k})' for k in range(len(_LOGINS)))}) kinds(k)"
+# Assignments and connection strings, one kind a supplier.
+_ASSIGNED = (
+    f"CONCAT('DATABASE_URL=postgres://app:', {_H}, '@db', s_suppkey, '.corp:5432/app')", f"CONCAT('redis_uri: \"redis://:', {_H}, '@10.1.2.3:6379\" x')", f"CONCAT('MYSQL_URL=mysql://app:pw', '@db', s_suppkey, ' site_url=https://u:', {_H}, '@h.io')",
+    f"CONCAT('AzureWebJobsStorage=DefaultEndpointsProtocol=https;AccountName=a', s_suppkey, ';AccountKey=', {_H}, '==;EndpointSuffix=core.windows.net')", f"CONCAT('SB_CONNECTION_STRING: \"Endpoint=sb://ns', s_suppkey, '.host/;SharedAccessKeyName=root;SharedAccessKey=', {_H}, '\"')",
+    f"CONCAT('ConnString=Host=db', s_suppkey, ';Port=5432;Pwd=', {_H})", f"CONCAT('connectionString=Host=sample;Port=5432;Pwd=', {_H})", "CONCAT('connString=Host=db', s_suppkey, ';Port=5432')",
+    f"CONCAT('JDBC_URL=jdbc:sqlserver://host:1433;user=name;password=Jx', {_H}, ';databaseName=prod')", f"CONCAT('Server=tcp:db', s_suppkey, ';Database=app;User Id=sa;Password=Ax', {_H}, ';Encrypt=true')", f"CONCAT('Server=tcp:db', s_suppkey, ';Encrypt=true;Password=Ax', {_H})",
+    f"CONCAT('cfg ', CHR(123), '\"client_secret\": \"Cx ', {_H}, ' and more\", \"page_token\": 7', CHR(125))", f"CONCAT('x=1 token=', {_H}, 'Z,b')", f"CONCAT('the token=', {_H}, 'Z')", f"CONCAT('go ?token=', {_H}, 'Z&password=', {_H}, '!')", f"CONCAT('signing secret = ', {_H}, '; app.secret: ', CHR(39), {_H}, '!q')",
+    f"CONCAT('deploy_key=sk-proj-', {_H}, ' other_key=', {_H})", f"CONCAT('mailchimp_auth=', MD5(s_name), ' smtp_passwd=', {_H}, '!')", f"CONCAT('example password=', {_H}, '!')", f"CONCAT('api_token: Bearer ', {_H}, 'zQ9x$user_id=', s_suppkey)", "CONCAT('session=abc12345 auth: [PWM_', s_suppkey, ']')",
+)
+VIEWS["v_assigned_lines"] = "SELECT s_suppkey * 100 + k AS doc_id, CONCAT('s', CAST(s_nationkey AS STRING)) AS session_id, s_suppkey * 100 + k AS seq, CASE k " + " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(_ASSIGNED)) + f" END AS text FROM supplier CROSS JOIN (VALUES {', '.join(f'({k})' for k in range(len(_ASSIGNED)))}) kinds(k)"
 VIEWS["v_rule_lines"] = lines_view(LINES)
 VIEWS["v_scored_lines"] = lines_view(SCORED_LINES)
 VIEWS["v_odd_rows"] = f"SELECT CASE WHEN seq % 5 = 0 THEN NULL ELSE seq - seq % 4 END AS doc_id, CASE WHEN seq % 7 = 0 THEN NULL ELSE session_id END AS session_id, seq, text FROM ({VIEWS['v_secret_lines']})"

@@ -31,10 +31,18 @@ PLACES = [
     ("our real db password value is Harbor77!x", [("PASSWORD", "Harbor77!x", 30, 40)]),
     ("use this access token 'q8Zr7Wm2Kp4T'", [("TOKEN", "q8Zr7Wm2Kp4T", 23, 35)]),
     ("a password: Harbor77!x, again: Harbor77!x", [("PASSWORD", "Harbor77!x", 12, 22)]),
+    ("REDIS_URL='redis://:Harbor77x@10.1.2.3:6379' #", [("DB_URI", "Harbor77x", 20, 29), ("PRIVATE_IP", "10.1.2.3", 30, 38)]),
+    ("conn_string=Host=db7;Port=5432;Pwd=Harbor77x", [("CONNECTION_STRING", "Host=db7;Port=5432;Pwd=Harbor77x", 12, 44)]),
+    ("JDBC_URL=jdbc:sqlserver://host:1433;user=name;password=JdbcSqlPass123;databaseName=prod", [("PASSWORD", "JdbcSqlPass123", 55, 69)]),
+    ("Server=tcp:db7;Database=app;User Id=sa;Password=Harbor77!x;Encrypt=true", [("PASSWORD", "Harbor77!x", 48, 58)]),
+    ("x=1 token=q8Zr7Wm2Kp,b", [("TOKEN", "q8Zr7Wm2Kp", 10, 20)]),
+    ('{"client_secret": "Harbor 77 stone", "n": 7}', [("SECRET", "Harbor 77 stone", 19, 34)]),
+    ("secret_b64=SGVsbG8gV29ybGQh", [("SECRET", "SGVsbG8gV29ybGQh", 11, 27)]),
+    ("deploy_key=sk-proj-q8Zr7Wm2", [("API_KEY", "sk-proj-q8Zr7Wm2", 11, 27)]),
 ]
 CLEAN = [
     "Cookie: theme=dark", "Cookie: theme=dark; lang=en-us-latest", "demo https://user:password@example.com/x", "https://@host.io", "https://bob@host.io/a:b@c",
-    "note the password was changed yesterday by admin", "the token is expired", "Authorization: none", "https://user:[PWM_3]@example.com", "secret_b64=SGVsbG8gV29ybGQh",
+    "note the password was changed yesterday by admin", "the token is expired", "Authorization: none", "https://user:[PWM_3]@example.com", "payload_b64=SGVsbG8gV29ybGQh", "connString=Host=db7;Port=5432", "mailchimp_auth=0123456789abcdef0123456789abcdef",
 ]
 
 
