@@ -2,6 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from shroud.functions import scalars as S
+from shroud.functions.dialect import SPARK as Q
 from shroud.operators import vault
 
 
@@ -28,3 +32,14 @@ def test_occurrences_over_pieces_and_blocks(spark, monkeypatch):
                 at = text.find(raw, at + len(raw))
     assert got == sorted(expected)
     assert len(got) > 50
+
+
+def test_entropy_splits_a_value_once():
+    """It split the value four times for each of its characters before."""
+    sql = S.entropy(Q, "v")
+    assert sql.count("split(") + sql.count("regexp_extract_all(") == 1
+
+
+def test_entropy_of_odd_values(spark):
+    df = spark.createDataFrame([("",), ("aaaa",), ("ab",), ("aé😀\n",), (None,)], "v string")
+    assert [r[0] for r in df.select(F.expr(S.entropy(Q, "v"))).collect()] == [0.0, 0.0, 1.0, 2.0, None]
