@@ -186,8 +186,8 @@ def _scored_rows(source: str, detectors: tuple = scored.DETECTORS) -> str:
     return f"SELECT * FROM ({sql}) WHERE kept AND points >= least"
 
 
-def _metadata_rows(k: int) -> str:
-    d = metadata.KINDS[k]
+def _metadata_rows(k: int, kinds: tuple[metadata.Kind, ...] = metadata.KINDS) -> str:
+    d = kinds[k]
     return f"SELECT doc_id, {k} AS k, CAST(j - 1 AS INTEGER) AS ord, '{d.id}' AS detector, '{d.type}' AS type, '{d.category}' AS category, raw, CAST(start AS INTEGER) AS start, CAST(\"end\" AS INTEGER) AS \"end\", {d.score} AS score FROM ({_spans('t', d.regex, d.flags, (d.group,) if d.group else ())})"
 
 
@@ -349,7 +349,7 @@ concat('aws account id: ', 100000000000 + s_suppkey), concat('see s3://bucket-',
 
 
 def _metadata(docs: str, select: str) -> str:
-    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM ({docs})), f AS (SELECT * EXCLUDE (k, ord) FROM ({' UNION ALL '.join(map(_metadata_rows, range(len(metadata.KINDS))))})) {select}"
+    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM ({docs})), f AS (SELECT * EXCLUDE (k, ord) FROM ({' UNION ALL '.join(_metadata_rows(k, metadata.ALL) for k in range(len(metadata.ALL)))})) {select}"
 
 
 def _scored(docs: str, select: str) -> str:

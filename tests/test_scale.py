@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shroud.functions import scalars as S
 from shroud.functions.dialect import SPARK as Q
 from shroud.operators import vault
+from shroud.plans.queries import QUERIES
 
 
 def test_occurrences_over_pieces_and_blocks(spark, monkeypatch):
@@ -43,3 +44,9 @@ def test_entropy_splits_a_value_once():
 def test_entropy_of_odd_values(spark):
     df = spark.createDataFrame([("",), ("aaaa",), ("ab",), ("aé😀\n",), (None,)], "v string")
     assert [r[0] for r in df.select(F.expr(S.entropy(Q, "v"))).collect()] == [0.0, 0.0, 1.0, 2.0, None]
+
+
+def test_metadata_queries_find_headers_and_logins(spark, sf_dir):
+    """Their SQL and code had lost four kinds."""
+    got = {(r.detector, r.type) for r in QUERIES["c25_c40_metadata"](spark, sf_dir).select("detector", "type").distinct().collect()}
+    assert {("C01", "TOKEN"), ("C04", "PASSWORD"), ("C25", "FILE_SHARE"), ("C40", "INTERNAL_ENDPOINT")} <= got
