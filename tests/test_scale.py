@@ -50,3 +50,8 @@ def test_metadata_queries_find_headers_and_logins(spark, sf_dir):
     """Their SQL and code had lost four kinds."""
     got = {(r.detector, r.type) for r in QUERIES["c25_c40_metadata"](spark, sf_dir).select("detector", "type").distinct().collect()}
     assert {("C01", "TOKEN"), ("C04", "PASSWORD"), ("C25", "FILE_SHARE"), ("C40", "INTERNAL_ENDPOINT")} <= got
+
+
+def test_metadata_documents_count_headers_and_logins(spark, sf_dir):
+    got = {(r.detector, r.type) for r in QUERIES["c25_c40_documents"](spark, sf_dir).collect()}
+    assert {("C01", "TOKEN"), ("C04", "PASSWORD"), ("C25", "FILE_SHARE")} <= got
