@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from shroud.functions import scalars as S
 from shroud.functions.dialect import SPARK as Q
-from shroud.operators import vault
+from shroud.operators import learn, network, vault
 from shroud.plans.queries import QUERIES
+from shroud.plans.views import view
 
 
 def test_occurrences_over_pieces_and_blocks(spark, monkeypatch):
@@ -55,3 +56,28 @@ def test_metadata_queries_find_headers_and_logins(spark, sf_dir):
 def test_metadata_documents_count_headers_and_logins(spark, sf_dir):
     got = {(r.detector, r.type) for r in QUERIES["c25_c40_documents"](spark, sf_dir).collect()}
     assert {("C01", "TOKEN"), ("C04", "PASSWORD"), ("C25", "FILE_SHARE")} <= got
+
+
+def test_classifier_finds_features_once(spark):
+    """Each row's features were found again for the vocabulary, the summary and the regression, all of them in one task of a small file."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    records = learn.generated(spark, 300).withColumn("text", read.asNondeterministic()("text")).coalesce(1)
+    model = learn.train(records)
+    assert seen.value == 300
+    words = learn.vocabulary(learn.generated(spark, 300)).collect()
+    assert model.stages[1].vocabulary == [r.gram for r in words]
+
+
+def test_small_tables_are_dealt_to_all_cores(spark, sf_dir):
+    """One row group was one task for features and network tokens."""
+    cores = spark.sparkContext.defaultParallelism
+    nets = view(spark, sf_dir, "v_net_lines")
+    assert nets.rdd.getNumPartitions() < cores
+    assert network.tokens(nets).rdd.getNumPartitions() >= cores
+    assert QUERIES["l05_numeric_features"](spark, sf_dir).rdd.getNumPartitions() >= cores
