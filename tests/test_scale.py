@@ -81,3 +81,18 @@ def test_small_tables_are_dealt_to_all_cores(spark, sf_dir):
     assert nets.rdd.getNumPartitions() < cores
     assert network.tokens(nets).rdd.getNumPartitions() >= cores
     assert QUERIES["l05_numeric_features"](spark, sf_dir).rdd.getNumPartitions() >= cores
+
+
+def test_tokens_that_entropy_drops_are_no_candidates(spark):
+    """Hex without a label right before it, tokens of few bits and names with a short last part aren't handed to SQL; what is kept is the same."""
+    from shroud.operators import detect, scored
+    from shroud.operators.matcher import matched
+
+    hexes, even = "0123456789abcdef" * 2, "0123456789abcdefghijklmnopqrstuvwxyz"
+    texts = [f"password is {hexes}", f"redis near a {hexes}", f"secret {hexes[:24]}", f"secret {'ab12' * 8}", f"build {even}A", "build " + "1234klmnopqr" * 3, "token of 9qxz71mk28vb", "by jane.roe and jane.abcdefghi"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = matched(df, [*detect.entries((), ("entropy",)), *scored.entries(tuple(d for d in scored.DETECTORS if d.id == "C34"))], quick=True).collect()
+    assert sorted((r.doc_id, r.raw) for r in rows if r.source == "entropy") == [(0, hexes), (4, even + "A"), (6, "9qxz71mk28vb")]
+    assert [(r.doc_id, r.raw) for r in rows if r.source == "scored"] == [(7, "jane.abcdefghi")]
+    kept = lambda quick: {(r.doc_id, r.start, r.score) for r in detect.judged(df, detectors=("entropy",), quick=quick).where("why is null").collect()}
+    assert kept(True) == kept(False) != set()
